@@ -114,9 +114,12 @@ def _best_region(html: str) -> dict:
     return {"text": "\n".join(best.texts), "headings": best.titles}
 
 
-@F.pandas_udf("text string, headings array<string>")
-def _scored_content(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_best_region(h or "") for h in html], columns=["text", "headings"])
+def _scored_content(html: Column) -> Column:
+    @F.pandas_udf("text string, headings array<string>")
+    def score(batch: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_best_region(h or "") for h in batch], columns=["text", "headings"])
+
+    return score(html)
 
 
 def clean_video(df: DataFrame, title: str, description: str, transcript: str) -> DataFrame:

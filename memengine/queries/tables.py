@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..operators import store, views
 from ..operators.capture import memory_key
-from ..runtime import utc
+from ..runtime import ship_package, utc
 
 MINUTE_US = 60_000_000
 START = "2024-01-01 00:00:00"
@@ -35,7 +35,7 @@ def pick(row_id: str, modulo: int, values: dict[int, object], default: object =
 
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = utc(spark), folder.rstrip("/")
+        self.spark, self.folder = ship_package(utc(spark)), folder.rstrip("/")
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

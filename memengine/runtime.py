@@ -7,7 +7,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +25,22 @@ def utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parents[1]
+        archive = shutil.make_archive(
+            str(Path(tempfile.mkdtemp(prefix="memengine-")) / "memengine"), "zip", root, "memengine"
+        )
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
+    return spark
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and stream state, as the session names it.
 
