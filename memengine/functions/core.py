@@ -66,7 +66,17 @@ def ends_with_any(text: Column, suffixes: Iterable[str]) -> Column:
 
 
 def string_array(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """Constant array; long ones are one folded literal instead of one per value."""
+    values = list(values)
+    if len(values) <= 8:
+        return F.array(*[F.lit(v) for v in values])
+    return F.split(F.lit("\x1f".join(values)), "\x1f")
+
+
+def string_map(pairs: dict[str, str]) -> Column:
+    """Constant map as one folded literal."""
+    text = "\x1e".join(f"{k}\x1f{v}" for k, v in pairs.items())
+    return F.str_to_map(F.lit(text), F.lit("\x1e"), F.lit("\x1f"))
 
 
 def code_point(number: Column) -> Column:

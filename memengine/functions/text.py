@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .core import any_of, code_point, let, rstrip, string_array, strip, strip_long
+from .core import any_of, code_point, let, rstrip, string_array, string_map, strip, strip_long
 
 _LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
@@ -52,8 +52,8 @@ def unescape_html(text: Column) -> Column:
     The text is split on ``&`` so a replaced reference is never read again.
     Texts without ``&`` skip all of it.
     """
-    named = F.create_map(*[F.lit(v) for pair in _NAMED.items() for v in pair])
-    remapped = F.create_map(*[F.lit(v) for pair in _REMAPPED.items() for v in pair])
+    named = string_map(_NAMED)
+    remapped = string_map({str(k): str(v) for k, v in _REMAPPED.items()})
     bare = "^(" + "|".join(_BARE_NAMES) + ")"
 
     def numeric(number: Column) -> Column:
@@ -66,7 +66,7 @@ def unescape_html(text: Column) -> Column:
             | number.between(0xFDD0, 0xFDEF)
             | (F.pmod(number, F.lit(0x10000)) >= 0xFFFE)
         )
-        mapped = F.try_element_at(remapped, number.cast("int"))
+        mapped = F.try_element_at(remapped, number.cast("string")).cast("int")
         return (
             F.when(bad, F.lit("\ufffd"))
             .when(mapped.isNotNull(), code_point(mapped))
@@ -235,8 +235,8 @@ def keywords(text: Column, limit: int = K.KEYWORD_LIMIT, stopwords: list[str] |
 
 
 def category_hint(category: Column) -> Column:
-    hints = F.create_map(*[F.lit(v) for pair in K.CATEGORY_HINTS.items() for v in pair])
-    return F.coalesce(F.try_element_at(hints, category.try_cast("int")), F.lit(""))
+    hints = string_map({str(k): v for k, v in K.CATEGORY_HINTS.items()})
+    return F.coalesce(F.try_element_at(hints, category.try_cast("int").cast("string")), F.lit(""))
 
 
 def category_id(category: Column) -> Column:

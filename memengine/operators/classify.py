@@ -129,11 +129,17 @@ def classify(df: DataFrame, domain_map: DataFrame, centroids: DataFrame | None =
 
 
 def embed(
-    df: DataFrame, text: str, embedder: Embedder, dim: int = K.VECTOR_DIM, batch: int = K.EMBED_BATCH
+    df: DataFrame,
+    text: str,
+    embedder: Embedder,
+    dim: int = K.VECTOR_DIM,
+    batch: int = K.EMBED_BATCH,
+    blank_error: str | None = None,
 ) -> DataFrame:
     """Adds ``embedding`` (NULL on failure) and ``embed_error``.
 
     A failing batch is retried text by text, so one bad text costs only itself.
+    With ``blank_error`` blank texts get that error and never reach the model.
     """
     fields = [f for f in df.schema if f.name not in ("embedding", "embed_error")]
     schema = StructType(
@@ -146,24 +152,25 @@ def embed(
             raise ValueError(f"expected shape {(n, dim)}, got {found.shape}")
         return list(found)
 
+    def vectors_of(model, texts: list[str]) -> list[tuple]:
+        try:
+            return [(v, None) for v in checked(model(texts), len(texts))]
+        except Exception as exc:
+            if len(texts) == 1:
+                return [(None, str(exc)[:200])]
+            return [pair for one in texts for pair in vectors_of(model, [one])]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = embedder.load()
         for frame in frames:
             texts = [(t or "").strip() for t in frame[text]]
-            out, errors = [], []
-            for at in range(0, len(texts), batch):
-                part = texts[at : at + batch]
-                try:
-                    out += checked(model(part), len(part))
-                    errors += [None] * len(part)
-                except Exception:
-                    for one in part:
-                        try:
-                            out += checked(model([one]), 1)
-                            errors.append(None)
-                        except Exception as exc:
-                            out.append(None)
-                            errors.append(str(exc)[:200])
-            yield frame.assign(embedding=out, embed_error=errors)[[f.name for f in schema]]
+            found: list[tuple] = [(None, blank_error)] * len(texts)
+            wanted = [n for n, t in enumerate(texts) if t or blank_error is None]
+            for at in range(0, len(wanted), batch):
+                part = wanted[at : at + batch]
+                for n, pair in zip(part, vectors_of(model, [texts[n] for n in part])):
+                    found[n] = pair
+            columns = {"embedding": [v for v, _ in found], "embed_error": [e for _, e in found]}
+            yield frame.assign(**columns)[[f.name for f in schema]]
 
     return df.select(*[f.name for f in fields]).mapInPandas(run, schema)

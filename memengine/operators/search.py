@@ -87,22 +87,26 @@ def _hour(ts: Column) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(3_600_000_000)).cast("bigint")
 
 
+def _shift(number: Column, bits: Column) -> Column:
+    return F.call_function("shiftright", number, bits)
+
+
 def _later_nodes(hour: Column) -> Column:
     """Tree nodes that together hold exactly the hours after ``hour``."""
     levels = F.filter(
         F.sequence(F.lit(0), F.lit(HOUR_BITS - 1)),
-        lambda b: F.shiftright(hour, b).bitwiseAND(F.lit(1)) == 0,
+        lambda b: _shift(hour, b).bitwiseAND(F.lit(1)) == 0,
     )
     return F.transform(
         levels,
-        lambda b: F.struct(b.alias("level"), (F.shiftright(hour, b) + 1).alias("node")),
+        lambda b: F.struct(b.alias("level"), (_shift(hour, b) + 1).alias("node")),
     )
 
 
 def _item_nodes(hour: Column) -> Column:
     inner = F.transform(
         F.sequence(F.lit(0), F.lit(HOUR_BITS - 1)),
-        lambda b: F.struct(b.alias("level"), F.shiftright(hour, b).alias("node")),
+        lambda b: F.struct(b.alias("level"), _shift(hour, b).alias("node")),
     )
     root = F.struct(F.lit(ROOT).alias("level"), F.lit(0).cast("bigint").alias("node"))
     return F.concat(inner, F.array(root))

@@ -11,6 +11,8 @@ from ..operators import store, text_jobs, views
 from ..runtime import cut_lineage
 from ..sources import dimensions
 
+NO_TEXT = "no_embeddable_text"
+
 
 def prepare(items: DataFrame, mail: DataFrame, pages: DataFrame, videos: DataFrame) -> DataFrame:
     """Pending items with context, clean text, embeddable text and keywords."""
@@ -36,22 +38,21 @@ def enrich(
 ) -> tuple[DataFrame, DataFrame]:
     """(enriched, rejects).  A bad row becomes a reject with a reason, never an exception.
 
-    Both outputs stem from the embedded rows; with ``keep_embeddings`` those are
-    checkpointed, so the model runs once for the two of them.
+    Both outputs are cut from the embedded rows.  With ``keep_embeddings`` those
+    are checkpointed first, so cleaning and model run once for the two of them;
+    splitting before the model would clean every text twice.
     """
     prepared = prepare(items, mail, pages, videos)
-    ready, empty = text_jobs.split_embeddable(prepared)
-    embedded = C.embed(ready, "embeddable_text", embedder, dim, batch)
+    embedded = C.embed(prepared, "embeddable_text", embedder, dim, batch, blank_error=NO_TEXT)
     if keep_embeddings:
         embedded = cut_lineage(embedded)
     good = embedded.filter(F.col("embedding").isNotNull()).drop("embed_error")
-    failed = embedded.filter(F.col("embedding").isNull()).withColumn(
-        "reason", F.concat(F.lit("embedding: "), F.coalesce("embed_error", F.lit("none")))
+    rejects = embedded.filter(F.col("embedding").isNull()).select(
+        "memory_id", F.coalesce("embed_error", F.lit("unknown")).alias("reason")
     )
     spark = items.sparkSession
     enriched = C.classify(good, dimensions.domain_map(spark), seed_centroids(spark, embedder, dim))
-    columns = ["memory_id", "reason"]
-    return enriched, empty.select(*columns).unionByName(failed.select(*columns))
+    return enriched, rejects
 
 
 def registry_rows(enriched: DataFrame, version: str, indexed_at) -> DataFrame:
