@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import gates
 from ..functions.core import strip
-from ..runtime import BROADCAST_ROWS, top_per_group, within
+from ..runtime import top_per_group, within
 from .phrases import match_phrases
 
 HOUR_BITS = 24  # 2^24 hours after 1970, almost two thousand years
 ROOT = HOUR_BITS
 JOIN_SALTS = 32
+FEW_SCOPES = 5_000  # a scope makes at most 3 x 24 node rows, so a broadcast stays under 360,000 slim rows
 _SEPARATOR = "\x1f"
 
 
@@ -62,22 +63,22 @@ def scoped(intents: DataFrame) -> DataFrame:
     return base.withColumn("scope", F.sha2(F.to_json(F.struct("phrase", "since", "sources")), 256))
 
 
-def _join_scopes(left: DataFrame, scopes: DataFrame, keys: list[str]) -> DataFrame:
-    """Equi-join; scopes are broadcast if their number was checked, else hot keys are salted."""
-    if within(scopes, BROADCAST_ROWS):
+def _join_scopes(left: DataFrame, scopes: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """Equi-join; few scopes (checked by the caller) are broadcast, else hot keys are salted."""
+    if few:
         return left.join(F.broadcast(scopes), keys)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64("memory_id"), F.lit(JOIN_SALTS)).cast("int"))
     copies = scopes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
     return salted.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
-def _by_phrase(scopes: DataFrame, items: DataFrame) -> DataFrame:
+def _by_phrase(scopes: DataFrame, items: DataFrame, few: bool) -> DataFrame:
     text = search_text(F.col("title"), F.col("auto_keywords"))
     hits = match_phrases(
         items, text, scopes.select("phrase"), ["memory_id", "source_type", "created_at", "last_accessed_at"]
     )
     placed = scopes.select("scope", "phrase", "since", F.explode("sources").alias("source_type"))
-    joined = _join_scopes(hits, placed, ["phrase", "source_type"])
+    joined = _join_scopes(hits, placed, ["phrase", "source_type"], few)
     return joined.filter(F.col("since").isNull() | (F.col("created_at") >= F.col("since"))).select(
         "scope", "memory_id", "source_type", "created_at", "last_accessed_at"
     )
@@ -112,7 +113,7 @@ def _item_nodes(hour: Column) -> Column:
     return F.concat(inner, F.array(root))
 
 
-def _browse(scopes: DataFrame, items: DataFrame, limit: int) -> DataFrame:
+def _browse(scopes: DataFrame, items: DataFrame, limit: int, few: bool) -> DataFrame:
     """Candidates per browse scope: a superset of its ``limit`` best rows."""
     columns = ["memory_id", "source_type", "created_at", "last_accessed_at"]
     slim = items.select(*columns)
@@ -129,39 +130,44 @@ def _browse(scopes: DataFrame, items: DataFrame, limit: int) -> DataFrame:
     spread = slim.select(*columns, F.explode(_item_nodes(_hour(F.col("created_at")))).alias("n")).select(
         *columns, "n.level", "n.node"
     )
-    ranked = top_per_group(_join_scopes(spread, needed, node_keys), node_keys, order_by_access(), limit)
-    later = _join_scopes(ranked.drop("rank"), cover, node_keys).select("scope", *columns)
+    ranked = top_per_group(_join_scopes(spread, needed, node_keys, few), node_keys, order_by_access(), limit)
+    later = _join_scopes(ranked.drop("rank"), cover, node_keys, few).select("scope", *columns)
     # The hour of the bound itself, checked row by row.
     edge = placed.filter("since IS NOT NULL").withColumn("_hour", _hour(F.col("since")))
     same_hour = _join_scopes(
-        slim.withColumn("_hour", _hour(F.col("created_at"))), edge, ["source_type", "_hour"]
+        slim.withColumn("_hour", _hour(F.col("created_at"))), edge, ["source_type", "_hour"], few
     ).filter(F.col("created_at") >= F.col("since"))
     return later.unionByName(same_hour.select("scope", *columns))
 
 
-def search(intents: DataFrame, wide: DataFrame, limit: int = K.SEARCH_LIMIT) -> DataFrame:
-    """(query_id, memory_id, source_type, created_at, last_accessed_at, rank), latest access first."""
-    live = wide.filter(gates.is_live_enriched(F.col("is_deleted"), F.col("preprocessed"))).select(
+def search(intents: DataFrame, view: DataFrame, limit: int = K.SEARCH_LIMIT) -> DataFrame:
+    """(query_id, memory_id, source_type, created_at, last_accessed_at, rank), latest access first.
+
+    ``view``: the searchable columns of the items (see ``views.searchable``); the
+    wide view does too, but joining details to the few results is cheaper.
+    """
+    live = view.filter(gates.is_live_enriched(F.col("is_deleted"), F.col("preprocessed"))).select(
         "memory_id", "source_type", "title", "auto_keywords", "created_at", "last_accessed_at"
     )
     asked = scoped(intents)
     scopes = asked.select("scope", "phrase", "since", "sources").dropDuplicates(["scope"])
-    found = _by_phrase(scopes.filter("phrase <> ''"), live).unionByName(
-        _browse(scopes.filter("phrase = ''"), live, limit)
+    few = within(scopes, FEW_SCOPES)
+    found = _by_phrase(scopes.filter("phrase <> ''"), live, few).unionByName(
+        _browse(scopes.filter("phrase = ''"), live, limit, few)
     )
     best = top_per_group(found, ["scope"], order_by_access(), limit)
     return asked.select("query_id", "scope").join(best, "scope").drop("scope")
 
 
 def after_anchor(
-    anchors: DataFrame, wide: DataFrame, limit: int = K.SEARCH_LIMIT
+    anchors: DataFrame, view: DataFrame, limit: int = K.SEARCH_LIMIT
 ) -> DataFrame:
     """Per query: find its anchor item, then the items created after it.
 
     ``anchors``: query_id, anchor_phrase, plus the intent columns of the second
     step.  The anchor is the latest item whose title or keywords hold the phrase.
     """
-    live = wide.filter(gates.is_live_enriched(F.col("is_deleted"), F.col("preprocessed")))
+    live = view.filter(gates.is_live_enriched(F.col("is_deleted"), F.col("preprocessed")))
     wanted = anchors.select(F.lower(strip(F.col("anchor_phrase"))).alias("phrase"), "query_id")
     hits = match_phrases(
         live, search_text(F.col("title"), F.col("auto_keywords")), wanted.select("phrase"),
@@ -175,7 +181,7 @@ def after_anchor(
         .withColumn("since_exclusive", F.lit(True))
         .drop("phrase", "_anchor", "anchor_phrase")
     )
-    return search(timed, wide, limit)
+    return search(timed, view, limit)
 
 
 def candidates(

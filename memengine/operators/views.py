@@ -47,6 +47,19 @@ def wide_items(
     )
 
 
+def searchable(items: DataFrame, engagement: DataFrame) -> DataFrame:
+    """What structured search reads of the wide view: one join, no metadata."""
+    return items.select(
+        "memory_id", "source_type", "title", "auto_keywords", "created_at", "is_deleted", "preprocessed"
+    ).join(engagement.select("memory_id", "last_accessed_at"), "memory_id")
+
+
+def with_details(results: DataFrame, wide: DataFrame) -> DataFrame:
+    """Result rows with the wide columns they lack."""
+    extra = [c for c in wide.columns if c == "memory_id" or c not in results.columns]
+    return results.join(wide.select(*extra), "memory_id")
+
+
 def candidate_view(items: DataFrame, registry: DataFrame, engagement: DataFrame, mail: DataFrame) -> DataFrame:
     """Live items with active registry text, engagement, and mail subject and sender."""
     active = registry.filter("is_active").select("memory_id", F.col("embeddable_text").alias("_text"))

@@ -118,14 +118,14 @@ def vector_search(
 
 
 def _one_round(
-    intents: DataFrame, wide: DataFrame, vectors: DataFrame, limit: int, k: int, dim: int
+    intents: DataFrame, view: DataFrame, vectors: DataFrame, limit: int, k: int, dim: int
 ) -> tuple[DataFrame, DataFrame]:
-    found = cut_lineage(search(intents, wide, limit))
+    found = cut_lineage(search(intents, view, limit))
     near = vector_search(intents, found, vectors, k, dim).select(
         "query_id", "memory_id", "distance", "similarity", F.col("rank").alias("vector_rank")
     )
     # A full scan may reach live items the structured limit left out: they join in.
-    details = wide.filter(~F.col("is_deleted") & F.col("preprocessed")).select(
+    details = view.select(
         "memory_id", F.col("source_type").alias("_source"), F.col("created_at").alias("_created"),
         F.col("last_accessed_at").alias("_accessed"),
     )
@@ -143,7 +143,7 @@ def _one_round(
 
 def retrieve(
     intents: DataFrame,
-    wide: DataFrame,
+    view: DataFrame,
     vectors: DataFrame,
     limit: int = K.SEARCH_LIMIT,
     k: int = K.KNN_K,
@@ -152,14 +152,21 @@ def retrieve(
 ) -> tuple[DataFrame, DataFrame]:
     """(results, states) after searching and widening.
 
-    Each round works on the still-unsatisfied intents only.  Small per-round
-    tables are checkpointed, so a round never recomputes the ones before it.
+    Each round works on the still-unsatisfied intents only.  The live searchable
+    columns are checkpointed once for all rounds, and so are the small per-round
+    tables, so a round never recomputes what came before it.
     ``states``: the intents with attempt, quality, result_count and no_results.
     """
     waiting = cut_lineage(intents.withColumn("attempt", F.lit(0)))
+    view = cut_lineage(
+        view.filter(~F.col("is_deleted") & F.col("preprocessed")).select(
+            "memory_id", "source_type", "title", "auto_keywords", "created_at", "last_accessed_at",
+            "is_deleted", "preprocessed",
+        )
+    )
     all_results, all_states = [], []
     for n in range(max_rounds):
-        results, judged = _one_round(waiting, wide, vectors, limit, k, dim)
+        results, judged = _one_round(waiting, view, vectors, limit, k, dim)
         judged = cut_lineage(waiting.join(judged, "query_id"))
         last = n == max_rounds - 1
         done = judged if last else judged.filter(F.col("quality") == "strong")

@@ -32,4 +32,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import capture, enrichment, retrieval, store  # noqa: F401
+    from . import capture, enrichment, retrieval, store, streams  # noqa: F401

@@ -72,7 +72,7 @@ _FOUND = _found_sql("intents")
 )
 def intent_search(t: Tables) -> DataFrame:
     """Flagship: structured search of every intent over the joined item view."""
-    return R.search(intents_of(t), t.wide).select("query_id", "memory_id", "source_type", "rank")
+    return R.search(intents_of(t), t.searchable).select("query_id", "memory_id", "source_type", "rank")
 
 
 @query(
@@ -82,7 +82,7 @@ def intent_search(t: Tables) -> DataFrame:
     ),
 )
 def intent_search_top10(t: Tables) -> DataFrame:
-    return R.search(intents_of(t), t.wide, limit=10).select("query_id", "memory_id", "rank")
+    return R.search(intents_of(t), t.searchable, limit=10).select("query_id", "memory_id", "rank")
 
 
 @query(
@@ -170,7 +170,7 @@ def anchors(t: Tables) -> DataFrame:
     ),
 )
 def after_anchor(t: Tables) -> DataFrame:
-    return R.after_anchor(anchors(t), t.wide).select("query_id", "memory_id", "rank")
+    return R.after_anchor(anchors(t), t.searchable).select("query_id", "memory_id", "rank")
 
 
 # --- vectors -------------------------------------------------------------------------
@@ -248,12 +248,12 @@ _NEAR = f"""
 )
 def vector_search(t: Tables) -> DataFrame:
     asked = vector_intents(t)
-    return _rounded(P.vector_search(asked, R.search(asked, t.wide), item_vectors(t), dim=DIM))
+    return _rounded(P.vector_search(asked, R.search(asked, t.searchable), item_vectors(t), dim=DIM))
 
 
 def _with_vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
     asked = vector_intents(t).withColumn("full_faiss_scan", F.lit(False))
-    found = R.search(asked, t.wide)
+    found = R.search(asked, t.searchable)
     near = P.vector_search(asked, found, item_vectors(t), dim=DIM).select(
         "query_id", "memory_id", "distance", "similarity", F.col("rank").alias("vector_rank")
     )
@@ -416,7 +416,7 @@ def _retrieve_sql() -> str:
 def retrieval_loop(t: Tables) -> DataFrame:
     """Search, judge, widen, repeat; the state each intent ended in."""
     asked = vector_intents(t).withColumn("full_faiss_scan", F.lit(False))
-    _, states = P.retrieve(asked, t.wide, item_vectors(t), dim=DIM)
+    _, states = P.retrieve(asked, t.searchable, item_vectors(t), dim=DIM)
     return states.select("query_id", "quality", "result_count", "no_results", "attempt")
 
 

@@ -105,7 +105,7 @@ class Tables:
                 F.col(text).alias("raw_text"),
                 words.alias("auto_keywords"),
                 F.lit(5).alias("system_group_id"),
-                (F.col(row_id) % 10 != 3).alias("preprocessed"),
+                (F.col(row_id) % 7 != 3).alias("preprocessed"),
                 F.lit("pending").alias("classified_by"),
                 F.lit(None).cast("double").alias("classification_confidence"),
                 "created_at",
@@ -201,6 +201,10 @@ class Tables:
     def wide(self) -> DataFrame:
         return views.wide_items(self.items, self.engagement, self.page_meta, self.mail_meta, self.video_meta)
 
+    @cached_property
+    def searchable(self) -> DataFrame:
+        return views.searchable(self.items, store.fold_engagement(self.partials))
+
     @cached_property
     def context(self) -> DataFrame:
         return views.item_context(self.items, self.mail_meta, self.page_meta, self.video_meta)
@@ -288,13 +292,13 @@ CTES: dict[str, str] = {
         FROM pg GROUP BY canonical_url""",
     "items": """
         SELECT memory_id, 'gmail' AS source_type, source_id, title, text AS raw_text, [lang, source] AS auto_keywords,
-               doc_id % 10 <> 3 AS preprocessed, created_at, doc_id % 17 = 5 AS is_deleted FROM mail_docs
+               doc_id % 7 <> 3 AS preprocessed, created_at, doc_id % 17 = 5 AS is_deleted FROM mail_docs
         UNION ALL
         SELECT memory_id, 'youtube', source_id, title, text, [lang, source],
-               doc_id % 10 <> 3, created_at, doc_id % 17 = 5 FROM video_docs
+               doc_id % 7 <> 3, created_at, doc_id % 17 = 5 FROM video_docs
         UNION ALL
         SELECT memory_id, 'chrome', canonical_url, title, html, [domain],
-               page_id % 10 <> 3, created_at, page_id % 17 = 5 FROM page_items""",
+               page_id % 7 <> 3, created_at, page_id % 17 = 5 FROM page_items""",
     "acts": """
         SELECT event_id, CASE WHEN event_type = 'view' THEN floor(value)::BIGINT ELSE 0 END AS dwell,
                CASE WHEN event_type = 'purchase' THEN floor(value)::BIGINT ELSE 0 END AS watch,

@@ -68,7 +68,13 @@ def revisit_marks(
     events: DataFrame, keys: list[str], ts: str = "ts", ttl_seconds: int = K.REVISIT_TTL_SECONDS,
     late: str = "1 hour",
 ) -> DataFrame:
-    """(event_id, is_revisit) for a stream of events; marks are kept even for events a gate rejects."""
+    """(event_id, is_revisit) for a stream of events; marks are kept even for events a gate rejects.
+
+    One key's share of a micro-batch is sorted in one task, so bound the batch
+    at the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).  For a
+    backlog, ``operators.capture.mark_revisits`` does the same in batch and
+    splits hot keys.
+    """
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     keyed = events.withWatermark(ts, late).select(
