@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import constants as K
 from ..functions import vectors as V
@@ -117,14 +118,22 @@ def _broadcast_scan(queries: DataFrame, vectors: DataFrame, k: int, dim: int) ->
     matrix = np.array([r["query_vector"] for r in rows], dtype=np.float64).reshape(-1, dim)
     shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
 
+    types = [
+        to_arrow_type(queries.schema["query_id"].dataType),
+        to_arrow_type(vectors.schema["memory_id"].dataType),
+        pa.float64(),
+        pa.float64(),
+    ]
+    names = ["query_id", "memory_id", "distance", "similarity"]
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(*shared.value, k)
         for batch in batches:
             keys = batch.column("memory_id").to_numpy(zero_copy_only=False)
             best.add(keys, _matrix(batch.column("embedding"), dim))
-        q, m, d, c = best.columns()
-        if q:
-            yield pa.RecordBatch.from_pydict({"query_id": q, "memory_id": m, "distance": d, "similarity": c})
+        found = best.columns()
+        if found[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, types)], names)
 
     return vectors.mapInArrow(scan, _partial_schema(queries, vectors))
 

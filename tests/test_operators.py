@@ -263,7 +263,7 @@ def test_knn_paths_agree_with_brute_force(spark):
     vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(999, [1.0])], "memory_id INT, embedding ARRAY<FLOAT>")
     queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id INT, query_vector ARRAY<FLOAT>")
     d = ((q[:, None, :].astype(float) - v[None].astype(float)) ** 2).sum(-1)
-    want = [(i, j, r) for i in range(9) for r, j in enumerate(sorted(range(120), key=lambda j: (d[i, j], j))[:5], 1)]
+    want = sorted((i, j, r) for i in range(9) for r, j in enumerate(sorted(range(120), key=lambda j: (d[i, j], j))[:5], 1))
     pick = ["query_id", "memory_id", "rank"]
     for options in ({}, {"matrix_bytes": 0, "block_rows": 25}):
         got = knn.knn(queries, vectors, None, 5, 8, **options)
