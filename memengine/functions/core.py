@@ -50,7 +50,7 @@ def rstrip(text: Column) -> Column:
 
 
 def blank_to_null(text: Column) -> Column:
-    return F.when(strip(text) != "", text)
+    return let(text, lambda t: F.when(strip(t) != "", t))
 
 
 def any_of(conditions: Iterable[Column]) -> Column:

@@ -137,8 +137,12 @@ def drop_pixels(html: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines without terminators; one trailing terminator opens no new line."""
-    closed = F.regexp_replace(text, f"(?:{_LINE_BREAK})\\z", "")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(closed, _LINE_BREAK))
+
+    def lines(t: Column) -> Column:
+        closed = F.regexp_replace(t, f"(?:{_LINE_BREAK})\\z", "")
+        return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(closed, _LINE_BREAK))
+
+    return let(text, lines)
 
 
 def drop_quotes(text: Column) -> Column:
@@ -247,11 +251,10 @@ def category_id(category: Column) -> Column:
 
 def tolerant_json(text: Column, schema: str) -> Column:
     """Unescape and parse; ``parsed`` is NULL and ``raw`` kept when it is not JSON."""
-    fixed = unescape_html(text)
-    return F.struct(
-        F.when(F.get_json_object(fixed, "$").isNotNull(), F.from_json(fixed, schema)).alias("parsed"),
-        text.alias("raw"),
+    parsed = let(
+        unescape_html(text), lambda t: F.when(F.get_json_object(t, "$").isNotNull(), F.from_json(t, schema))
     )
+    return F.struct(parsed.alias("parsed"), text.alias("raw"))
 
 
 def flatten_text(*values: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..operators import store, views
 from ..operators.capture import memory_key
-from ..runtime import ship_package, utc
+from ..runtime import ship_package, spread, utc
 
 MINUTE_US = 60_000_000
 START = "2024-01-01 00:00:00"
@@ -42,7 +42,7 @@ class Tables:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.read("documents")
+        return spread(self.read("documents"))
 
     @cached_property
     def events(self) -> DataFrame:
@@ -51,7 +51,7 @@ class Tables:
     @cached_property
     def pages(self) -> DataFrame:
         """pages with canonical address, host and title."""
-        return self.read("pages").select(
+        return spread(self.read("pages")).select(
             "page_id", "url", "html",
             urls.canonical_url(F.col("url")).alias("canonical_url"),
             urls.domain_hint(F.col("url")).alias("domain"),

@@ -68,6 +68,16 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if within(df, rows) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a read of few splits out to all cores; reads with splits enough stay untouched.
+
+    Text work is far dearer than moving the text once, but only small inputs
+    have fewer splits than the cluster has cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def within(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
