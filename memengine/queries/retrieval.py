@@ -10,6 +10,7 @@ from ..operators import knn as N
 from ..operators import search as R
 from ..operators import store, views
 from ..plans import retrieval as P
+from ..runtime import cut_lineage
 from . import query
 from .tables import Tables, with_tables
 
@@ -253,7 +254,7 @@ def vector_search(t: Tables) -> DataFrame:
 
 def _with_vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
     asked = vector_intents(t).withColumn("full_faiss_scan", F.lit(False))
-    found = R.search(asked, t.searchable)
+    found = cut_lineage(R.search(asked, t.searchable))
     near = P.vector_search(asked, found, item_vectors(t), dim=DIM).select(
         "query_id", "memory_id", "distance", "similarity", F.col("rank").alias("vector_rank")
     )
