@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, Str
 
 from .. import constants as K
 from ..functions.core import ends_with_any, string_array
+from ..runtime import bounded_broadcast
 
 RESULT = "struct<category:string,method:string,confidence:double>"
 MAX_CENTROIDS = 1000
@@ -62,13 +63,13 @@ def structural_group() -> Column:
 
 
 def domain_group(df: DataFrame, domain_map: DataFrame, out: str = "stage2") -> DataFrame:
-    """Stage 2: exact host lookup, pages only.  The map is a fixed dimension, so it is broadcast."""
+    """Stage 2: exact host lookup, pages only.  The map is broadcast if its size allows."""
     lookup = domain_map.select("domain", F.col("category").alias("_category"))
     hit = F.when(
         (F.lower("source_type") == "chrome") & F.col("_category").isNotNull(),
         _verdict(F.col("_category"), "domain", K.DOMAIN_CONFIDENCE),
     )
-    return df.join(F.broadcast(lookup), "domain", "left").withColumn(out, hit).drop("_category")
+    return df.join(bounded_broadcast(lookup), "domain", "left").withColumn(out, hit).drop("_category")
 
 
 def centroid_scores(df: DataFrame, centroids: DataFrame, vector: str = "embedding") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import urls
-from ..runtime import bounded_broadcast
+from ..runtime import lookup_join
 from .phrases import match_phrases
 
 
@@ -58,14 +58,13 @@ def match_rules(items: DataFrame, rules: DataFrame) -> DataFrame:
     the phrase search over title and keywords.
     """
     active = rules.filter("is_active")
-    keyed = _item_keys(items).join(
-        bounded_broadcast(_rule_keys(active.filter("rule_type <> 'keyword'"))), ["rule_type", "rule_key"]
+    keyed = lookup_join(
+        _item_keys(items), _rule_keys(active.filter("rule_type <> 'keyword'")), ["rule_type", "rule_key"]
     )
     words = active.filter("rule_type = 'keyword'").withColumn("phrase", F.lower(F.trim("rule_value")))
     text = F.concat_ws("\x1f", F.col("title"), F.array_join("auto_keywords", "\x1f"))
-    found = match_phrases(items, text, words.select("phrase"), ["memory_id"]).join(
-        bounded_broadcast(words.select("phrase", "rule_id", "group_id")), "phrase"
-    )
+    hits = match_phrases(items, text, words.select("phrase"), ["memory_id"])
+    found = lookup_join(hits, words.select("phrase", "rule_id", "group_id"), ["phrase"])
     columns = ["memory_id", "rule_id", "group_id"]
     return keyed.select(*columns).unionByName(found.select(*columns)).distinct()
 

@@ -16,12 +16,11 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import gates
 from ..functions.core import strip
-from ..runtime import top_per_group, within
+from ..runtime import lookup_join, top_per_group, within
 from .phrases import match_phrases
 
 HOUR_BITS = 24  # 2^24 hours after 1970, almost two thousand years
 ROOT = HOUR_BITS
-JOIN_SALTS = 32
 FEW_SCOPES = 5_000  # a scope makes at most 3 x 24 node rows, so a broadcast stays under 360,000 slim rows
 _SEPARATOR = "\x1f"
 
@@ -63,22 +62,13 @@ def scoped(intents: DataFrame) -> DataFrame:
     return base.withColumn("scope", F.sha2(F.to_json(F.struct("phrase", "since", "sources")), 256))
 
 
-def _join_scopes(left: DataFrame, scopes: DataFrame, keys: list[str], few: bool) -> DataFrame:
-    """Equi-join; few scopes (checked by the caller) are broadcast, else hot keys are salted."""
-    if few:
-        return left.join(F.broadcast(scopes), keys)
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64("memory_id"), F.lit(JOIN_SALTS)).cast("int"))
-    copies = scopes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
-    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
-
-
 def _by_phrase(scopes: DataFrame, items: DataFrame, few: bool) -> DataFrame:
     text = search_text(F.col("title"), F.col("auto_keywords"))
     hits = match_phrases(
         items, text, scopes.select("phrase"), ["memory_id", "source_type", "created_at", "last_accessed_at"]
     )
     placed = scopes.select("scope", "phrase", "since", F.explode("sources").alias("source_type"))
-    joined = _join_scopes(hits, placed, ["phrase", "source_type"], few)
+    joined = lookup_join(hits, placed, ["phrase", "source_type"], few)
     return joined.filter(F.col("since").isNull() | (F.col("created_at") >= F.col("since"))).select(
         "scope", "memory_id", "source_type", "created_at", "last_accessed_at"
     )
@@ -130,11 +120,11 @@ def _browse(scopes: DataFrame, items: DataFrame, limit: int, few: bool) -> DataF
     spread = slim.select(*columns, F.explode(_item_nodes(_hour(F.col("created_at")))).alias("n")).select(
         *columns, "n.level", "n.node"
     )
-    ranked = top_per_group(_join_scopes(spread, needed, node_keys, few), node_keys, order_by_access(), limit)
-    later = _join_scopes(ranked.drop("rank"), cover, node_keys, few).select("scope", *columns)
+    ranked = top_per_group(lookup_join(spread, needed, node_keys, few), node_keys, order_by_access(), limit)
+    later = lookup_join(ranked.drop("rank"), cover, node_keys, few).select("scope", *columns)
     # The hour of the bound itself, checked row by row.
     edge = placed.filter("since IS NOT NULL").withColumn("_hour", _hour(F.col("since")))
-    same_hour = _join_scopes(
+    same_hour = lookup_join(
         slim.withColumn("_hour", _hour(F.col("created_at"))), edge, ["source_type", "_hour"], few
     ).filter(F.col("created_at") >= F.col("since"))
     return later.unionByName(same_hour.select("scope", *columns))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 GROUP_LIMIT_THRESHOLD = 1000  # Spark prunes ranks map-side up to this limit
 PRE_RANK_SALTS = 64
+JOIN_SALTS = 32
 
 
 def utc(spark: SparkSession) -> SparkSession:
@@ -82,6 +83,21 @@ def within(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def lookup_join(
+    left: DataFrame, right: DataFrame, keys: list[str], few: bool | None = None, salt_by: str = "memory_id"
+) -> DataFrame:
+    """Equi-join of many rows with a table that is usually small.
+
+    A right side whose size was checked is broadcast.  Otherwise hot keys are
+    salted: left rows spread over the salts, right rows are copied to each.
+    """
+    if within(right, BROADCAST_ROWS) if few is None else few:
+        return left.join(F.broadcast(right), keys)
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(JOIN_SALTS)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def top_per_group(
     df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank"
 ) -> DataFrame:

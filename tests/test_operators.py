@@ -160,7 +160,9 @@ def test_append_and_read_turns(spark, tmp_path):
     assert {r.content for r in back.collect()} == {"hi", "hello"}
 
 
-def test_rules_over_midnight_and_types(spark):
+@pytest.mark.parametrize("few_rows", [200_000, 0])
+def test_rules_over_midnight_and_types(spark, monkeypatch, few_rows):
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", few_rows)  # 0 takes the salted joins
     items = spark.createDataFrame(
         [
             ("a", "Big Data news", ["spark"], T0 + timedelta(hours=23), None, None, None, None),
