@@ -304,19 +304,24 @@ def test_centroid_bounds_are_strict(spark):
     assert out[1] is None and out[2] is None
 
 
-class Picky:
-    def load(self):
-        def model(texts):
-            if any("bad" in t for t in texts):
-                raise ValueError("cannot read")
-            return np.array([[len(t), 1.0] for t in texts])
+def picky_model():
+    """Built in a function, so it travels to the workers by value."""
 
-        return model
+    class Picky:
+        def load(self):
+            def model(texts):
+                if any("bad" in t for t in texts):
+                    raise ValueError("cannot read")
+                return np.array([[len(t), 1.0] for t in texts])
+
+            return model
+
+    return Picky()
 
 
 def test_one_bad_text_costs_only_itself(spark):
     df = spark.createDataFrame([(0, "a"), (1, "bad"), (2, " ccc "), (3, None)], "n INT, t STRING").coalesce(1)
-    out = classify.embed(df, "t", Picky(), dim=2, blank_error="blank").orderBy("n").collect()
+    out = classify.embed(df, "t", picky_model(), dim=2, blank_error="blank").orderBy("n").collect()
     assert [r.embed_error for r in out] == [None, "cannot read", None, "blank"]
     assert [list(r.embedding) if r.embedding else None for r in out] == [[1.0, 1.0], None, [3.0, 1.0], None]
 

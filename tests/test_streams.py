@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ def feed(spark, tmp_path_factory):
     events = Tables(spark, SMALL).events.withColumn("k", F.col("user_id") % 5)
     ordered = events.repartitionByRange(5, "ts").sortWithinPartitions("ts")
     ordered.write.mode("overwrite").parquet(folder)
+    for n, part in enumerate(sorted(Path(folder).glob("part-*"))):  # the source reads oldest file first
+        os.utime(part, (1_700_000_000 + 60 * n,) * 2)
 
     def stream():
         return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
