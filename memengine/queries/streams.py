@@ -117,7 +117,7 @@ def stream_enrichment(t: Tables) -> DataFrame:
 
 @query("stream_tab_visits")
 def stream_tab_visits(t: Tables) -> DataFrame:
-    """Tab visits closed by silence; the batch roll-up is its twin in the tests."""
+    """Tab visits closed by silence; no SQL twin."""
     folder = jobs.work_folder(t.spark, "tabs")
     signals = streamed(t, "events").visits.select("user_id", "page_id", "ts", "url", "scroll_depth", "interaction_count")
     visits = jobs.tab_visits(signals, ["user_id", "page_id"])
