@@ -109,9 +109,9 @@ def _parts(values: np.ndarray, number: int) -> np.ndarray:
     return ((mix(values ^ np.uint64(number)) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
-def signatures(values: np.ndarray, number: int, percent: int, fine: bool) -> np.ndarray:
+def signatures(values: np.ndarray, number: int, percent: int) -> np.ndarray:
     """Signatures of a set in one band: a hash of band, partition and what the set has there."""
-    if number == 0 or fine:
+    if number <= 0:
         return mix(values + np.uint64(number + 1))
     parts = _parts(values, number)
     order = np.argsort(parts, kind="stable")
@@ -123,7 +123,7 @@ def signatures(values: np.ndarray, number: int, percent: int, fine: bool) -> np.
     return mix(sums[kept] + mix(ids[kept] * np.uint64(4096) + np.uint64(number)))
 
 
-def slack(values: np.ndarray, percent: int, fine: bool) -> int:
+def slack(values: np.ndarray, percent: int) -> int:
     """Signatures at least that the set shares with any similar set.
 
     Counted on the partitions both sign: as the larger one in its own band with
@@ -133,7 +133,7 @@ def slack(values: np.ndarray, percent: int, fine: bool) -> int:
     partner = size * 100 // percent
     least = size - differences(size, partner, percent)
     for number in bands_of(size, percent):
-        if number == 0 or fine:
+        if number == 0:
             continue
         parts = np.unique(_parts(values, number))
         signed = _signed(number, size, percent)
@@ -147,7 +147,12 @@ def slack(values: np.ndarray, percent: int, fine: bool) -> int:
 
 
 def bands_of(size: int, percent: int) -> list[int]:
-    """Bands in which a set signs: its own, and the next if it can be the smaller one of a pair there."""
+    """Bands in which a set signs: its own, and the next if it can be the smaller one of a pair there.
+
+    By chance a set may fill so few partitions that no bound holds for it
+    (``slack`` below 1).  A pair needs the bound of one of its sets only, so
+    such sets sign each shingle in band -1 to find one another.
+    """
     own = band(size)
     upper = FINE_BELOW << own
     return [own, own + 1] if size >= -(-upper * percent // 100) else [own]
@@ -175,7 +180,7 @@ def jaccard_groups(
         for batch in blocked(batches, "text"):
             sizes, names, least = [0] * batch.num_rows, [None] * batch.num_rows, [0] * batch.num_rows
             for i, values in shingle_sets(batch, shingle):
-                sizes[i], names[i], least[i] = len(values), digest(values), slack(values, percent, False)
+                sizes[i], names[i], least[i] = len(values), digest(values), slack(values, percent)
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(least, pa.int64())],
                 ["doc_id", "n_shingles", "name", "slack"],
@@ -185,11 +190,10 @@ def jaccard_groups(
         docs.mapInArrow(keys, "doc_id bigint, n_shingles bigint, name binary, slack bigint"), "keys"
     )
     with_set = keyed.filter("name is not null")
-    fine = not with_set.filter("slack < 1").isEmpty()
     names = with_set.groupBy("name").agg(F.min("doc_id").alias("class_id"))
     of = scratch.saved(with_set.join(names, "name").drop("name"), "classes")
     classes = of.groupBy("class_id").agg(F.count("*").alias("n_copies"), F.first("n_shingles").alias("size"))
-    candidates = _candidates(docs, of, shingle, percent, fine, pair_limit)
+    candidates = _candidates(docs, of, shingle, percent, pair_limit)
     counts, edges = _verified(docs, classes, candidates, shingle, percent, block)
     roots = components(edges, "a", "b").withColumnRenamed("node", "class_id")
     found = (
@@ -213,9 +217,7 @@ def jaccard_groups(
     )
 
 
-def _candidates(
-    docs: DataFrame, of: DataFrame, shingle: int, percent: int, fine: bool, pair_limit: int
-) -> DataFrame:
+def _candidates(docs: DataFrame, of: DataFrame, shingle: int, percent: int, pair_limit: int) -> DataFrame:
     """(class_id, group): candidate components of classes."""
 
     def emit(sigs: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
@@ -228,7 +230,8 @@ def _candidates(
         hot = np.repeat(lengths > pair_limit, lengths)
         told = starts[lengths > pair_limit]
         at = np.concatenate([sigs[~hot], mix(ids[hot].view(np.uint64)), sigs[told]]).view(np.int64)
-        sig = np.concatenate([sigs[~hot], sigs[hot], sigs[told]]).view(np.int64)
+        sig = np.zeros(len(at), dtype=np.int64)  # of marked rows only; for the others it is where they go
+        sig[(~hot).sum() : len(at) - len(told)] = sigs[hot].view(np.int64)
         who = np.concatenate([ids[~hot], ids[hot], ids[told]])
         kind = np.concatenate([np.zeros((~hot).sum()), np.ones(hot.sum()), np.full(len(told), 2)]).astype(np.int8)
         return pa.record_batch([pa.array(x) for x in (at, sig, who, kind)], ["at", "sig", "doc", "kind"])
@@ -243,8 +246,9 @@ def _candidates(
                 if who is None or (name := digest(values)) in seen:
                     continue  # a copy signs as the first of its task does
                 seen.add(name)
-                for number in bands_of(len(values), percent):
-                    sigs = signatures(values, number, percent, fine)
+                bands = bands_of(len(values), percent)
+                for number in bands if slack(values, percent) > 0 else [*bands, -1]:
+                    sigs = signatures(values, number, percent)
                     held.append(sigs)
                     ids.append(np.full(len(sigs), who, dtype=np.int64))
                     total += len(sigs)
@@ -260,8 +264,9 @@ def _candidates(
         table = pa.Table.from_batches(list(batches))
         if not table.num_rows:
             return
-        sig, who, kind = (table.column(c).to_numpy() for c in ("sig", "doc", "kind"))
+        at, sig, who, kind = (table.column(c).to_numpy() for c in ("at", "sig", "doc", "kind"))
         marked = kind == 1
+        sig = np.where(marked, sig, at)
         out = [(who[marked], sig[marked], np.full(marked.sum(), -1, dtype=np.int32))]
         sig, who, kind = sig[~marked], who[~marked], kind[~marked]
         order = np.lexsort((kind, who, sig))
@@ -298,11 +303,9 @@ def _candidates(
         rows.repartition(_partition_count(of), "at").mapInArrow(meet, "a bigint, b bigint, shared int"), "met"
     )
     marks = met.filter("shared < 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sig"))
-    size = F.col("n_shingles")
-    least = size - F.floor((size + F.floor(size * 100 / percent)) * (100 - percent) / (100 + percent)) if fine else F.col("slack")
     bounds = scratch.saved(
         of.join(marks.groupBy("doc_id").agg(F.count("*").alias("hot")), "doc_id", "left")
-        .select("doc_id", "class_id", "n_shingles", (least - F.coalesce("hot", F.lit(0))).cast("bigint").alias("needs")),
+        .select("doc_id", "class_id", "n_shingles", (F.col("slack") - F.coalesce("hot", F.lit(0))).alias("needs")),
         "bounds",
     )
     exposed = marks.join(bounds.filter("needs < 1").select("doc_id", "class_id"), "doc_id").select("sig", "class_id").distinct()
