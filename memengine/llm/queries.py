@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, ngram_join, packing, suffix_dedup
+from . import id_files, language_id, line_quality, mixing, ngram_join, packing, scratch, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +47,60 @@ def op4(docs: DataFrame) -> DataFrame:
     return packing.pack_documents(docs, TOKENIZER)
 
 
+_BOILER = " OR ".join(f"contains(lower(l), '{phrase}')" for phrase in line_quality.BOILERPLATE)
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+OP5_SQL = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+windows AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM docs WHERE len(ws) >= 5),
+twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i:i+4]) AS c FROM windows) WHERE c > 1
+),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id
+),
+raw_lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS raw FROM docs),
+lines AS (
+  SELECT doc_id, raw, trim(raw, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS l
+  FROM raw_lines WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')
+),
+measured AS (
+  SELECT *, len({_WORDS.format("l")}) AS n, len(regexp_extract_all(l, '[|»›•·]')) AS separators,
+    length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g')) AS symbols
+  FROM lines
+),
+judged AS (
+  SELECT doc_id, raw, n,
+    (regexp_matches(l, '[.!?…。！？:;]["''’”»)\]]*$') OR (n <= 5 AND separators = 0))
+    AND separators < 3 AND separators * 4 <= n AND symbols * 10 <= n AND NOT ({_BOILER})
+    AND NOT (n >= 3 AND NOT regexp_matches(l, '\p{{Ll}}') AND regexp_matches(l, '\p{{Lu}}')) AS passes
+  FROM measured
+),
+by_doc AS (
+  SELECT doc_id, count(*) - count(DISTINCT raw) AS dup, coalesce(sum(n) FILTER (WHERE passes), 0) AS clean
+  FROM judged GROUP BY doc_id
+),
+counts AS (
+  SELECT d.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(dup, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(clean, 0) AS n_clean_words
+  FROM docs d LEFT JOIN by_doc USING (doc_id) LEFT JOIN covered c USING (doc_id)
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_clean_words >= 10 AND 100 * n_clean_words >= 50 * n_words AS kept,
+  n_clean_words::BIGINT AS n_clean_words
+FROM counts
+"""
+
+
+@query("op5_line_quality", "documents", OP5_SQL)
+def op5(docs: DataFrame) -> DataFrame:
+    return line_quality.cleaned(docs.select("doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_clean_words"
+    )
+
+
 @query("op6_language_id", "documents")
 def op6(docs: DataFrame) -> DataFrame:
     model = language_id.fitted(docs)
@@ -58,3 +112,10 @@ def op6(docs: DataFrame) -> DataFrame:
 @query("op9_mixing", "documents")
 def op9(docs: DataFrame) -> DataFrame:
     return mixing.mixture(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "extra")
+
+
+@query("op10_id_files", "documents")
+def op10(docs: DataFrame) -> DataFrame:
+    path = scratch.folder(docs.sparkSession, "ids")
+    shards = id_files.write(docs, path, TOKENIZER)
+    return id_files.read(path, shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
