@@ -5,14 +5,15 @@ The counts of a document (``base_counts``) are computed beside it.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memengine.functions.core import let
 
-SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
-SYMBOLS = "#*$%&|<>"
 GRAM = 5
 MOST_REPEATED = 20  # percent of words in repeated windows
 FEWEST_WORDS = 10
@@ -27,13 +28,13 @@ BOILERPLATE = (
 # What may end a sentence, and what may stand behind it.
 _ENDS = r"[.!?…。！？:;][\"'’”»)\]]*$"
 _SEPARATORS = r"[|»›•·]"
+_SYMBOL = r"[#*$%&|<>]"
 _SMALL, _CAPITAL = r"\p{Ll}", r"\p{Lu}"
 
 
 def words_of(text: Column) -> Column:
     """Words of a text that is not null; white space alone gives none."""
-    bare = F.regexp_replace(F.regexp_replace(text, f"^{SPACE}", ""), f"{SPACE}$", "")
-    return let(bare, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACE)))
+    return F.regexp_extract_all(text, F.lit(f"{WORD}+"), F.lit(0))
 
 
 def lines_of(text: Column) -> Column:
@@ -41,37 +42,43 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
 
 
-def line_passes(line: Column) -> Column:
-    """The rules of one line: punctuation, navigation, boilerplate, symbols, shouting.
+def measured_lines(lines: Column, symbols: Column, separators: Column) -> Column:
+    """Lines as structs: line, bare (without white space around it), n (words), symbols, separators.
 
-    * it ends a sentence, or is a heading of at most five words without separators;
-    * fewer than three separators, and not one for every four words;
-    * no boilerplate phrase;
-    * at most one symbol for ten words;
-    * not in capitals throughout, if it has three words or more.
+    The two flags tell whether the text has such characters at all; if not, no line is searched for them.
     """
 
-    def rules(t: Column) -> Column:
-        n = F.regexp_count(t, F.lit(f"{WORD}+"))
-        separators = F.regexp_count(t, F.lit(_SEPARATORS))
-        symbols = F.length(t) - F.length(F.translate(t, SYMBOLS, ""))
-        low = F.lower(t)
-        boiler = F.lit(False)
-        for phrase in BOILERPLATE:
-            boiler = boiler | low.contains(phrase)
-        return (
-            (t.rlike(_ENDS) | ((n <= 5) & (separators == 0)))
-            & (separators < 3) & (separators * 4 <= n)
-            & ~boiler
-            & (symbols * 10 <= n)
-            & ~((n >= 3) & ~t.rlike(_SMALL) & t.rlike(_CAPITAL))
+    def measure(line: Column) -> Column:
+        return F.struct(
+            line.alias("line"), F.btrim(line, F.lit(" \t\x0b\x0c\r")).alias("bare"),
+            F.regexp_count(line, F.lit(f"{WORD}+")).alias("n"),
+            F.when(symbols, F.regexp_count(line, F.lit(_SYMBOL))).otherwise(0).alias("symbols"),
+            F.when(separators, F.regexp_count(line, F.lit(_SEPARATORS))).otherwise(0).alias("separators"),
         )
 
-    return let(F.btrim(line, F.lit(" \t\x0b\x0c\r")), rules)
+    return F.transform(lines, measure)
 
 
-def _word_total(lines: Column) -> Column:
-    return F.aggregate(lines, F.lit(0), lambda total, line: total + F.regexp_count(line, F.lit(f"{WORD}+")))
+def has_boilerplate(text: Column) -> Column:
+    return let(F.lower(text), lambda t: reduce(or_, [t.contains(phrase) for phrase in BOILERPLATE]))
+
+
+def line_passes(line: Column, boilerplate: Column) -> Column:
+    """The rules of one measured line: punctuation, navigation, boilerplate, symbols, shouting.
+
+    * it ends a sentence, or is a heading of at most five words without separators;
+    * fewer than three separators, and not one for every four words;
+    * no boilerplate phrase (searched for only where ``boilerplate`` says that the text has one);
+    * at most one symbol for ten words;
+    * not in capitals throughout, if it has three words or more.
+    """
+    bare, n, symbols, separators = (line[c] for c in ("bare", "n", "symbols", "separators"))
+    return (
+        (separators < 3) & (separators * 4 <= n) & (symbols * 10 <= n)
+        & (((n <= 5) & (separators == 0)) | bare.rlike(_ENDS))
+        & ~((n >= 3) & ~bare.rlike(_SMALL) & bare.rlike(_CAPITAL))
+        & ~F.when(boilerplate, has_boilerplate(bare)).otherwise(False)
+    )
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
@@ -103,8 +110,8 @@ def base_counts(docs: DataFrame) -> DataFrame:
     t = F.col("_text")
     return (
         step.withColumn("n_words", n.cast("bigint"))
-        .withColumn("word_chars", F.length(F.regexp_replace(t, SPACE, "")).cast("bigint"))
-        .withColumn("n_symbols", (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("bigint"))
+        .withColumn("word_chars", F.length(F.array_join("_words", "")).cast("bigint"))
+        .withColumn("n_symbols", F.regexp_count(t, F.lit(_SYMBOL)).cast("bigint"))
         .withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint"))
         .withColumn("n_repeat_words", F.when(F.col("_twice"), covered).otherwise(0).cast("bigint"))
         .drop("_text", "_words", "_hashes", "_twice", "_pairs", "_places")
@@ -124,12 +131,23 @@ def cleaned(docs: DataFrame, least_kept: int = LEAST_KEPT) -> DataFrame:
     """
     new = ["lines", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text", "n_clean_words", "base_failed", "kept"]
     counted = base_counts(docs.select(*[c for c in docs.columns if c not in new]))
-    passing = counted.withColumn("_passing", F.filter("lines", line_passes)).drop("lines")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    flags = F.struct(
+        (F.col("n_symbols") > 0).alias("symbols"), text.rlike(_SEPARATORS).alias("separators"),
+        has_boilerplate(text).alias("boilerplate"),
+    )
+
+    def passing_lines(flag: Column) -> Column:
+        lines = measured_lines(F.col("lines"), flag["symbols"], flag["separators"])
+        return F.filter(lines, lambda line: line_passes(line, flag["boilerplate"]))
+
+    # bound by let: an optimizer that moved the flags into the lambdas would search the text once per line
+    passing = counted.withColumn("_passing", let(flags, passing_lines))
     n, repeats = F.col("n_words"), F.col("n_repeat_words")
     return (
-        passing.withColumn("clean_text", F.array_join("_passing", "\n"))
-        .withColumn("n_clean_words", _word_total(F.col("_passing")).cast("bigint"))
+        passing.withColumn("clean_text", F.array_join(F.col("_passing")["line"], "\n"))
+        .withColumn("n_clean_words", F.aggregate(F.col("_passing")["n"], F.lit(0), lambda total, x: total + x).cast("bigint"))
         .withColumn("base_failed", (n < FEWEST_WORDS) | (100 * repeats > MOST_REPEATED * n))
         .withColumn("kept", ~F.col("base_failed") & (F.col("n_clean_words") >= FEWEST_WORDS) & (100 * F.col("n_clean_words") >= least_kept * n))
-        .drop("_passing")
+        .drop("lines", "_passing")
     )
