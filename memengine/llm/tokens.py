@@ -13,9 +13,10 @@ import re
 
 import numpy as np
 
-KEPT_PARTS = 600_000
+KEPT_PARTS = 1_000_000
 LONG_PART = 64
 _PARTS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
@@ -44,15 +45,19 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def _learn(self, parts: list[str]) -> None:
-        """Ids of new parts.  A full stop or comma behind a letter is a token of its own, so the rest may be known."""
-        known = self.known
-        ended = [p for p in parts if p[-1] in ".," and len(p) > 1 and p[-2].isalpha()]
-        fresh = set(parts).difference(ended)
-        fresh.update(p[:-1] for p in ended)
-        fresh.update(".,")
+        """Ids of new parts.  ASCII marks behind a letter are a token run of their own, so what stands before may be known."""
+        known, ended, fresh = self.known, [], set()
+        for p in parts:
+            base = p.rstrip(_MARKS)
+            if base and len(base) < len(p) and base[-1].isalpha():
+                ended.append((p, base, p[len(base) :]))
+                fresh.add(base)
+                fresh.add(ended[-1][2])
+            else:
+                fresh.add(p)
         self._cut([p for p in fresh if p not in known])
-        for p in ended:
-            known[p] = known[p[:-1]] + known[p[-1]]
+        for p, base, marks in ended:
+            known[p] = known[base] + known[marks]
 
     def _cut(self, parts: list[str]) -> None:
         """Encode parts as one text and cut its ids at their borders, which the byte lengths of the tokens give."""
@@ -92,14 +97,15 @@ class Encoder:
             used: set[str] = set()
             for _, parts in some:
                 used.update(parts)
-            long = {p for p in used if len(p) > LONG_PART}
             if len(self.known) > KEPT_PARTS:
                 self.known.clear()
-            self._learn([p for p in used if p not in self.known and p not in long])
+            new = [p for p in used if p not in self.known]
+            long = [p for p in new if len(p) > LONG_PART]
             ids_of = self.known
             if long:
-                rare = sorted(long)
-                ids_of = _Two(self.known, dict(zip(rare, self._whole(rare))))
+                new = [p for p in new if len(p) <= LONG_PART]
+                ids_of = _Two(self.known, dict(zip(long, self._whole(long))))
+            self._learn(new)
             for i, parts in some:
                 out[i] = b"".join(map(ids_of.__getitem__, parts))
         return [np.frombuffer(x, dtype="<u4") for x in out]
