@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 
-KEPT_PARTS = 1_000_000
+KEPT_PARTS = 900_000
 LONG_PART = 64
 _PARTS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -91,7 +91,7 @@ class Encoder:
             out[i] = ids
         while cut:
             some, total = [], 0
-            while cut and (not some or total < 500_000):
+            while cut and (not some or total < 150_000):
                 some.append(cut.pop())
                 total += len(some[-1][1])
             used: set[str] = set()
