@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import id_files, language_id, line_quality, mixing, ngram_join, packing, scratch, suffix_dedup
+from . import id_files, language_id, line_quality, mixing, ngram_join, packing, scratch, suffix_dedup, voronoi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,6 +109,26 @@ def op6(docs: DataFrame) -> DataFrame:
     )
 
 
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id AS vec_id, list_inner_product(q.v, d.v)::BIGINT AS score
+  FROM v q, v d WHERE q.vec_id % 20 = 0 AND d.vec_id <> q.vec_id
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 20
+"""
+
+
+@query("op8_voronoi_knn", "embeddings", OP8_SQL)
+def op8(vectors: DataFrame) -> DataFrame:
+    return voronoi.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
 @query("op9_mixing", "documents")
 def op9(docs: DataFrame) -> DataFrame:
     return mixing.mixture(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "extra")
