@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 
-KEPT_PARTS = 900_000
+KEPT_PARTS = 700_000
 LONG_PART = 64
 _PARTS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SPACES = b" \t\n\v\f\r"
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[list(SPACES)] = False
@@ -136,5 +136,7 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iter
 
 
 def blocked(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``pieces`` of all batches of a task; memory that they no longer need goes back when the task ends."""
     for batch in batches:
         yield from pieces(batch, column, limit)
+    pa.default_memory_pool().release_unused()
