@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import id_files, language_id, line_quality, mixing, ngram_join, packing, scratch, suffix_dedup, voronoi
+from . import chat, html_text, id_files, language_id, line_quality, mixing, ngram_join, packing, scratch, suffix_dedup, voronoi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,43 @@ def query(name: str, table: str, sql: str | None = None):
     return register
 
 
+OP1_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text,
+    coalesce(floor(turn / 1024), -1)::BIGINT AS slot
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+numbered AS (
+  SELECT *, row_number() OVER (
+    PARTITION BY conv_id, slot ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST
+  ) - 1 AS number FROM turns
+),
+people AS (SELECT DISTINCT conv_id, role AS participant FROM turns WHERE role <> 'system'),
+messages AS (
+  SELECT conv_id, participant, slot, (number // 256)::INTEGER AS part, number,
+    '<|im_start|>' || CASE WHEN role = participant THEN 'assistant' WHEN role = 'system' THEN 'system'
+      WHEN role IS NULL THEN 'user' ELSE 'user name=' || replace(role, '<|im_', '<| im_') END || chr(10) AS head,
+    text || '<|im_end|>' AS body, coalesce(role = participant, false) AS own
+  FROM numbered JOIN people USING (conv_id)
+),
+placed AS (
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (
+    PARTITION BY conv_id, participant, slot, part ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING
+  ), 0)::BIGINT + length(head) AS start FROM messages
+)
+SELECT conv_id, participant, slot, part, count(*) AS n_turns,
+  string_agg(head || body || chr(10), '' ORDER BY number) AS text,
+  coalesce(string_agg(start || '-' || (start + length(body)), ' ' ORDER BY number) FILTER (WHERE own), '') AS loss_spans
+FROM placed GROUP BY conv_id, participant, slot, part
+"""
+
+
+@query("op1_perspectives", "conversations", OP1_SQL)
+def op1(turns: DataFrame) -> DataFrame:
+    spans = F.transform("loss_spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+    return chat.perspectives(turns).withColumn("loss_spans", F.array_join(spans, " "))
+
+
 @query("op2_suffix_dedup", "documents")
 def op2(docs: DataFrame) -> DataFrame:
     """Repeated passages of 50 words or more: one row per run of words of a document that stand elsewhere too."""
@@ -129,6 +166,11 @@ def op8(vectors: DataFrame) -> DataFrame:
     return voronoi.top_k(vectors, F.col("vec_id") % 20 == 0)
 
 
+@query("op7_html_text", "pages")
+def op7(pages: DataFrame) -> DataFrame:
+    return html_text.rendered(pages.select("page_id", "url", "html"))
+
+
 @query("op9_mixing", "documents")
 def op9(docs: DataFrame) -> DataFrame:
     return mixing.mixture(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "extra")
