@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from memengine.runtime import ship_package, top_per_group
 
+from .held import held
+
 SAMPLE_DOCS = 1000
 SAMPLE_CHARS = 1000
 DICTIONARY_BYTES = 200_000
@@ -37,14 +39,20 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int
     labelled = docs.select("lang", "text").filter("lang is not null and text is not null")
     hashed = labelled.withColumn("pick", F.xxhash64("text"))
     counts = hashed.groupBy("lang", "pick").agg(F.count("*").alias("n"))
-    wanted = top_per_group(counts.select("lang", "pick"), ["lang"], [F.col("pick")], sample_docs).drop("rank")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect()
+    if not totals:
+        return {}
+    # hashes are even: those below a bound hold a few times the sample, so no task ranks a language
+    share = F.create_map(*[F.lit(x) for r in totals for x in (r["lang"], min(1.0, 4.0 * sample_docs / r["texts"]))])
+    low = F.pmod("pick", F.lit(1 << 40)) <= share[F.col("lang")] * float(1 << 40)
+    wanted = top_per_group(counts.filter(low).select("lang", "pick"), ["lang"], [F.col("pick")], sample_docs).drop("rank")
     sample = (
         hashed.join(F.broadcast(wanted), ["lang", "pick"])
         .groupBy("lang", "pick")
         .agg(F.min(F.left("text", F.lit(SAMPLE_CHARS))).alias("text"))
         .toPandas()
     )
-    sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in totals}
     model = {}
     for lang in sorted(sizes, key=lambda x: (-sizes[x], x)):
         rows = sample[sample["lang"] == lang].sort_values("pick")
@@ -78,9 +86,6 @@ class Compressors:
         return [sum(len(tool.compress(b)) for b in blocks) for tool in self.tools.values()]
 
 
-_BUILT: dict[int, tuple[bytes, Compressors]] = {}
-
-
 def predict(docs: DataFrame, model: dict[str, bytes], level: int = LEVEL, min_margin: float = MIN_MARGIN) -> DataFrame:
     """``docs`` with lang_pred, score (0 to 1) and rejected (boolean).
 
@@ -96,11 +101,8 @@ def predict(docs: DataFrame, model: dict[str, bytes], level: int = LEVEL, min_ma
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def classify(texts: pa.Array) -> pa.Array:
-        key = hash(packed)
-        if key not in _BUILT or _BUILT[key][0] != packed:
-            _BUILT.clear()
-            _BUILT[key] = packed, Compressors(*pickle.loads(packed))
-        tools, langs, scores = _BUILT[key][1], [], []
+        tools = held(("language", packed), lambda: Compressors(*pickle.loads(packed)))
+        langs, scores = [], []
         for text in texts.to_pylist():
             letters = plain(text or "")
             if not names or not any(map(str.isalpha, letters)):

@@ -38,6 +38,7 @@ from memengine.runtime import ship_package
 
 from . import bloom, scratch
 from .graph import components
+from .held import let_go
 from .inputs import shuffle_partitions, texts_by_id
 from .words import blocked, mix, words_of
 
@@ -177,6 +178,7 @@ def jaccard_groups(
     docs = texts_by_id(docs)
 
     def keys(batches):
+        let_go()
         for batch in blocked(batches, "text"):
             sizes, names, least = [0] * batch.num_rows, [None] * batch.num_rows, [0] * batch.num_rows
             for i, values in shingle_sets(batch, shingle):
@@ -237,6 +239,7 @@ def _candidates(docs: DataFrame, of: DataFrame, shingle: int, percent: int, pair
         return pa.record_batch([pa.array(x) for x in (at, sig, who, kind)], ["at", "sig", "doc", "kind"])
 
     def sign(batches):
+        let_go()
         held, ids, total = [], [], 0
         seen: set[bytes] = set()
         for batch in blocked(batches, "text"):
@@ -352,6 +355,7 @@ def _verified(
     wanted = bloom.build(candidates, "class_id")
 
     def sets(batches):
+        let_go()
         for batch in blocked(batches, "text"):
             ids = batch.column("doc_id")
             valid = ids.is_valid().to_numpy(zero_copy_only=False)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from memengine.runtime import ship_package
 
 from . import bloom, scratch
+from .held import let_go
 from .inputs import shuffle_partitions, texts_by_id
 from .words import Words, blocked, mix, words_of
 
@@ -62,6 +63,7 @@ def repeated(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Keyed],
                                ["place", "key", "doc", "at", "kind"])
 
     def spread(batches):
+        let_go()
         held, total = [], 0
         for item in keys(batches):
             held.append(item)
@@ -74,6 +76,7 @@ def repeated(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Keyed],
 
     def compare(batches):
         """Sorted by key, a row is repeated if a neighbour has its key or its own task had seen the key again."""
+        let_go()
         table = pa.Table.from_batches(list(batches))
         if not table.num_rows:
             return

@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from .held import held
+
 KEPT_PARTS = 700_000
 LONG_PART = 64
 _PARTS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -120,11 +122,6 @@ class _Two:
         return self.two[key] if found is None else found
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The encoder of this worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(("encoder", path), lambda: Encoder(path))
