@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memengine.runtime import ship_package
-
+from .inputs import prepared
 from .words import blocked
 
 # Element names by their role in HTML.
@@ -287,7 +286,7 @@ def rendered(pages: DataFrame, html: str = "html") -> DataFrame:
     Rows are rendered one by one, so ties, repeated rows and null ids change nothing; other columns pass
     through, one named ``text`` is replaced.  No rows: no rows.
     """
-    ship_package(pages.sparkSession)
+    prepared(pages.sparkSession)
 
     @F.arrow_udf("string")
     def render(column: pa.Array) -> pa.Array:

@@ -23,9 +23,7 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memengine.runtime import ship_package
-
-from .inputs import shuffle_partitions
+from .inputs import prepared, shuffle_partitions
 from .tokens import encoder
 from .words import blocked, mix
 
@@ -142,7 +140,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, shard_bytes: int = SHARD_B
     doc_id order, null first, those of one doc_id by their text.  Ids are two bytes wide where the
     vocabulary allows, else four.  Other columns are ignored; no rows write no shards.
     """
-    spark = ship_package(docs.sparkSession)
+    spark = prepared(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(shuffle_partitions(docs), math.ceil(total / shard_bytes))
@@ -204,7 +202,7 @@ def read(path: str, shards: DataFrame, batch_docs: int = 512) -> DataFrame:
 
     Each document is found through the index, by its key; records without a key by their place.
     """
-    ship_package(shards.sparkSession)
+    prepared(shards.sparkSession)
 
     def documents(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +242,7 @@ def find(spark: SparkSession, path: str, keys: DataFrame, column: str = "doc_id"
 
     Keys are sent to the shard whose id range holds them, one row per shard being the only thing joined.
     """
-    ship_package(spark)
+    prepared(spark)
     shards = spark.read.parquet(f"{path}/shards").filter("first_id is not null")
 
     def seek(batches) -> Iterator[pa.RecordBatch]:

@@ -2,9 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memengine.runtime import ship_package
+
+BATCH_ROWS = 2000
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """Send the package to the workers, and hand them whole texts in batches of at most ``BATCH_ROWS`` rows.
+
+    Spark's default of 10,000 is made for numbers; batches of that many long texts would fill an executor.
+    A session that has set a smaller number keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return ship_package(spark)
+
 
 def texts_by_id(docs: DataFrame) -> DataFrame:
     """(doc_id, text), one row per id: rows without an id go, of rows that share one the greatest text stays.

@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memengine.runtime import ship_package, top_per_group
+from memengine.runtime import top_per_group
 
 from .held import held
+from .inputs import prepared
 
 SAMPLE_DOCS = 1000
 SAMPLE_CHARS = 1000
@@ -95,7 +96,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], level: int = LEVEL, min_ma
     Equal sizes: the language with more labelled rows.  rejected: ``und``, or a
     score below ``min_margin``.  Columns of these names are replaced.
     """
-    ship_package(docs.sparkSession)
+    prepared(docs.sparkSession)
     packed = pickle.dumps((model, level))
     names = list(model)
 

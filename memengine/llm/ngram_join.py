@@ -34,12 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memengine.runtime import ship_package
-
 from . import bloom, scratch
 from .graph import components
 from .held import let_go
-from .inputs import shuffle_partitions, texts_by_id
+from .inputs import prepared, shuffle_partitions, texts_by_id
 from .words import blocked, mix, words_of
 
 SHINGLE = 5
@@ -174,7 +172,7 @@ def jaccard_groups(
     a null doc_id are left out.  Other columns of ``docs`` are ignored.  No
     rows: no rows.
     """
-    ship_package(docs.sparkSession)
+    prepared(docs.sparkSession)
     docs = texts_by_id(docs)
 
     def keys(batches):

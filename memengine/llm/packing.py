@@ -19,9 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memengine.runtime import ship_package
-
 from . import scratch
+from .inputs import prepared
 from .tokens import encoder
 from .words import blocked
 
@@ -44,7 +43,7 @@ def encoded_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     first of which may be shorter.  Each row of ``docs`` is a document of its
     own, also if its doc_id is null or repeats; other columns are ignored.
     """
-    ship_package(docs.sparkSession)
+    prepared(docs.sparkSession)
 
     def encode(batches):
         end = np.array([end_id], dtype="<u4")
@@ -211,7 +210,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHAR
     sequence of its own.  The table is written once, so that its rows have
     numbers that stay.  No rows: no rows.  Columns of the new names are replaced.
     """
-    ship_package(pieces.sparkSession)
+    prepared(pieces.sparkSession)
     kept = [c for c in pieces.columns if c not in ("sequence_id", "offset", "row_id")]
     rows = scratch.saved(pieces.select(*kept).withColumn("row_id", F.monotonically_increasing_id()), "pieces")
     part = rows.filter(F.col("length") < capacity).select("row_id", "length")

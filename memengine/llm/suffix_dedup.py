@@ -28,11 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memengine.runtime import ship_package
-
 from . import bloom, scratch
 from .held import let_go
-from .inputs import shuffle_partitions, texts_by_id
+from .inputs import prepared, shuffle_partitions, texts_by_id
 from .words import Words, blocked, mix, words_of
 
 MIN_WORDS = 50
@@ -122,7 +120,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW, g
     """
     if not 1 <= window <= min_words - gram + 1:
         raise ValueError("a window and an n-gram must fit into a passage")
-    ship_package(docs.sparkSession)
+    prepared(docs.sparkSession)
     docs = texts_by_id(docs).filter("text is not null")
     right = min_words - window + 1
 
@@ -191,7 +189,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     is left goes.  Texts without repeats, null and empty ones too, are returned
     as they are.  ``n_chars``, if there is such a column, follows the text.
     """
-    spark = ship_package(docs.sparkSession)
+    spark = prepared(docs.sparkSession)
     passages = scratch.saved(repeats(docs, min_words), "passages").filter(~F.col("first"))
     cuts = passages.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("at").alias("_cuts"))
     found = bloom.build(passages, "doc_id")

@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memengine.runtime import ship_package, top_per_group
+from memengine.runtime import top_per_group
 
 from . import scratch
-from .inputs import shuffle_partitions
+from .inputs import prepared, shuffle_partitions
 
 K = 20
 SCALE = 64.0
@@ -64,7 +64,7 @@ def top_k(
     vectors count as padded with zeros.  Components beyond 64-bit sums are not supported.  Other columns are
     ignored.  No rows or no queries: no rows.
     """
-    spark = ship_package(vectors.sparkSession)
+    spark = prepared(vectors.sparkSession)
     given = vectors.select(
         F.col(id_column).cast("bigint").alias("id"), F.coalesce(wanted, F.lit(False)).alias("wanted"),
         quantized(F.col(vector_column), scale).alias("v"),
