@@ -46,8 +46,8 @@ FINE_BELOW = 128
 DENSITY = 0.4  # partitions per shingle of the largest set of a band
 PAIR_LIMIT = 10
 BLOCK = 512
-BLOCK_SHINGLES = 1_000_000
-COLUMNS = 4096
+BLOCK_SHINGLES = 500_000
+COLUMNS = 2048
 
 
 def shingle_sets(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, np.ndarray]]:

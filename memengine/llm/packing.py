@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .inputs import prepared
-from .tokens import encoder
+from .tokens import KEPT_PARTS, encoder
 from .words import blocked
 
 CAPACITY = 2048
@@ -35,7 +35,9 @@ ELITE = 2
 WELL_FILLED = 0.995
 
 
-def encoded_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def encoded_pieces(
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, kept_parts: int = KEPT_PARTS
+) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (binary, little-endian unsigned 32-bit).
 
     A document is the ids of its whole text and ``end_id``; null counts as
@@ -47,9 +49,10 @@ def encoded_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
 
     def encode(batches):
         end = np.array([end_id], dtype="<u4")
+        tool = encoder(tokenizer, kept_parts)
         for batch in blocked(batches, "text"):
             columns: list[list] = [[], [], [], [], []]
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer).encode(batch.column("text").to_pylist())):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), tool.encode(batch.column("text").to_pylist())):
                 ids = np.concatenate([ids, end])
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 for piece, (low, high) in enumerate(zip(cuts, cuts[1:])):
@@ -242,7 +245,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHAR
     return short.unionByName(full)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, kept_parts: int = KEPT_PARTS) -> DataFrame:
     """The digest of a packing: pieces with ids_crc32 instead of their ids, and where each one is."""
-    pieces = encoded_pieces(docs, tokenizer, capacity)
+    pieces = encoded_pieces(docs, tokenizer, capacity, kept_parts=kept_parts)
     return packed(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity)

@@ -15,7 +15,7 @@ import numpy as np
 
 from .held import held
 
-KEPT_PARTS = 500_000
+KEPT_PARTS = 800_000
 LONG_PART = 64
 _PARTS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -25,13 +25,15 @@ _OTHER_SPACE = re.compile(r"[^\S \n]")
 class Encoder:
     """``encode(texts)`` gives one array of unsigned 32-bit ids per text; null counts as empty.
 
+    ``kept_parts`` bounds the parts remembered, some 250 bytes each: fewer spare memory and cost time.
     Special tokens are neither added nor read from the texts: their strings are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_parts: int = KEPT_PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.kept_parts = kept_parts
         self.tool = Tokenizer.from_file(path)
         self.tool.encode_special_tokens = True
         self.tool.no_truncation()
@@ -99,7 +101,7 @@ class Encoder:
             used: set[str] = set()
             for _, parts in some:
                 used.update(parts)
-            if len(self.known) > KEPT_PARTS:
+            if len(self.known) > self.kept_parts:
                 self.known.clear()
             new = [p for p in used if p not in self.known]
             long = [p for p in new if len(p) > LONG_PART]
@@ -122,6 +124,6 @@ class _Two:
         return self.two[key] if found is None else found
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept_parts: int = KEPT_PARTS) -> Encoder:
     """The encoder of this worker process."""
-    return held(("encoder", path), lambda: Encoder(path))
+    return held(("encoder", path, kept_parts), lambda: Encoder(path, kept_parts))
