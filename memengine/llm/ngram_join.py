@@ -48,6 +48,7 @@ PAIR_LIMIT = 10
 BLOCK = 512
 BLOCK_SHINGLES = 500_000
 COLUMNS = 2048
+ROWS_IN_TASK = 300_000
 
 
 def shingle_sets(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -253,7 +254,7 @@ def _candidates(docs: DataFrame, of: DataFrame, shingle: int, percent: int, pair
                     held.append(sigs)
                     ids.append(np.full(len(sigs), who, dtype=np.int64))
                     total += len(sigs)
-            if total > 1_000_000:
+            if total > ROWS_IN_TASK:
                 yield emit(np.concatenate(held), np.concatenate(ids))
                 held, ids, total = [], [], 0
                 seen = set()

@@ -36,7 +36,7 @@ from .words import Words, blocked, mix, words_of
 MIN_WORDS = 50
 WINDOW = 20
 GRAM = 8
-ROWS_IN_TASK = 1_000_000
+ROWS_IN_TASK = 300_000
 _PLACE = np.uint64((1 << 28) - 1)
 
 Keyed = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
