@@ -333,9 +333,9 @@ def _candidates(docs: DataFrame, of: DataFrame, shingle: int, percent: int, pair
 
 
 def _partition_count(of: DataFrame) -> int:
-    """So many partitions that each holds about a million signatures."""
+    """So many partitions that each holds some 200,000 signatures."""
     total = of.agg(F.sum("n_shingles")).first()[0] or 0
-    return max(shuffle_partitions(of), math.ceil(total / 1_000_000))
+    return max(shuffle_partitions(of), math.ceil(total / 400_000))
 
 
 def _verified(
