@@ -263,9 +263,10 @@ def _candidates(docs: DataFrame, of: DataFrame, shingle: int, percent: int, pair
 
     def meet(batches):
         """Sets that share a signature: their pairs if they are few, else a mark for each."""
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = list(batches)
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         at, sig, who, kind = (table.column(c).to_numpy() for c in ("at", "sig", "doc", "kind"))
         marked = kind == 1
         sig = np.where(marked, sig, at)

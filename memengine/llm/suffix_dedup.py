@@ -75,9 +75,10 @@ def repeated(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Keyed],
     def compare(batches):
         """Sorted by key, a row is repeated if a neighbour has its key or its own task had seen the key again."""
         let_go()
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = list(batches)
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         key, doc, at, kind = (table.column(c).to_numpy() for c in ("key", "doc", "at", "kind"))
         order = np.lexsort((at, doc, kind == 2, key))
         key, doc, at, kind = key[order], doc[order], at[order], kind[order]
