@@ -158,7 +158,7 @@ def embed(
             return [(v, None) for v in checked(model(texts), len(texts))]
         except Exception as exc:
             if len(texts) == 1:
-                return [(None, str(exc)[:200])]
+                return [(None, str(exc))]
             return [pair for one in texts for pair in vectors_of(model, [one])]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

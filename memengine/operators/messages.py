@@ -52,13 +52,13 @@ def history_text(
 ) -> DataFrame:
     """Last ``n`` messages per session as lines, oldest first.
 
-    ``sessions`` lists sessions that must appear even without messages.
+    ``sessions`` lists sessions that must appear even without messages.  A null content is an empty line.
     """
     recent = top_per_group(
         parsed.select("session_id", order, "role", "content"), ["session_id"], [F.col(order).desc()], n
     )
     label = F.when(F.col("role") == "user", "User: ").otherwise("Assistant: ")
-    lines = F.sort_array(F.collect_list(F.struct(F.col(order), F.concat(label, F.col("content")).alias("line"))))
+    lines = F.sort_array(F.collect_list(F.struct(F.col(order), F.concat(label, F.coalesce("content", F.lit(""))).alias("line"))))
     text = recent.groupBy("session_id").agg(
         F.array_join(F.transform(lines, lambda m: m["line"]), "\n").alias("history")
     )

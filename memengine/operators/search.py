@@ -75,7 +75,12 @@ def _by_phrase(scopes: DataFrame, items: DataFrame, few: bool) -> DataFrame:
 
 
 def _hour(ts: Column) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(3_600_000_000)).cast("bigint")
+    """Hour as a leaf of the tree, 1970 in its middle.  Times beyond its ends share the outermost leaf.
+
+    That loses nothing: the leaf of a bound is always compared row by row.
+    """
+    hour = F.floor(F.unix_micros(ts) / F.lit(3_600_000_000)).cast("bigint") + F.lit(1 << (HOUR_BITS - 1))
+    return F.greatest(F.lit(0).cast("bigint"), F.least(F.lit((1 << HOUR_BITS) - 1).cast("bigint"), hour))
 
 
 def _shift(number: Column, bits: Column) -> Column:

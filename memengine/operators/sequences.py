@@ -5,11 +5,14 @@ key is cut into time slots: windows run inside (key, slot), and one small
 summary row per (key, slot) carries the state over slot borders.  The summary
 side has one row per key and slot, never one per event, and it is the side
 that moves for the join, because the rows are already spread by (key, slot).
-Keys must not be null.
+Null keys are one key.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,16 @@ def _slots(keys: list[str]):
     return Window.partitionBy(*keys).orderBy("_slot")
 
 
+def _with_carried(rows: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on the keys and the slot, where null equals null."""
+    on = [*keys, "_slot"]
+    renamed = carried.select(
+        *[F.col(c).alias(f"_of_{c}") for c in on], *[c for c in carried.columns if c not in on]
+    )
+    condition = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on])
+    return rows.join(renamed, condition, "left").drop(*[f"_of_{c}" for c in on])
+
+
 def neighbour(
     df: DataFrame,
     keys: list[str],
@@ -44,7 +57,7 @@ def neighbour(
     inside = Window.partitionBy(*keys, "_slot").orderBy(*order)
     edges = rows.groupBy(*keys, "_slot").agg(edge("_pay").alias("_edge"))
     carried = edges.select(*keys, "_slot", pick("_edge").over(_slots(keys)).alias("_carry"))
-    joined = rows.withColumn("_near", pick("_pay").over(inside)).join(carried, [*keys, "_slot"], "left")
+    joined = _with_carried(rows.withColumn("_near", pick("_pay").over(inside)), carried, keys)
     return joined.withColumn(out, F.coalesce("_near", "_carry")).drop("_slot", "_pay", "_near", "_carry")
 
 
@@ -59,7 +72,7 @@ def running_total(
     before = _slots(keys).rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(*keys, "_slot").agg(F.sum("_v").alias("_sum"))
     offsets = sums.select(*keys, "_slot", F.sum("_sum").over(before).alias("_offset"))
-    joined = rows.withColumn("_in", F.sum("_v").over(inside)).join(offsets, [*keys, "_slot"], "left")
+    joined = _with_carried(rows.withColumn("_in", F.sum("_v").over(inside)), offsets, keys)
     total = F.col("_in") + F.coalesce(F.col("_offset"), F.lit(0))
     return joined.withColumn(out, total).drop("_slot", "_v", "_in", "_offset")
 
@@ -84,7 +97,7 @@ def last_known(
     filled = rows
     for c in columns:
         filled = filled.withColumn(c, F.last(c, ignorenulls=True).over(inside))
-    joined = filled.join(carried, [*keys, "_slot"], "left")
+    joined = _with_carried(filled, carried, keys)
     for c in columns:
         joined = joined.withColumn(c, F.coalesce(c, f"_carry_{c}"))
     return joined.drop("_slot", *[f"_carry_{c}" for c in columns])

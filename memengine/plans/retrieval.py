@@ -121,7 +121,9 @@ def _one_round(
     intents: DataFrame, view: DataFrame, vectors: DataFrame, limit: int, k: int, dim: int
 ) -> tuple[DataFrame, DataFrame]:
     found = cut_lineage(search(intents, view, limit))
-    near = vector_search(intents, found, vectors, k, dim).select(
+    # Vectors of items that cannot be found would use up places among the k nearest.
+    live = vectors.join(view.select("memory_id"), "memory_id", "left_semi")
+    near = vector_search(intents, found, live, k, dim).select(
         "query_id", "memory_id", "distance", "similarity", F.col("rank").alias("vector_rank")
     )
     # A full scan may reach live items the structured limit left out: they join in.

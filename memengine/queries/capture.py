@@ -273,7 +273,7 @@ def video_dump(t: Tables) -> DataFrame:
         F.floor(seconds / 3600), F.lit("H"), F.floor(seconds % 3600 / 60), F.lit("M"), seconds % 60, F.lit("S"),
     )
     snippet = F.struct(
-        F.col("title"), F.substring("text", 1, 300).alias("description"),
+        F.col("title"), F.col("text").alias("description"),
         F.concat(F.lit("Channel "), F.col("source")).alias("channelTitle"),
         F.concat(F.lit("UC"), F.col("source")).alias("channelId"),
         F.lit("2024-01-01T00:00:00Z").alias("publishedAt"),
@@ -293,7 +293,7 @@ def video_dump(t: Tables) -> DataFrame:
     "video_metadata",
     with_tables(
         "video_docs",
-        """SELECT source_id AS video_id, title, md5(substring(text, 1, 300)) AS description_hash,
+        """SELECT source_id AS video_id, title, md5(text) AS description_hash,
                   'UC' || source AS channel_id,
                   CASE WHEN doc_id % 7 = 0 THEN 0 ELSE n_chars END::INTEGER AS duration_seconds,
                   CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 30 END::INTEGER AS category,
@@ -311,7 +311,7 @@ def video_metadata(t: Tables) -> DataFrame:
 def caption_dump(t: Tables) -> DataFrame:
     """Two caption sources per video; the JSON one is empty for every fourth."""
     line = lambda s: F.struct(s.alias("utf8"))
-    words = F.filter(F.split(F.substring("text", 1, 200), " "), lambda w: w != "")
+    words = F.filter(F.split("text", " "), lambda w: w != "")
     events = F.transform(words, lambda w: F.struct(F.array(line(F.concat(F.lit(" "), w))).alias("segs")))
     body = F.to_json(F.struct(F.when(F.col("doc_id") % 4 == 1, F.slice(events, 1, 0)).otherwise(events).alias("events")))
     json3 = t.video_docs.select(
@@ -332,7 +332,7 @@ def caption_dump(t: Tables) -> DataFrame:
                   CASE WHEN doc_id % 4 = 1 THEN
                     trim(regexp_replace('Tom & ' || substring(title, 1, 20) || ' end', '\s+', ' ', 'g'))
                   ELSE array_to_string(list_filter(list_transform(
-                    list_filter(string_split(substring(text, 1, 200), ' '), lambda w: w <> ''),
+                    list_filter(string_split(text, ' '), lambda w: w <> ''),
                     lambda w: regexp_replace(w, '^\s+|\s+$', '', 'g')), lambda w: w <> ''), ' ') END AS transcript_text
             FROM video_docs""",
     ),

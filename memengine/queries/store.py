@@ -181,12 +181,12 @@ def refresh_rows(t: Tables) -> DataFrame:
     "video_refresh",
     with_tables(
         "video_docs",
-        r"""SELECT memory_id, title, md5(trim(concat_ws(' ', nullif(substring(text, 1, 300), ''), nullif(spoken, ''),
+        r"""SELECT memory_id, title, md5(trim(concat_ws(' ', nullif(text, ''), nullif(spoken, ''),
                   lang || ' ' || source))) AS text_hash
             FROM (SELECT *, CASE WHEN doc_id % 4 = 1 THEN
                     trim(regexp_replace('Tom & ' || substring(title, 1, 20) || ' end', '\s+', ' ', 'g'))
                   ELSE array_to_string(list_filter(list_transform(
-                    list_filter(string_split(substring(text, 1, 200), ' '), lambda w: w <> ''),
+                    list_filter(string_split(text, ' '), lambda w: w <> ''),
                     lambda w: regexp_replace(w, '^\s+|\s+$', '', 'g')), lambda w: w <> ''), ' ') END AS spoken
                   FROM video_docs)""",
     ),

@@ -182,7 +182,7 @@ class Tables:
             F.concat(F.lit("UC"), F.col("source")).alias("channel_id"),
             duration.alias("duration_seconds"),
             (duration < 60).alias("is_short"),
-            F.substring("text", 61, 400).alias("transcript_text"),
+            F.expr("substring(text, 61)").alias("transcript_text"),
             pick("doc_id", 12, {1: 27, 3: 10, 5: 17}).cast("int").alias("youtube_category_id"),
         )
 
@@ -215,7 +215,7 @@ class Tables:
         joined = self.events.withColumn("page_id", F.floor(F.col("event_id") / 40)).join(
             self.pages.select("page_id", F.col("url").alias("page_url"), F.col("domain").alias("host"),
                               F.col("title").alias("page_title"),
-                              F.substring("html", 1, 200).alias("extract")),
+                              F.col("html").alias("extract")),
             "page_id",
         )
         app, tracker = F.col("event_id") % 13 == 0, F.col("event_id") % 17 == 0
@@ -313,7 +313,7 @@ CTES: dict[str, str] = {
     "video_meta": """
         SELECT memory_id, source_id AS video_id, 'Channel ' || source AS channel_name, 'UC' || source AS channel_id,
                (n_chars % 600)::INTEGER AS duration_seconds, n_chars % 600 < 60 AS is_short,
-               substring(text, 61, 400) AS transcript_text,
+               substring(text, 61) AS transcript_text,
                CASE doc_id % 12 WHEN 1 THEN 27 WHEN 3 THEN 10 WHEN 5 THEN 17 END AS youtube_category_id
         FROM video_docs""",
     "engagement": """
@@ -351,7 +351,7 @@ CTES: dict[str, str] = {
                     ELSE p.domain END AS domain,
                (floor(value)::BIGINT % 20)::INTEGER AS dwell_seconds, (event_id % 10) / 20.0 AS scroll_depth,
                (event_id % 7 = 0)::INTEGER AS interaction_count, (event_id % 11 = 0)::INTEGER AS revisit_count,
-               substring(p.html, 1, 200) AS content_extract,
+               p.html AS content_extract,
                CASE WHEN event_id % 3 = 0 THEN (event_id % 900)::INTEGER END AS word_count,
                CASE WHEN event_id % 4 = 0 THEN 'r' || event_id END AS referrer,
                event_id % 13 = 0 AS app

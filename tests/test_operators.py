@@ -367,3 +367,27 @@ def test_items_have_their_own_details(spark):
     details = views.with_details(t.searchable.limit(5), t.wide)
     assert {"domain", "thread_id", "video_id", "last_accessed_at"} <= set(details.columns)
     assert isinstance(details.first(), Row)
+
+
+def test_null_keys_are_one_key(spark):
+    from memengine.operators import sequences
+
+    rows = [(None, "2024-01-01 00:00:00"), (None, "2024-01-02 00:00:00"), (None, "2024-01-03 00:00:00"), ("a", "2024-01-01 00:00:00")]
+    df = spark.createDataFrame(rows, "k string, t string").withColumn("t", F.to_timestamp("t"))
+    got = sequences.neighbour(df, ["k"], ["t"], [], "before").orderBy("k", "t").collect()
+    assert [r.before is None for r in got] == [True, False, False, True]
+
+
+def test_null_content_keeps_its_line(spark):
+    from memengine.operators import messages
+
+    df = spark.createDataFrame([("s", 1, "user", "hi"), ("s", 2, "assistant", None)], "session_id string, seq int, role string, content string")
+    assert messages.history_text(df).first().history == "User: hi\nAssistant: "
+
+
+def test_hours_before_1970_have_leaves(spark):
+    from memengine.operators import search
+
+    df = spark.sql("SELECT timestamp(x) AS t FROM VALUES ('0001-01-01'), ('1900-01-01'), ('1969-12-31 23:30:00'), ('1970-01-01'), ('9999-01-01') v(x)")
+    hours = [r[0] for r in df.select(search._hour(F.col("t"))).collect()]
+    assert hours == sorted(hours) and hours[0] >= 0 and hours[-1] < 1 << search.HOUR_BITS and hours[2] + 1 == hours[3]
