@@ -15,7 +15,7 @@ import numpy as np
 
 from .held import held
 
-KEPT_PARTS = 800_000
+KEPT_PARTS = 1_200_000
 LONG_PART = 64
 _PARTS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
