@@ -1,72 +1,77 @@
 """Substring search of many phrases over a text column, without a cross join.
 
-Every row is read once per chunk of phrases and emits the phrases it contains;
-what follows is an equi-join on the phrase.  A chunk is small enough to hand to
-every task, and the number of chunks grows with the phrases, so no phrase is
-ever left out.
+Every phrase is filed under one of its three-character pieces, its anchor, the
+rarest one.  A text can only hold a phrase whose anchor is among the pieces of
+the text, so an equi-join on the piece finds the candidates and ``contains``
+settles them.  Nothing leaves the JVM and no phrase passes through the driver's
+code, however many there are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import let, string_array
+from ..functions.core import let
+from ..runtime import bounded_broadcast, lookup_join
+
+PIECE = 3
+FEW_PHRASES = 100_000
+FEW_BYTES = 32 << 20
+
 
-CHUNK_PHRASES = 100_000
-FEW_PHRASES = 64
+def _pieces(text: Column) -> Column:
+    """Distinct pieces of one to three characters.
 
+    The lookahead walks the text once; cutting substrings by position would
+    walk it once per position.
+    """
+    longest = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{PIECE}}}))"), 1))
+
+    def shorter(found: Column, n: int) -> Column:
+        return F.array_distinct(F.transform(found, lambda p: F.left(p, F.lit(n))))
 
-def _find_few(text: Column, phrases: list[str]) -> Column:
-    return let(text, lambda t: F.filter(string_array(phrases), lambda p: t.contains(p)))
+    return let(longest, lambda p: F.array_distinct(F.concat(p, *[shorter(p, n) for n in range(1, PIECE)])))
 
 
-def _find_many(text: Column, phrases) -> Column:
-    @F.pandas_udf("array<string>")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
+def _phrase_pieces(phrases: DataFrame) -> DataFrame:
+    whole = F.filter(_pieces(F.col("phrase")), lambda p: F.char_length(p) == PIECE)
+    short = F.char_length("phrase") < PIECE
+    return phrases.select("phrase", F.explode(F.when(short, F.array("phrase")).otherwise(whole)).alias("_piece"))
 
-        automaton = ahocorasick.Automaton()
-        for phrase in phrases.value:
-            automaton.add_word(phrase, phrase)
-        automaton.make_automaton()
-        for batch in batches:
-            yield batch.map(lambda t: sorted({p for _, p in automaton.iter(t)}) if t else [])
 
-    return find(text)
+def _anchors(pieces: DataFrame, counts: DataFrame) -> DataFrame:
+    """Each phrase with the rarest of its pieces by ``counts`` (_piece, _n)."""
+    rated = pieces.join(counts, "_piece", "left")
+    rarest = F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_piece"))
+    return rated.groupBy("phrase").agg(rarest.alias("_a")).select("phrase", "_a._piece")
 
 
 def match_phrases(
-    df: DataFrame,
-    text: Column,
-    phrases: DataFrame,
-    keep: list[str],
-    chunk: int = CHUNK_PHRASES,
-    few: int = FEW_PHRASES,
+    df: DataFrame, text: Column, phrases: DataFrame, keep: list[str], few: int = FEW_PHRASES
 ) -> DataFrame:
     """Rows (``keep``, ``phrase``): each row of ``df`` with each phrase its text contains.
 
     ``phrases`` has one column ``phrase``; matching is case-insensitive, blank
-    phrases match nothing.
+    phrases match nothing.  ``keep[0]`` is the key of ``df``, unique and not null.
+
+    Up to ``few`` phrases (and ``FEW_BYTES``) the anchors are broadcast and one
+    pass over the rows does everything; rarity is that among the phrases.
+    Beyond, rarity is counted over the texts, and only keys and pieces that are
+    anchors move to the join, which salts frequent pieces.
     """
     wanted = phrases.select(F.lower("phrase").alias("phrase")).filter("phrase <> ''").distinct()
-    chunks = max(1, -(-wanted.count() // chunk))
-    numbered = wanted.withColumn("_chunk", F.pmod(F.xxhash64("phrase"), F.lit(chunks)))
     rows = df.select(*keep, F.lower(F.coalesce(text, F.lit(""))).alias("_text"))
-    parts = []
-    for n in range(chunks):
-        words = sorted(r["phrase"] for r in numbered.filter(F.col("_chunk") == n).collect())
-        if not words:
-            continue
-        if len(words) <= few:
-            found = _find_few(F.col("_text"), words)
-        else:
-            found = _find_many(F.col("_text"), df.sparkSession.sparkContext.broadcast(words))
-        parts.append(rows.select(*keep, F.explode(found).alias("phrase")))
-    if not parts:
-        return rows.filter(F.lit(False)).select(*keep, F.lit("").alias("phrase"))
-    return reduce(DataFrame.unionByName, parts)
+    asked = _phrase_pieces(wanted)
+    size = wanted.agg(F.count("*").alias("n"), F.sum(F.octet_length("phrase")).alias("bytes")).first()
+    if size["n"] <= few and (size["bytes"] or 0) <= FEW_BYTES:
+        anchors = _anchors(asked, asked.groupBy("_piece").agg(F.count("*").alias("_n")))
+        placed = rows.withColumn("_piece", F.explode(_pieces(F.col("_text"))))
+        hits = placed.join(F.broadcast(anchors), "_piece")
+    else:
+        placed = rows.select(F.col(keep[0]).alias("_row"), F.explode(_pieces(F.col("_text"))).alias("_piece"))
+        anchors = _anchors(asked, placed.groupBy("_piece").agg(F.count("*").alias("_n")))
+        in_use = placed.join(bounded_broadcast(anchors.select("_piece").distinct()), "_piece", "left_semi")
+        pairs = lookup_join(in_use, anchors, ["_piece"], few=False, salt_by="_row").select("_row", "phrase")
+        hits = rows.join(pairs, F.col(keep[0]) == F.col("_row"))
+    return hits.filter(F.contains("_text", "phrase")).select(*keep, "phrase")

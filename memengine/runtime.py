@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
-GROUP_LIMIT_THRESHOLD = 1000  # Spark prunes ranks map-side up to this limit
 PRE_RANK_SALTS = 64
 JOIN_SALTS = 32
 
@@ -103,14 +102,13 @@ def top_per_group(
 ) -> DataFrame:
     """Rows ranked 1..k per key, with the rank.
 
-    Up to the group-limit threshold Spark already keeps only k rows per key and
-    input partition before the shuffle.  Above it a salted first pass does the
-    same, so a hot key is never sorted whole in one task.
+    A first pass ranks within (key, salt), the salt being the input partition
+    modulo ``PRE_RANK_SALTS``, so the last pass gets at most k rows per key and
+    salt however many partitions there are.  Up to k = 1000 Spark also keeps only k rows
+    per key and input partition before the first shuffle.
     """
-    if k > GROUP_LIMIT_THRESHOLD:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(PRE_RANK_SALTS)))
-        first = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = salted.withColumn("_pre", F.row_number().over(first)).filter(F.col("_pre") <= k)
-        df = df.drop("_salt", "_pre")
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(PRE_RANK_SALTS)))
+    first = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    df = salted.withColumn("_pre", F.row_number().over(first)).filter(F.col("_pre") <= k).drop("_salt", "_pre")
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
