@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 from .. import constants as K
-from ..functions.core import ends_with_any, string_array
-from ..runtime import bounded_broadcast
+from ..functions.core import ends_with_any, let, string_array
+from ..runtime import bounded_broadcast, within
+from .knn import knn
 
 RESULT = "struct<category:string,method:string,confidence:double>"
-MAX_CENTROIDS = 1000
+FEW_CENTROIDS = 1000
 
 
 class Embedder(Protocol):
@@ -72,37 +73,68 @@ def domain_group(df: DataFrame, domain_map: DataFrame, out: str = "stage2") -> D
     return df.join(bounded_broadcast(lookup), "domain", "left").withColumn(out, hit).drop("_category")
 
 
-def centroid_scores(df: DataFrame, centroids: DataFrame, vector: str = "embedding") -> DataFrame:
+def centroid_scores(
+    df: DataFrame, centroids: DataFrame, vector: str = "embedding", few: int = FEW_CENTROIDS, key: str = "memory_id"
+) -> DataFrame:
     """Adds ``scores``: best category, best and second-best cosine.
 
-    Centroids are one vector per group, so they ride along with the tasks.
+    Up to ``few`` centroids ride along with the tasks.  More are searched block
+    by block as the two nearest of each vector, and joined by ``key``.
     """
-    rows = centroids.orderBy("category").limit(MAX_CENTROIDS + 1).collect()
-    if len(rows) > MAX_CENTROIDS:
-        raise ValueError("more centroids than groups can have")
-    names = [r["category"] for r in rows]
-    matrix = np.array([r["centroid"] for r in rows], dtype=np.float64)
+    if not within(centroids, few):
+        return _centroid_search(df, centroids, vector, key)
+    rows = centroids.orderBy("category").collect()
+    names = np.array([r["category"] for r in rows], dtype=object)
+    matrix = np.array([r["centroid"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
     norms = np.linalg.norm(matrix, axis=1)
     unit = np.divide(matrix, norms[:, None], out=np.zeros_like(matrix), where=norms[:, None] > 0)
 
     @F.pandas_udf("best string, best_score double, second_score double")
     def score(batch: pd.Series) -> pd.DataFrame:
-        out = {"best": [], "best_score": [], "second_score": []}
-        for v in batch:
-            sims = None
-            if v is not None and len(v) == unit.shape[1]:
-                x = np.asarray(v, dtype=np.float64)
-                length = np.linalg.norm(x)
-                sims = unit @ x / length if length > 0 else np.zeros(len(names))
-            order = np.argsort(-sims, kind="stable")[:2] if sims is not None else []
-            out["best"].append(names[order[0]] if len(order) else None)
-            out["best_score"].append(float(sims[order[0]]) if len(order) else None)
-            out["second_score"].append(float(sims[order[1]]) if len(order) > 1 else None)
-        return pd.DataFrame(out)
+        best, first, second = (np.full(len(batch), None, dtype=object) for _ in range(3))
+        sized = np.array([v is not None and len(v) == unit.shape[1] for v in batch], dtype=bool)
+        if sized.any() and len(names):
+            x = np.stack(batch[sized].to_list()).astype(np.float64)
+            length = np.linalg.norm(x, axis=1)
+            sims = x @ unit.T / np.where(length > 0, length, 1.0)[:, None]
+            order = np.argsort(-sims, axis=1, kind="stable")[:, :2]
+            top = np.take_along_axis(sims, order, axis=1)
+            best[sized], first[sized] = names[order[:, 0]], top[:, 0]
+            if len(names) > 1:
+                second[sized] = top[:, 1]
+        return pd.DataFrame({"best": best, "best_score": first, "second_score": second})
 
     return df.withColumn("scores", score(F.col(vector)))
 
 
+def _unit(vector: Column) -> Column:
+    squares = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return let(
+        F.sqrt(squares),
+        lambda norm: F.transform(vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0))),
+    )
+
+
+def _centroid_search(df: DataFrame, centroids: DataFrame, vector: str, key: str) -> DataFrame:
+    dim = centroids.agg(F.max(F.size("centroid"))).first()[0]
+    near = knn(
+        df.select(F.col(key).alias("query_id"), _unit(F.col(vector)).alias("query_vector")),
+        centroids.select(F.col("category").alias("memory_id"), _unit(F.col("centroid")).alias("embedding")),
+        k=2, dim=dim,
+    )
+
+    def at(column: str, rank: int) -> Column:
+        return F.max(F.when(F.col("rank") == rank, F.col(column)))
+
+    best = near.groupBy(F.col("query_id").alias(key)).agg(
+        F.struct(
+            at("memory_id", 1).alias("best"), at("similarity", 1).alias("best_score"),
+            at("similarity", 2).alias("second_score"),
+        ).alias("scores")
+    )
+    return df.join(best, key, "left")
+
+
 def centroid_group(
     df: DataFrame,
     centroids: DataFrame,

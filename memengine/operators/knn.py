@@ -28,41 +28,67 @@ from ..runtime import bounded_broadcast, top_per_group, within
 
 QUERY_MATRIX_BYTES = 64 << 20
 BLOCK_ROWS = 20_000
+TILE_COLUMNS = 2000
+TILE = 1 << 24  # doubles of the pairs of one tile, were all of them computed exactly: 128 MB
 _PARTIAL = "query_id {id}, memory_id {mid}, distance double, similarity double"
 
 
 class _Best:
-    """The k nearest seen so far for each query."""
+    """The k nearest seen so far for each query.
+
+    Vectors and queries meet in tiles, so a task holds at most ``TILE`` products
+    at a time beside the matrices themselves.
+    """
 
     def __init__(self, ids: list, matrix: np.ndarray, k: int):
         self.ids, self.q, self.k = ids, matrix, k
         self.q_sq = np.einsum("ij,ij->i", matrix, matrix)
-        self.items: list[list] = [[] for _ in ids]
+        self.items: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = [None] * len(ids)
 
     def add(self, keys: np.ndarray, block: np.ndarray) -> None:
         block_sq = np.einsum("ij,ij->i", block, block)
-        rough = self.q_sq[:, None] + block_sq[None, :] - 2.0 * (self.q @ block.T)
-        scale = self.q_sq + (block_sq.max() if len(block_sq) else 0.0)
-        for n in range(len(self.ids)):
-            row = rough[n]
-            kept = np.arange(len(row))
-            if len(row) > self.k:
-                # The product form rounds; keep everything near the border and
-                # recompute it exactly below.
-                border = np.partition(row, self.k - 1)[self.k - 1] + 1e-9 * (scale[n] + 1.0)
-                kept = np.nonzero(row <= border)[0]
-            diff = block[kept] - self.q[n]
-            exact = np.einsum("ij,ij->i", diff, diff)
-            norms = np.sqrt(self.q_sq[n] * block_sq[kept])
-            dots = block[kept] @ self.q[n]
-            cos = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
-            merged = self.items[n] + list(zip(exact.tolist(), keys[kept].tolist(), cos.tolist()))
-            merged.sort(key=lambda e: (e[0], e[1]))
-            self.items[n] = merged[: self.k]
+        wide = max(1, min(len(block), TILE_COLUMNS))
+        tall = max(1, TILE // (wide * max(1, block.shape[1])))
+        for at in range(0, len(block), wide):
+            part = slice(at, at + wide)
+            for top in range(0, len(self.ids), tall):
+                self._add_tile(top, min(top + tall, len(self.ids)), keys[part], block[part], block_sq[part])
+
+    def _add_tile(self, top: int, end: int, keys: np.ndarray, block: np.ndarray, block_sq: np.ndarray) -> None:
+        q, q_sq = self.q[top:end], self.q_sq[top:end]
+        rough = q_sq[:, None] + block_sq[None, :] - 2.0 * (q @ block.T)
+        # The product form rounds: keep everything near the border, and compute that exactly.
+        border = np.full(end - top, np.inf)
+        if len(block) > self.k:
+            border = np.partition(rough, self.k - 1, axis=1)[:, self.k - 1]
+            border = border + 1e-9 * (q_sq + block_sq.max() + 1.0)
+        at_q, at_v = np.nonzero(rough <= border[:, None])
+        diff = block[at_v] - q[at_q]
+        exact = np.einsum("ij,ij->i", diff, diff)
+        norms = np.sqrt(q_sq[at_q] * block_sq[at_v])
+        dots = np.einsum("ij,ij->i", block[at_v], q[at_q])
+        cos = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
+        found = keys[at_v]
+        starts = np.searchsorted(at_q, np.arange(end - top + 1))
+        for n in range(end - top):
+            mine = slice(starts[n], starts[n + 1])
+            new = (exact[mine], found[mine], cos[mine])
+            old = self.items[top + n]
+            both = new if old is None else tuple(np.concatenate(pair) for pair in zip(old, new))
+            first = np.lexsort((both[1], both[0]))[: self.k]
+            self.items[top + n] = tuple(column[first] for column in both)
 
     def columns(self) -> tuple[list, list, list, list]:
-        flat = [(q, m, d, c) for q, found in zip(self.ids, self.items) for d, m, c in found]
-        return tuple(list(c) for c in zip(*flat)) if flat else ([], [], [], [])
+        found = [(q, *got) for q, got in zip(self.ids, self.items) if got is not None]
+        ids = [q for q, distance, *_ in found for _ in range(len(distance))]
+        distances, keys, cosines = ([x for f in found for x in f[n].tolist()] for n in (1, 2, 3))
+        return ids, keys, distances, cosines
+
+
+def _keys(column: pa.Array) -> np.ndarray:
+    """Item keys in an order numpy can sort."""
+    keys = column.to_numpy(zero_copy_only=False)
+    return keys.astype(str) if keys.dtype == object else keys
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -129,8 +155,7 @@ def _broadcast_scan(queries: DataFrame, vectors: DataFrame, k: int, dim: int) ->
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(*shared.value, k)
         for batch in batches:
-            keys = batch.column("memory_id").to_numpy(zero_copy_only=False)
-            best.add(keys, _matrix(batch.column("embedding"), dim))
+            best.add(_keys(batch.column("memory_id")), _matrix(batch.column("embedding"), dim))
         found = best.columns()
         if found[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, types)], names)
@@ -154,7 +179,7 @@ def _grid_scan(queries: DataFrame, vectors: DataFrame, k: int, dim: int, block_r
         if not len(v) or not len(q):
             return pd.DataFrame(columns=names)
         best = _Best(q["query_id"].tolist(), np.stack(q["query_vector"].to_list()).astype(np.float64), k)
-        best.add(v["memory_id"].to_numpy(), np.stack(v["embedding"].to_list()).astype(np.float64))
+        best.add(_keys(pa.array(v["memory_id"])), np.stack(v["embedding"].to_list()).astype(np.float64))
         return pd.DataFrame(dict(zip(names, best.columns())))
 
     cells = placed_v.groupBy("vb", "qb").cogroup(placed_q.withColumn("vb", F.col("vb").cast("bigint")).groupBy("vb", "qb"))
