@@ -210,8 +210,17 @@ def video_refresh_to_delta(metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
     return items, meta
 
 
-def page_rollup(signals: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row per tab visit from its repeated signals: running maxima and last non-empty texts."""
+def sent_once(visits: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Application pages that pass their gate, the first time of each of ``keys`` only: (``keys``, ``order``)."""
+    passed = urls.is_app_page(F.col("domain")) & gates.app_page_gate(F.col("dwell_seconds"), F.col("interaction_count"))
+    return visits.filter(passed).groupBy(*keys).agg(F.min(order).alias(order))
+
+
+def page_rollup(signals: DataFrame, keys: list[str | Column], order: str, *more: Column) -> DataFrame:
+    """One row per tab visit from its repeated signals: running maxima and last non-empty texts.
+
+    ``more``: further aggregates.
+    """
 
     def last_text(column: str) -> Column:
         filled = F.coalesce(F.col(column), F.lit("")) != ""
@@ -226,6 +235,7 @@ def page_rollup(signals: DataFrame, keys: list[str], order: str) -> DataFrame:
         F.max("interaction_count").alias("interaction_count"),
         F.max("word_count").alias("word_count"),
         F.bool_or("is_app_page").alias("is_app_page"),
+        *more,
     )
 
 

@@ -78,5 +78,15 @@ def expired_count(messages: DataFrame, now: Column, days: int = K.MESSAGE_RETENT
     return messages.agg(F.count_if(old).alias("deleted"))
 
 
+def delete_sessions(messages: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Messages of all other sessions, and (session_id, deleted) of the named ones, 0 where there was nothing."""
+    named = sessions.select("session_id").distinct()
+    gone = message_counts(messages.join(named, "session_id", "left_semi"))
+    counts = named.join(gone, "session_id", "left").select(
+        "session_id", F.coalesce("messages", F.lit(0)).alias("deleted")
+    )
+    return messages.join(named, "session_id", "left_anti"), counts
+
+
 def without_session(messages: DataFrame, session_id: str) -> DataFrame:
     return messages.filter(F.col("session_id") != session_id)

@@ -39,6 +39,61 @@ def reduce_items(delta: DataFrame) -> DataFrame:
     )
 
 
+def compact_items(delta: DataFrame) -> DataFrame:
+    """Item rows of one delta to at most three per key that fold to the same result, also with other deltas.
+
+    One row stands for the first sight of the item, one for its title and one for its text.
+    """
+    title_seq = F.max(F.when(F.coalesce(F.col("title"), F.lit("")) != "", F.col("seq")))
+    reduced = reduce_items(delta).join(
+        delta.groupBy("memory_id").agg(
+            F.min("seq").alias("_first"), title_seq.alias("_title"),
+            F.max(F.when(F.col("raw_text").isNotNull(), F.col("seq"))).alias("_text"),
+        ),
+        "memory_id",
+    )
+    none = F.lit(None).cast("string")
+
+    def row(seq: Column, ingest: str, title: Column, text: Column) -> Column:
+        return F.struct(
+            seq.alias("seq"), F.col(ingest).alias("ingest_ts"), title.alias("title"), text.alias("raw_text")
+        )
+
+    rows = F.array(
+        row(F.col("_first"), "first_ingested_at", none, none),
+        row(F.coalesce("_title", "_first"), "last_updated_at", F.col("title"), none),
+        row(F.col("_text"), "last_updated_at", none, F.col("raw_text")),
+    )
+    kept = F.filter(rows, lambda r: r["seq"].isNotNull())
+    same = ["memory_id", "source_type", "source_id", "system_group_id", "created_at"]
+    return reduced.select(*same, F.explode(kept).alias("_r")).select(*same, "_r.*")
+
+
+def compact_page_meta(rows: DataFrame) -> DataFrame:
+    """Page metadata rows of one delta to at most three per key that fold to the same result."""
+    known = lambda c: F.max(F.when(F.col(c).isNotNull(), F.col("seq")))
+    folded = fold_page_meta(rows).join(
+        rows.groupBy("memory_id").agg(
+            F.max("seq").alias("_last"), known("referrer").alias("_referrer"), known("word_count").alias("_words")
+        ),
+        "memory_id",
+    )
+
+    def row(seq: str, referrer: Column, words: Column) -> Column:
+        return F.struct(F.col(seq).alias("seq"), referrer.alias("referrer"), words.alias("word_count"))
+
+    no_text, no_count = F.lit(None).cast("string"), F.lit(None).cast("int")
+    parts = F.array(
+        row("_last", no_text, no_count), row("_referrer", F.col("referrer"), no_count),
+        row("_words", no_text, F.col("word_count")),
+    )
+    same = [
+        "memory_id", "url", "canonical_url", "domain", "scroll_depth", "interaction_count", "revisit_count"
+    ]
+    kept = F.filter(parts, lambda r: r["seq"].isNotNull())
+    return folded.select(*same, F.explode(kept).alias("_r")).select(*same, "_r.*")
+
+
 def _as_new(reduced: DataFrame) -> DataFrame:
     return reduced.select(
         "memory_id", "system_group_id", "source_type", "source_id", "title", "raw_text",

@@ -358,6 +358,18 @@ def page_signal_rollup(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "app_pages_sent",
+    with_tables(
+        "visits",
+        """SELECT user_id, page_id, min(event_id) AS event_id FROM visits
+           WHERE app AND (dwell_seconds >= 5 OR interaction_count >= 1) GROUP BY user_id, page_id""",
+    ),
+)
+def app_pages_sent(t: Tables) -> DataFrame:
+    return capture.sent_once(t.visits, ["user_id", "page_id"], "event_id")
+
+
 _STATES = """
     SELECT user_id, ts, event_id, CASE WHEN event_type = 'view' THEN true WHEN event_type = 'error' THEN false END AS playing,
            CASE WHEN event_type = 'click' THEN true WHEN event_type = 'signup' THEN false END AS focused,

@@ -102,10 +102,10 @@ def latest_per_thread(t: Tables) -> DataFrame:
 
 
 def candidate_queries(t: Tables) -> DataFrame:
-    """A phrase from inside every tenth document, and some sender hosts."""
-    return t.documents.filter("doc_id % 10 = 0").select(
+    """A query set: a phrase from inside every fiftieth document, and some sender hosts."""
+    return t.documents.filter("doc_id % 50 = 0").select(
         F.concat(F.lit("c"), F.col("doc_id")).alias("query_id"),
-        F.when(F.col("doc_id") % 40 == 0, F.concat("source", F.lit(".EXAMPLE"))).otherwise(
+        F.when(F.col("doc_id") % 200 == 0, F.concat("source", F.lit(".EXAMPLE"))).otherwise(
             F.substring("text", 100, 12)
         ).alias("query"),
     )
@@ -117,8 +117,8 @@ def candidate_queries(t: Tables) -> DataFrame:
         "items engagement mail_meta",
         """SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY last_accessed_at DESC NULLS LAST,
                   created_at DESC, memory_id) AS rank
-           FROM (SELECT 'c' || doc_id AS query_id, lower(CASE WHEN doc_id % 40 = 0 THEN source || '.EXAMPLE'
-                   ELSE substring(text, 100, 12) END) AS q FROM documents WHERE doc_id % 10 = 0)
+           FROM (SELECT 'c' || doc_id AS query_id, lower(CASE WHEN doc_id % 200 = 0 THEN source || '.EXAMPLE'
+                   ELSE substring(text, 100, 12) END) AS q FROM documents WHERE doc_id % 50 = 0)
            JOIN (SELECT i.*, e.last_accessed_at, m.sender FROM items i LEFT JOIN engagement e USING (memory_id)
                  LEFT JOIN mail_meta m USING (memory_id) WHERE NOT is_deleted)
              ON q <> '' AND (contains(lower(title), q) OR contains(lower(raw_text), q) OR contains(lower(coalesce(sender, '')), q))
@@ -148,7 +148,8 @@ def candidate_texts(t: Tables) -> DataFrame:
 
 
 def anchors(t: Tables) -> DataFrame:
-    return t.documents.filter("doc_id % 100 = 0").select(
+    """A query set: the beginning of every fiftieth document."""
+    return t.documents.filter("doc_id % 50 = 0").select(
         F.concat(F.lit("a"), F.col("doc_id")).alias("query_id"),
         F.substring("text", 1, 10).alias("anchor_phrase"),
         F.array(F.lit("all")).alias("sources"),
@@ -165,7 +166,7 @@ def anchors(t: Tables) -> DataFrame:
                   ORDER BY l.last_accessed_at DESC NULLS LAST, l.memory_id) AS rank
            FROM (SELECT query_id, max(created_at) AS at_time FROM
                   (SELECT 'a' || doc_id AS query_id, regexp_replace(lower(substring(text, 1, 10)), '^\\s+|\\s+$', '', 'g') AS p
-                   FROM documents WHERE doc_id % 100 = 0) JOIN live ON contains(lower(title), p)
+                   FROM documents WHERE doc_id % 50 = 0) JOIN live ON contains(lower(title), p)
                    OR len(list_filter(auto_keywords, lambda k: contains(lower(k), p))) > 0 GROUP BY query_id) a
            JOIN live l ON l.created_at > a.at_time QUALIFY rank <= 1000""",
     ),
@@ -196,7 +197,7 @@ _KNN_ALL = f"""
     SELECT q.vec_id AS query_id, v.vec_id AS memory_id, round({_L2.format(a='q.embedding', b='v.embedding')}, 6) AS distance,
            round({_COS.format(a='q.embedding', b='v.embedding')}, 6) AS similarity,
            row_number() OVER (PARTITION BY q.vec_id ORDER BY {_L2.format(a='q.embedding', b='v.embedding')}, v.vec_id) AS rank
-    FROM (SELECT * FROM embeddings WHERE vec_id % 25 = 0) q CROSS JOIN embeddings v QUALIFY rank <= 20"""
+    FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q CROSS JOIN embeddings v QUALIFY rank <= 20"""
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -208,7 +209,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 def _all_vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
     table = t.read("embeddings")
-    queries = table.filter("vec_id % 25 = 0").select(
+    queries = table.filter("vec_id % 50 = 0").select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")
     )
     return queries, table.select(F.col("vec_id").alias("memory_id"), "embedding")
@@ -295,12 +296,14 @@ def result_quality(t: Tables) -> DataFrame:
     "reranked_results",
     with_tables(
         "live page_meta",
-        """SELECT r.query_id, r.memory_id, round(0.40 * coalesce(1 / (1 + distance), 0)
+        """SELECT query_id, memory_id, final_score, row_number() OVER (PARTITION BY query_id
+             ORDER BY score DESC, memory_id) AS final_rank FROM (SELECT *, round(score, 6) AS final_score FROM (
+             SELECT r.query_id, r.memory_id, 0.40 * coalesce(1 / (1 + distance), 0)
              + 0.30 * least(1, ln(1 + dwell_time_seconds + watch_time_seconds) / ln(3601))
              + 0.20 * exp(-greatest((1707955200 - epoch_us(r.last_accessed_at) // 1000000) / 86400.0, 0) / 30)
              + 0.10 * coalesce(CASE r.source_type WHEN 'chrome' THEN least(1, dwell_time_seconds / (word_count / 200.0 * 60))
-                                 WHEN 'youtube' THEN completion_rate END, 0), 6) AS final_score
-           FROM results r JOIN live l USING (memory_id) LEFT JOIN page_meta p USING (memory_id)""",
+                                 WHEN 'youtube' THEN completion_rate END, 0) AS score
+           FROM results r JOIN live l USING (memory_id) LEFT JOIN page_meta p USING (memory_id)))""",
         **_NARROW,
     ),
 )
@@ -308,7 +311,7 @@ def reranked_results(t: Tables) -> DataFrame:
     _, results = _with_vectors(t)
     details = t.engagement.join(t.page_meta.select("memory_id", "word_count"), "memory_id", "left")
     ranked = P.rerank(results, details, F.lit("2024-02-15").cast("timestamp"))
-    return ranked.select("query_id", "memory_id", F.round("final_score", 6).alias("final_score"))
+    return ranked.select("query_id", "memory_id", F.round("final_score", 6).alias("final_score"), "final_rank")
 
 
 @query(

@@ -441,6 +441,30 @@ def time_patterns(t: Tables) -> DataFrame:
     return sessions.time_patterns(summary, "day", "dominant_group").withColumn("day", F.col("day").cast("string"))
 
 
+@query(
+    "time_pattern_totals",
+    f"""WITH numbered AS ({_SESSIONS}), summary AS ({_SUMMARY}),
+        counts AS (SELECT user_id, session_no, event_type, count(*) AS n FROM numbered GROUP BY ALL),
+        top AS (SELECT *, row_number() OVER (PARTITION BY user_id, session_no ORDER BY n DESC, event_type) AS r FROM counts),
+        named AS (SELECT make_timestamp(session_start) AS at_time, event_type AS dominant_group,
+          session_end // 1000000 - session_start // 1000000 AS seconds FROM summary JOIN top USING (user_id, session_no) WHERE r = 1)
+        SELECT 'hour' AS grain, hour(at_time)::INTEGER AS bucket, dominant_group, sum(seconds)::BIGINT AS total_seconds,
+               count(*) AS sessions FROM named GROUP BY ROLLUP (hour(at_time)::INTEGER, dominant_group)
+        UNION ALL
+        SELECT 'weekday', (isodow(at_time) - 1)::INTEGER AS bucket, dominant_group, sum(seconds)::BIGINT, count(*)
+        FROM named GROUP BY ROLLUP ((isodow(at_time) - 1)::INTEGER, dominant_group)""",
+)
+def time_pattern_totals(t: Tables) -> DataFrame:
+    """Hours and weekdays with their roll-up rows."""
+    summary = sessions.summarize_sessions(numbered_events(t), ["user_id"], "ts", "event_type")
+
+    def of(grain: str) -> DataFrame:
+        rows = sessions.time_patterns(summary, grain, "dominant_group", totals=True)
+        return rows.withColumnRenamed(grain, "bucket").withColumn("grain", F.lit(grain))
+
+    return of("hour").unionByName(of("weekday"))
+
+
 @query(
     "regret_state",
     """SELECT user_id, count(*) % 2 = 1 AS is_marked, count(*) AS toggles FROM events WHERE event_type = 'error'
@@ -515,6 +539,22 @@ def message_expiry_count(t: Tables) -> DataFrame:
     return messages.expired_count(message_log(t), F.lit("2024-01-31 16:00:00").cast("timestamp"), 29)
 
 
+@query(
+    "session_deletion",
+    """SELECT conv_id::VARCHAR AS session_id, CASE WHEN conv_id % 50 = 0 THEN 0 ELSE count(*) END AS kept,
+              CASE WHEN conv_id % 50 = 0 THEN count(*) ELSE 0 END AS deleted FROM conversations GROUP BY conv_id""",
+)
+def session_deletion(t: Tables) -> DataFrame:
+    """Every fiftieth session deleted: what stays of each session and what went."""
+    log = message_log(t)
+    named = t.read("conversations").filter("conv_id % 50 = 0").select(F.col("conv_id").cast("string").alias("session_id"))
+    kept, deleted = messages.delete_sessions(log, named)
+    counts = messages.message_counts(kept).withColumnRenamed("messages", "kept")
+    return counts.join(deleted, "session_id", "full").select(
+        "session_id", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("deleted", F.lit(0)).alias("deleted")
+    )
+
+
 @query(
     "message_append",
     """SELECT conv_id::VARCHAR AS session_id, part, role, text AS content FROM (

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import urls
+from ..operators import store
 from ..plans import enrichment as E
 from ..streaming import jobs
-from . import query
+from . import ORACLES, query
+from . import store as _batch_twins  # noqa: F401  the streams share SQL with these queries
 from .enrichment import _ITEM_STEPS, _ITEM_TABLES, LetterCounts
 from .tables import Tables, with_tables
 
@@ -86,7 +89,8 @@ def stream_watch_fold(t: Tables) -> DataFrame:
 def stream_ingest(t: Tables) -> DataFrame:
     folder = jobs.work_folder(t.spark, "ingest")
     visits = streamed(t, "events").visits
-    partials = _finish(jobs.ingest_visits(visits, f"{folder}/out", f"{folder}/state"), t.spark, f"{folder}/out")
+    ingest = jobs.ingest_visits(visits, f"{folder}/out", f"{folder}/state")
+    partials = _finish(ingest, t.spark, f"{folder}/out/engagement")
     return jobs.fold_partials(partials).select(
         "memory_id", "dwell_time_seconds", "play_sessions_count", F.unix_micros("last_accessed_at").alias("last_accessed_at")
     )
@@ -115,13 +119,47 @@ def stream_enrichment(t: Tables) -> DataFrame:
     return done.select("memory_id", F.array_join("auto_keywords", ",").alias("words"))
 
 
-@query("stream_tab_visits")
+@query("stream_items", ORACLES["page_upsert"])
+def stream_items(t: Tables) -> DataFrame:
+    """Items from the partials that the ingest stream leaves; the same rows as the batch fold."""
+    folder = jobs.work_folder(t.spark, "items")
+    ingest = jobs.ingest_visits(streamed(t, "events").visits, f"{folder}/out", f"{folder}/state")
+    partials = _finish(ingest, t.spark, f"{folder}/out/items")
+    return store.fold_items(None, partials).select(
+        "memory_id", "title", "raw_text", F.unix_micros("created_at").alias("created_at")
+    )
+
+
+@query("stream_page_meta", ORACLES["page_metadata_fold"])
+def stream_page_meta(t: Tables) -> DataFrame:
+    """Page metadata from the partials of the ingest stream."""
+    folder = jobs.work_folder(t.spark, "meta")
+    ingest = jobs.ingest_visits(streamed(t, "events").visits, f"{folder}/out", f"{folder}/state")
+    return store.fold_page_meta(_finish(ingest, t.spark, f"{folder}/out/page_meta")).drop("canonical_url")
+
+
+@query(
+    "stream_tab_visits",
+    with_tables(
+        "visits",
+        """SELECT user_id, page_id, epoch_us(min(ts)) AS opened_at, count(*) AS signals, arg_max(url, ts) AS url,
+             arg_max(title, ts) FILTER (WHERE title <> '') AS title,
+             arg_max(content_extract, ts) FILTER (WHERE content_extract <> '') AS content_extract,
+             arg_max(referrer, ts) FILTER (WHERE referrer <> '') AS referrer, max(scroll_depth) AS scroll_depth,
+             max(interaction_count) AS interaction_count, max(word_count) AS word_count, bool_or(app) AS is_app_page
+           FROM (SELECT *, sum(opens) OVER (PARTITION BY user_id, page_id ORDER BY ts, event_id) AS no FROM (
+             SELECT *, CASE WHEN coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, page_id
+               ORDER BY ts, event_id)) > 1800000000, true) THEN 1 ELSE 0 END AS opens FROM visits))
+           GROUP BY user_id, page_id, no HAVING max(ts) + INTERVAL 90 MINUTE <= (SELECT max(ts) FROM visits)""",
+    ),
+)
 def stream_tab_visits(t: Tables) -> DataFrame:
-    """Tab visits closed by silence; no SQL twin."""
+    """Tab visits that the watermark has closed."""
     folder = jobs.work_folder(t.spark, "tabs")
-    signals = streamed(t, "events").visits.select("user_id", "page_id", "ts", "url", "scroll_depth", "interaction_count")
+    signals = streamed(t, "events").visits.withColumn("is_app_page", urls.is_app_page(F.col("domain")))
     visits = jobs.tab_visits(signals, ["user_id", "page_id"])
-    return _finish(jobs.write_files(visits, f"{folder}/out", f"{folder}/state"), t.spark, f"{folder}/out")
+    done = _finish(jobs.write_files(visits, f"{folder}/out", f"{folder}/state"), t.spark, f"{folder}/out")
+    return done.withColumn("opened_at", F.unix_micros("opened_at"))
 
 
 @query(

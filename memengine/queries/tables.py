@@ -144,7 +144,10 @@ class Tables:
         )
         columns = ["memory_id", "dwell_time_seconds", "watch_time_seconds", "play_sessions_count", "accessed_at"]
         return acts.join(docs, "doc_id").select(*columns).unionByName(
-            acts.join(self.page_items.select("page_id", "memory_id"), "page_id").select(*columns)
+            acts.join(
+                self.pages.select("page_id", memory_key(F.lit("chrome"), F.col("canonical_url")).alias("memory_id")),
+                "page_id",
+            ).select(*columns)
         )
 
     @cached_property
@@ -309,7 +312,8 @@ CTES: dict[str, str] = {
           (SELECT doc_id, memory_id FROM mail_docs UNION ALL SELECT doc_id, memory_id FROM video_docs) d
           USING (doc_id)
         UNION ALL
-        SELECT p.memory_id, dwell, watch, plays, ts FROM acts JOIN page_items p ON p.page_id = acts.page_id""",
+        SELECT sha256('chrome:' || p.canonical_url), dwell, watch, plays, ts FROM acts JOIN pg p
+          ON p.page_id = acts.page_id""",
     "video_meta": """
         SELECT memory_id, source_id AS video_id, 'Channel ' || source AS channel_name, 'UC' || source AS channel_id,
                (n_chars % 600)::INTEGER AS duration_seconds, n_chars % 600 < 60 AS is_short,
@@ -376,7 +380,7 @@ CTES: dict[str, str] = {
 _NEEDS: dict[str, list[str]] = {
     "page_items": ["pg"],
     "items": ["mail_docs", "video_docs", "page_items"],
-    "partials": ["acts", "mail_docs", "video_docs", "page_items"],
+    "partials": ["acts", "mail_docs", "video_docs", "pg"],
     "video_meta": ["video_docs"],
     "engagement": ["partials", "video_meta"],
     "mail_meta": ["mail_docs"],

@@ -118,17 +118,25 @@ def upsert_watch(events: DataFrame, out: str, state: str) -> StreamingQuery:
 
 
 def ingest_visits(visits: DataFrame, out: str, state: str, late: str = "1 hour") -> StreamingQuery:
-    """Accepted visits to engagement partials.
+    """Accepted visits to partials of items, page metadata and engagement, in folders of these names.
 
     Dwell is a sum, so replays must not count twice: events are deduplicated by
-    id, and a repeated micro-batch overwrites its own partial.
+    id, and a repeated micro-batch overwrites its own partials.  ``store.fold_items``,
+    ``store.fold_page_meta`` and ``fold_partials`` fold what all batches left.
     """
     once = visits.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
     def save(batch: DataFrame, batch_id: int) -> None:
         accepted = capture.accepted_visits(batch).withColumn("seq", F.col("event_id"))
-        _, _, engagement = capture.visits_to_delta(accepted)
-        store.fold_engagement(engagement).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        accepted = accepted.persist()
+        items, meta, engagement = capture.visits_to_delta(accepted)
+        partials = {
+            "items": store.compact_items(items), "page_meta": store.compact_page_meta(meta),
+            "engagement": store.fold_engagement(engagement),
+        }
+        for name, partial in partials.items():
+            partial.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
+        accepted.unpersist()
 
     writer = once.writeStream.option("checkpointLocation", state)
     return writer.foreachBatch(save).trigger(availableNow=True).start()
@@ -160,24 +168,10 @@ def enrich_stream(
 
 
 def tab_visits(signals: DataFrame, keys: list[str], gap: str = TAB_GAP, late: str = "1 hour") -> DataFrame:
-    """Signals of a tab until it falls silent, emitted once per visit."""
-
-    def last_text(column: str):
-        filled = F.coalesce(F.col(column), F.lit("")) != ""
-        return F.max_by(F.col(column), F.when(filled, F.col("ts")))
-
-    return (
-        signals.withWatermark("ts", late)
-        .groupBy(*keys, F.session_window("ts", gap).alias("_w"))
-        .agg(
-            F.min("ts").alias("opened_at"),
-            last_text("url").alias("url"),
-            F.max("scroll_depth").alias("scroll_depth"),
-            F.max("interaction_count").alias("interaction_count"),
-            F.count("*").alias("signals"),
-        )
-        .drop("_w")
-    )
+    """Signals of a tab until it falls silent, emitted once per visit with all that the tab told."""
+    window = F.session_window("ts", gap).alias("_w")
+    told = [F.min("ts").alias("opened_at"), F.count("*").alias("signals")]
+    return capture.page_rollup(signals.withWatermark("ts", late), [*keys, window], "ts", *told).drop("_w")
 
 
 def with_metadata(detected: DataFrame, load: Callable[[], DataFrame], out: str, state: str) -> StreamingQuery:

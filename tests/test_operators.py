@@ -183,22 +183,32 @@ def test_rules_over_midnight_and_types(spark, monkeypatch, few_rows):
 
 
 # --- phrase search, scopes, top-k ---------------------------------------------------------
-@pytest.mark.parametrize("few,chunk", [(1000, 1000), (0, 1000), (0, 3), (1000, 2)])
-def test_phrase_paths_agree(spark, few, chunk):
-    texts = ["Abc abcd", "xbcx", "", None, "dab"]
+@pytest.mark.parametrize("few", [1000, 0])
+def test_phrase_paths_agree(spark, few):
+    texts = ["Abc abcd", "xbcx", "", None, "dab", "a\nb \U0001f600d\U0001f600 ÄÖ", "the " * 5000 + "end"]
     df = spark.createDataFrame(list(enumerate(texts)), "id INT, t STRING")
-    wanted = ["abc", "BC", "b", "bcd", "da", "zz", "", "d"]
-    got = phrases.match_phrases(df, F.col("t"), spark.createDataFrame([(p,) for p in wanted], "phrase STRING"), ["id"], chunk, few)
+    wanted = ["abc", "BC", "b", "bcd", "da", "zz", "", "d", "a\nb", "\U0001f600", "d\U0001f600", " äö", "the the end", "the the the", None]
+    got = phrases.match_phrases(df, F.col("t"), spark.createDataFrame([(p,) for p in wanted], "phrase STRING"), ["id"], few)
     want = sorted({(n, p.lower()) for n, t in enumerate(texts) for p in wanted if p and p.lower() in (t or "").lower()})
     assert sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-def test_top_per_group_above_threshold(spark, monkeypatch):
-    monkeypatch.setattr(runtime, "GROUP_LIMIT_THRESHOLD", 2)
-    df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
-    got = runtime.top_per_group(df, ["k"], [F.col("v").desc()], 5)
-    want = [(k, v, r) for k in range(3) for r, v in enumerate(sorted((x for x in range(1000) if x % 3 == k), reverse=True)[:5], 1)]
-    assert rows(got) == sorted(want, key=str)
+def test_many_phrases(spark):
+    df = spark.range(2000).select("id", F.concat(F.lit("item number "), F.col("id") * 7, F.lit(" of all")).alias("t"))
+    wanted = spark.range(100_001).select(F.concat(F.lit("number "), F.col("id"), F.lit(" of")).alias("phrase"))
+    got = phrases.match_phrases(df, F.col("t"), wanted, ["id"])
+    assert got.count() == got.distinct().count() == 2000
+
+
+@pytest.mark.parametrize("k", [5, 1001])
+def test_top_per_group(spark, k):
+    n = 6000
+    df = spark.range(0, n, 1, 200).select((F.col("id") % 10 == 0).cast("int").alias("k"), F.col("id").alias("v"))
+    got = runtime.top_per_group(df, ["k"], [F.col("v").desc()], k)
+    groups_ = {g: sorted((x for x in range(n) if (x % 10 == 0) == bool(g)), reverse=True)[:k] for g in (0, 1)}
+    assert rows(got) == sorted([(g, v, r) for g, vs in groups_.items() for r, v in enumerate(vs, 1)], key=str)
 
 
 def make_view(spark, n=300):
@@ -391,3 +401,21 @@ def test_hours_before_1970_have_leaves(spark):
     df = spark.sql("SELECT timestamp(x) AS t FROM VALUES ('0001-01-01'), ('1900-01-01'), ('1969-12-31 23:30:00'), ('1970-01-01'), ('9999-01-01') v(x)")
     hours = [r[0] for r in df.select(search._hour(F.col("t"))).collect()]
     assert hours == sorted(hours) and hours[0] >= 0 and hours[-1] < 1 << search.HOUR_BITS and hours[2] + 1 == hours[3]
+
+
+def test_many_centroids_by_search(spark):
+    rng = np.random.default_rng(3)
+    vectors = [(str(n), [float(x) for x in v]) for n, v in enumerate(rng.normal(size=(40, 4)))]
+    df = spark.createDataFrame([*vectors, ("zero", [0.0] * 4), ("none", None)], "memory_id STRING, embedding ARRAY<DOUBLE>")
+    centroids = spark.createDataFrame(
+        [(f"c{n}", [float(x) for x in v]) for n, v in enumerate(rng.normal(size=(7, 4)))], "category STRING, centroid ARRAY<DOUBLE>"
+    )
+
+    def found(few):
+        out = classify.centroid_scores(df, centroids, few=few).orderBy("memory_id").collect()
+        return [
+            (r.memory_id, r.scores and r.scores.best, *(r.scores and x is not None and round(x, 9) for x in (r.scores and r.scores[1:]) or ()))
+            for r in out if r.scores and r.scores.best
+        ]
+
+    assert found(1000) == found(0) and len(found(0)) == 41
