@@ -79,7 +79,8 @@ def centroid_scores(
     """Adds ``scores``: best category, best and second-best cosine.
 
     Up to ``few`` centroids ride along with the tasks.  More are searched block
-    by block as the two nearest of each vector, and joined by ``key``.
+    by block as the two nearest of each vector, and joined by ``key``.  Which of
+    the categories a zero vector names is open; its scores are 0.
     """
     if not within(centroids, few):
         return _centroid_search(df, centroids, vector, key)

@@ -38,6 +38,7 @@ def _finish(stream, spark, out: str) -> DataFrame:
        ORDER BY ts, event_id)) < 86400000000, false) AS is_revisit FROM events""",
 )
 def stream_revisit_marks(t: Tables) -> DataFrame:
+    t.spark.conf.set(jobs.STATE_STORE, jobs.ROCKSDB)
     folder = jobs.work_folder(t.spark, "revisits")
     marks = jobs.revisit_marks(streamed(t, "events").events, ["user_id", "event_type"])
     return _finish(jobs.write_files(marks, f"{folder}/out", f"{folder}/state"), t.spark, f"{folder}/out")

@@ -19,6 +19,7 @@ from ..operators import capture, store
 from ..runtime import checkpoint_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 TAB_GAP = "30 minutes"
 
 
@@ -73,10 +74,10 @@ def revisit_marks(
     One key's share of a micro-batch is sorted in one task, so bound the batch
     at the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).  For a
     backlog, ``operators.capture.mark_revisits`` does the same in batch and
-    splits hot keys.
+    splits hot keys.  The session must keep its state in RocksDB (``STATE_STORE``).
     """
-    spark = events.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    if events.sparkSession.conf.get(STATE_STORE, None) != ROCKSDB:
+        raise ValueError(f"set {STATE_STORE} to {ROCKSDB}")
     keyed = events.withWatermark(ts, late).select(
         *keys, "event_id", F.unix_micros(F.col(ts)).alias("event_us"), F.col(ts).alias("event_time")
     )

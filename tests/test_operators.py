@@ -412,10 +412,8 @@ def test_many_centroids_by_search(spark):
     )
 
     def found(few):
-        out = classify.centroid_scores(df, centroids, few=few).orderBy("memory_id").collect()
-        return [
-            (r.memory_id, r.scores and r.scores.best, *(r.scores and x is not None and round(x, 9) for x in (r.scores and r.scores[1:]) or ()))
-            for r in out if r.scores and r.scores.best
-        ]
+        scored = classify.centroid_scores(df, centroids, few=few).filter("scores.best IS NOT NULL").orderBy("memory_id")
+        return [(r[0], r.best if r.best_score > 0 else None, round(r.best_score, 9), round(r.second_score, 9))
+                for r in scored.select("memory_id", "scores.*").collect()]
 
     assert found(1000) == found(0) and len(found(0)) == 41
