@@ -176,7 +176,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     copies = F.concat(F.array_repeat(whole, F.col("_copies").cast("int")), rest)
     taken = marked.join(shares, "_row").withColumn("_words", F.explode(copies))
     spaces = r"[\x20\x09-\x0D]*"
-    pattern = F.concat(F.lit(f"^(?:{spaces}{WORD}){{"), F.col("_words").cast("string"), F.lit("}"))
+    # possessive: the JVM matches such a group in a loop, any other one by a call inside a call for each word
+    pattern = F.concat(F.lit(f"^(?:{spaces}{WORD}){{"), F.col("_words").cast("string"), F.lit("}+"))
     taken = taken.withColumn(
         "text", F.when(F.col("_words") > 0, F.regexp_substr(F.col("text").cast("string"), pattern)).otherwise(F.col("text"))
     )

@@ -294,6 +294,14 @@ def test_mixed_rows_are_what_the_mixture_takes(spark):
     assert mixing.mixture(docs_of(spark, [])).count() == 0 and mixing.mixed(docs_of(spark, [])).count() == 0
 
 
+def test_long_boundary_document_is_cut_at_its_word(spark):
+    for n, percent, cut in ((20_000, 175, 15_000), (300_000, 150, 150_000)):
+        text = " " + "".join(f"w{i}" + (" ", "\n", " \t ")[i % 3] for i in range(n))
+        out = mixing.mixed(docs_of(spark, [(1, text, "en", "a", len(text), "x")]), percent=percent).collect()
+        want = text[: list(WORD.finditer(text))[cut - 1].end()]
+        assert sorted((r.text, r.n_chars) for r in out) == sorted([(text, len(text)), (want, len(want))])
+
+
 def test_inclusion_is_unequal_and_even(spark):
     rows = [(i, "w " * (10 if i % 2 else 1000), "en", "a" if i < 4000 else "b", 1, "x") for i in range(4400)]
     got = mixing.mixture(docs_of(spark, rows)).filter("source = 'a'").groupBy((F.col("size") > 100).alias("long")).agg(
