@@ -64,11 +64,14 @@ class Encoder:
             known[p] = known[base] + known[marks]
 
     def _cut(self, parts: list[str]) -> None:
-        """Encode parts as one text and cut its ids at their borders, which the byte lengths of the tokens give."""
-        lone = [p for p in parts if p[0] not in " \n"]
+        """Encode parts as one text and cut its ids at their borders, which the byte lengths of the tokens give.
+
+        White space alone would merge with the part behind it, so such parts go by themselves.
+        """
+        lone = [p for p in parts if p[0] not in " \n" or p[-1] in " \n"]
         for part, ids in zip(lone, self._whole(lone)):
             self.known[part] = ids
-        rest = [p for p in parts if p[0] in " \n"]
+        rest = [p for p in parts if p[0] in " \n" and p[-1] not in " \n"]
         for low in range(0, len(rest), 4096):
             some = rest[low : low + 4096]
             ids = np.array(self.tool.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import itertools
 import random
 import re
 import zlib
@@ -188,6 +189,26 @@ def test_encoder_equals_the_tokenizer(spark):
         assert [x.tolist() for x in tokens.Encoder(TOKENIZER, kept).encode(texts)] == reference_ids(texts)
 
 
+def test_space_at_the_end_of_a_text_stays_with_it():
+    tool = tokens.Encoder(TOKENIZER)
+    parts = ["\n", "\n\n", " ", "\n\nThe", "\n The", " The", "  \nThe", "x"]
+    want = dict(zip(parts, reference_ids(parts)))
+    for order in itertools.permutations(parts, 4):
+        tool.known.clear()
+        tool._cut(list(order))
+        assert {p: np.frombuffer(ids, dtype="<u4").tolist() for p, ids in tool.known.items()} == {p: want[p] for p in order}
+    rng = random.Random(6)
+    texts = [f"w{i}" + rng.choice(["\n", "\n\n", " ", " \n ", "\n\nword", "\n word", "\n\nThe end\n"]) for i in range(400)]
+    known = dict(zip(texts, reference_ids(texts)))
+    for kept in (tokens.KEPT_PARTS, 5):
+        tool = tokens.Encoder(TOKENIZER, kept)
+        for _ in range(10):
+            rng.shuffle(texts)
+            for low in range(0, len(texts), 40):
+                some = texts[low : low + 40]
+                assert [x.tolist() for x in tool.encode(some)] == [known[t] for t in some]
+
+
 def check_packing(rows, texts, capacity):
     want = collections.Counter()
     for doc, text in texts:
