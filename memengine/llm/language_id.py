@@ -29,13 +29,16 @@ def plain(text: str) -> str:
     return _NO_LETTER.sub(" ", text.lower()).strip()
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+def learn(
+    docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES, sample_chars: int = SAMPLE_CHARS
+) -> dict[str, bytes]:
     """A raw-content dictionary per language, most frequent language first.
 
     ``docs`` needs text and lang.  Rows where either is null are not learned
-    from.  Each dictionary holds the beginnings of at most ``sample_docs``
-    distinct texts, picked by hash, up to ``dictionary_bytes``: a bounded sample
-    of the labelled rows.  No labelled rows: no languages.
+    from.  Each dictionary holds ``sample_chars`` characters each of at most
+    ``sample_docs`` distinct texts, up to ``dictionary_bytes``: a bounded sample
+    of the labelled rows.  Texts and the place in a text are picked by hash;
+    shorter texts are taken whole.  No labelled rows: no languages.
     """
     labelled = docs.select("lang", "text").filter("lang is not null and text is not null")
     hashed = labelled.withColumn("pick", F.xxhash64("text"))
@@ -47,10 +50,11 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int
     share = F.create_map(*[F.lit(x) for r in totals for x in (r["lang"], min(1.0, 4.0 * sample_docs / r["texts"]))])
     low = F.pmod("pick", F.lit(1 << 40)) <= share[F.col("lang")] * float(1 << 40)
     wanted = top_per_group(counts.filter(low).select("lang", "pick"), ["lang"], [F.col("pick")], sample_docs).drop("rank")
+    place = F.pmod(F.xxhash64("pick"), F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1).cast("int") + 1
     sample = (
         hashed.join(F.broadcast(wanted), ["lang", "pick"])
         .groupBy("lang", "pick")
-        .agg(F.min(F.left("text", F.lit(SAMPLE_CHARS))).alias("text"))
+        .agg(F.min(F.substring("text", place, F.lit(sample_chars))).alias("text"))
         .toPandas()
     )
     sizes = {r["lang"]: r["n"] for r in totals}

@@ -281,6 +281,23 @@ def test_language_on_held_out_labels(spark):
     assert language_id.predict(docs_of(spark, []), {"en": b"text"}).count() == 0
 
 
+def test_language_is_learned_from_all_places_of_a_text(spark):
+    rng = random.Random(7)
+    names = {lang: [lang + "".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)] for lang in ("p", "q")}
+
+    def some(lang, n):
+        return " ".join(rng.choice(names[lang]) for _ in range(n))
+
+    rows = [(i, some("qp"[i % 2], 200) + " " + some("pq"[i % 2], 1200), "pq"[i % 2], "a", 1, "x") for i in range(120)]
+    model = language_id.learn(docs_of(spark, rows), sample_docs=30)
+    asked = [(i, some("pq"[i % 2], 60), "pq"[i % 2], "a", 1, "x") for i in range(60)]
+    assert all(r.lang == r.lang_pred for r in language_id.predict(docs_of(spark, asked), model).collect())
+    few = language_id.learn(docs_of(spark, rows), sample_docs=30, sample_chars=70)
+    assert {k: len(v) <= 30 * 71 for k, v in few.items()} == {"p": True, "q": True}
+    short = language_id.learn(docs_of(spark, [(1, "just so", "p", "a", 1, "x"), (2, "", "p", "a", 1, "x")]))
+    assert b"just so" in short["p"]
+
+
 def test_mixture_meets_its_targets(spark):
     rows = mixing.mixture(small(spark)).collect()
     assert rows == mixing.mixture(small(spark)).collect() or sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mixture(small(spark)).collect()))
