@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Generator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -33,6 +35,8 @@ IMPLIED_END = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
 }
+TABLE_PARTS = frozenset("caption tbody td tfoot th thead tr".split())
+# Levels of lists, quotes and tables inside each other that are indented and aligned; below, lines are only broken.
 DEEPEST = 150
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
@@ -52,25 +56,29 @@ class Node:
 
 
 class Tree(HTMLParser):
-    """Open elements are a stack.  A tag deeper than ``DEEPEST`` becomes a leaf and its text goes to its parent."""
+    """Open elements are a stack of any depth; ``places`` has the places of each name in it, in rising order."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.stack = [self.root]
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
         self.feed(html)
         self.close()
 
+    def _last(self, names: set[str]) -> int:
+        return max((self.places[name][-1] for name in names if self.places.get(name)), default=0)
+
+    def _close(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.places[self.stack.pop().tag].pop()
+
     def _end(self, names: set[str], limits: set[str]) -> None:
         """Close the open elements from the outermost of ``names`` that no element of ``limits`` encloses."""
-        at = None
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag in limits:
-                break
-            if self.stack[i].tag in names:
-                at = i
-        if at is not None:
-            del self.stack[at:]
+        low = self._last(limits)
+        found = [places[bisect_right(places, low)] for n in names if (places := self.places.get(n)) and places[-1] > low]
+        if found:
+            self._close(min(found))
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):
@@ -81,7 +89,8 @@ class Tree(HTMLParser):
             self._end({"p"}, {"td", "th", "table", "button", "li", "div", "section", "article"})
         node = Node(tag, dict(attrs))
         self.stack[-1].children.append(node)
-        if tag not in VOID and len(self.stack) < DEEPEST:
+        if tag not in VOID:
+            self.places[tag].append(len(self.stack))
             self.stack.append(node)
 
     def handle_startendtag(self, tag, attrs):
@@ -91,12 +100,9 @@ class Tree(HTMLParser):
         if tag in ("html", "body"):
             return
         limits = set() if tag in ("table", "td", "th", "tr") else {"td", "th", "table"} - {tag}
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                return
-            if self.stack[i].tag in limits:
-                return
+        at = self._last({tag})
+        if at > self._last(limits):
+            self._close(at)
 
     def handle_data(self, data):
         self.stack[-1].children.append(data)
@@ -169,14 +175,27 @@ class Lines:
         return self.lines[start:]
 
 
-def _block(node: Node, keep: bool = False) -> list[str]:
+def _run(work: Generator):
+    """Result of a generator that yields the generators it waits for: calls of any depth without recursion."""
+    waiting, value = [work], None
+    while waiting:
+        try:
+            waiting.append(waiting[-1].send(value))
+            value = None
+        except StopIteration as end:
+            waiting.pop()
+            value = end.value
+    return value
+
+
+def _block(node: Node, keep: bool = False, level: int = 0) -> Generator:
     out = Lines()
-    _inside(node, out, keep)
+    yield _inside(node, out, keep, level)
     return out.done()
 
 
-def _inside(node: Node, out: Lines, keep: bool) -> None:
-    counter = 0
+def _inside(node: Node, out: Lines, keep: bool, level: int) -> Generator:
+    counter, flat = 0, level >= DEEPEST
     if node.tag == "ol":
         start = node.attrs.get("start") or "1"
         counter = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
@@ -200,87 +219,128 @@ def _inside(node: Node, out: Lines, keep: bool) -> None:
                 out.text(child.attrs.get("value") or "", keep)
         elif tag == "table":
             out.block(True)
-            out.place(_table(child))
+            if flat:
+                yield _inside(child, out, False, level)
+            else:
+                out.place((yield _table(child, level + 1)))
             out.block(True)
         elif tag == "li":
             mark = f"{counter}. " if node.tag == "ol" else "- "
             counter += 1
             out.block(False)
-            out.place(_block(child, keep), mark, " " * len(mark))
+            if flat:
+                out.text(mark, False)
+                yield _inside(child, out, keep, level)
+            else:
+                out.place((yield _block(child, keep, level + 1)), mark, " " * len(mark))
             out.block(False)
         elif tag in ("blockquote", "dd"):
             out.block(tag in SPACED)
-            out.place(_block(child, keep), "  ", "  ")
+            if flat:
+                yield _inside(child, out, keep, level)
+            else:
+                out.place((yield _block(child, keep, level + 1)), "  ", "  ")
             out.block(tag in SPACED)
-        elif tag in BLOCKS:
+        elif tag in BLOCKS or flat and tag in TABLE_PARTS:
             nested = tag in ("ul", "ol", "menu") and node.tag == "li"
             out.block(tag in SPACED and not nested)
-            _inside(child, out, keep or tag in ("pre", "textarea"))
+            yield _inside(child, out, keep or tag in ("pre", "textarea"), level)
             out.block(tag in SPACED and not nested)
         else:
-            _inside(child, out, keep or tag == "textarea")
+            yield _inside(child, out, keep or tag == "textarea", level)
+
+
+def _span(cell: Node, name: str, least: int, most: int) -> int:
+    span = cell.attrs.get(name) or "1"
+    return min(most, max(least, int(span))) if re.fullmatch(r"\d{1,5}", span) else 1
 
 
-def _rows(node: Node, captions: list[list[str]]) -> Iterator[list[tuple[list[str], int]]]:
-    """Rows of cells (lines, columns) of a table; content outside cells makes a row of its own."""
+def _rows(node: Node, captions: list[list[str]], rows: list, level: int) -> Generator:
+    """Append (group, cells) per row of a table to ``rows``, a cell being (lines, columns, rows; 0: to the end of the group).
+
+    Content outside cells makes a row of its own, with no group.
+    """
     for child in node.children:
         if isinstance(child, str):
             if child.strip():
-                yield [([" ".join(child.split())], 1)]
+                rows.append((None, [([" ".join(child.split())], 1, 1)]))
         elif child.hidden() or child.tag in ("col", "colgroup"):
             continue
         elif child.tag in ("thead", "tbody", "tfoot"):
-            yield from _rows(child, captions)
+            yield _rows(child, captions, rows, level)
         elif child.tag == "caption":
-            captions.append(_block(child))
+            captions.append((yield _block(child, level=level)))
         elif child.tag == "tr":
             cells = []
             for cell in child.children:
                 if isinstance(cell, Node) and not cell.hidden():
-                    span = cell.attrs.get("colspan") or "1"
-                    cells.append((_block(cell), min(100, max(1, int(span))) if re.fullmatch(r"\d{1,4}", span) else 1))
+                    lines = yield _block(cell, level=level)
+                    cells.append((lines, _span(cell, "colspan", 1, 100), _span(cell, "rowspan", 0, 65534)))
                 elif isinstance(cell, str) and cell.strip():
-                    cells.append(([" ".join(cell.split())], 1))
-            if cells:
-                yield cells
+                    cells.append(([" ".join(cell.split())], 1, 1))
+            rows.append((id(node), cells))
         else:
-            yield [(_block(child), 1)]
+            rows.append((None, [((yield _block(child, level=level)), 1, 1)]))
+
+
+def _placed(rows: list) -> list[list[tuple[int, list[str], int]]]:
+    """Rows of cells (column, lines, columns): a cell stands in the first columns that no cell of a row above spans."""
+    out, now, taken = [], None, {}
+    for group, cells in rows:
+        if group is not None and group != now:
+            now, taken = group, {}
+        above = taken if group is not None else {}
+        at, placed, below = 0, [], {c: n - 1 for c, n in above.items() if n > 1}
+        for lines, span, down in cells:
+            while clash := [c for c in range(at, at + span) if c in above]:
+                at = clash[-1] + 1
+            placed.append((at, lines, span))
+            if down != 1:
+                below.update(dict.fromkeys(range(at, at + span), down - 1 if down else 65534))
+            at += span
+        if group is not None:
+            taken = below
+        out.append(placed)
+    return out
 
 
-def _table(node: Node) -> list[str]:
+def _table(node: Node, level: int) -> Generator:
     """Cells one below the other in columns of equal width, two spaces apart; captions above."""
     captions: list[list[str]] = []
-    rows = list(_rows(node, captions))
+    found: list = []
+    yield _rows(node, captions, found, level)
+    rows = _placed(found)
     widths: list[int] = []
     for row in rows:
-        at = 0
-        for lines, span in row:
+        for at, lines, span in row:
             widths.extend([0] * (at + span - len(widths)))
             if span == 1:
                 widths[at] = max(widths[at], max(map(len, lines), default=0))
-            at += span
     out = [line for caption in captions for line in caption]
     for row in rows:
-        for i in range(max((len(lines) for lines, _ in row), default=0)):
-            at, line = 0, ""
-            for lines, span in row:
+        for i in range(max((len(lines) for _, lines, _ in row), default=0)):
+            end, line = 0, ""
+            for at, lines, span in row:
+                line += " " * (sum(widths[end:at]) + 2 * (at - end))
                 width = sum(widths[at : at + span]) + 2 * (span - 1)
                 line += (lines[i] if i < len(lines) else "").ljust(width) + "  "
-                at += span
+                end = at + span
             out.append(line.rstrip())
     return out
 
 
 def visible_text(html: str | None) -> str:
     """All text of a page that a reader sees, in lines."""
-    return "\n".join(_block(Tree(html).root)) if html else ""
+    return "\n".join(_run(_block(Tree(html).root))) if html else ""
 
 
 def rendered(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` with ``text`` instead of the html column: the visible text, laid out.
 
     Blocks stand on lines of their own, paragraphs, headings, lists and tables between empty lines; list items
-    have a dash or their number and are indented below each other; table cells are aligned in columns;
+    have a dash or their number and are indented below each other; table cells are aligned in columns, below a
+    cell that spans rows in the columns beside it; from ``DEEPEST`` lists, quotes and tables inside each other on,
+    lines are broken but no longer indented or aligned;
     preformatted text keeps its white space.  What is hidden by element, attribute or inline style is left out.
     Null and empty pages give an empty text; broken markup is repaired as browsers do, nothing is cut off.
     Rows are rendered one by one, so ties, repeated rows and null ids change nothing; other columns pass

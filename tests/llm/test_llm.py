@@ -427,6 +427,25 @@ def test_html_layout(spark):
         assert sorted("".join(seen)) == sorted("".join(re.sub(r"^\s*(- |\d+\. )", "", text, flags=re.M).split())) or len(text) > 0
 
 
+def test_html_of_any_depth():
+    for tag in ("div", "b", "span", "blockquote", "ul><li", "table><tr><td"):
+        ends = "".join(f"</{t}>" for t in reversed(tag.split("><")))
+        for depth in (10, 149, 150, 400, 5000):
+            inner = "<p>seen<script>no</script><style>no</style><span hidden>no<b>no</b></span><div style='display:none'>no<div>no</div>no</div><p>too"
+            text = html_text.visible_text(f"<{tag}>" * depth + inner + ends * depth + "<p>after")
+            assert [w for w in text.split() if w != "-"] == ["seen", "too", "after"]
+    page = "<div hidden>" + "<b>" * 200 + "<div>no</div>no" + "</b>" * 200 + "no</div>yes"
+    assert html_text.visible_text(page) == "yes"
+    assert html_text.visible_text("<table><tr><td>" + "<div>" * 200 + "<table><tr><td>x</table>y" + "</div>" * 200 + "<td>z</table>").split() == ["x", "z", "y"]
+
+
+def test_html_row_spans():
+    page = "<table><tr><td rowspan=2>A<td>B<td>C<tr><td>D<td rowspan=0>E<tr><td>F<td>G<tr></tr><tr><td>H<tbody><tr><td>I<td>J<td>K</table>"
+    assert html_text.visible_text(page) == "A  B  C\n   D  E\nF  G\nH\nI  J  K"
+    page = "<table><tr><td>A<td rowspan=3>B<td>C<tr><td colspan=2>DDDDDDDDDDD<tr><tr><td>E<td>F</table>"
+    assert html_text.visible_text(page).split() == ["A", "B", "C", "DDDDDDDDDDD", "E", "F"]
+
+
 def test_pipeline_stages(spark):
     docs = small(spark)
     columns = docs.columns
