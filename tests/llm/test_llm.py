@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import html as entities
 import itertools
 import random
 import re
@@ -10,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -446,6 +448,20 @@ def test_html_row_spans():
     assert html_text.visible_text(page).split() == ["A", "B", "C", "DDDDDDDDDDD", "E", "F"]
 
 
+def test_every_page_is_rendered_whole():
+    pages = pq.read_table(f"{SMALL}/pages.parquet").column("html").to_pylist()
+    assert pages
+
+    def differs(page, text):
+        body = re.sub(r"<!--.*?-->|<!DOCTYPE[^>]*>|<(script|style|title)\b.*?</\1>", "", page, flags=re.S)
+        want = "".join(entities.unescape(re.sub(r"</?[a-zA-Z][^>]*>", " ", body)).split())
+        return want != "".join(re.sub(r"^ *- ", "", text, flags=re.M).split())
+
+    texts = [html_text.visible_text(page) for page in pages]
+    assert not any(map(differs, pages, texts))
+    assert all(differs(page, text[: len(text) // 2]) for page, text in zip(pages, texts))
+
+
 def test_pipeline_stages(spark):
     docs = small(spark)
     columns = docs.columns
