@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_text, id_files, language_id, line_quality, mixing, ngram_join, packing, scratch, suffix_dedup, voronoi
+from . import chat, html_text, id_files, language_id, line_quality, mixing, ngram_join, packing, scratch, sharding, suffix_dedup
+from . import voronoi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -181,3 +182,57 @@ def op10(docs: DataFrame) -> DataFrame:
     path = scratch.folder(docs.sparkSession, "ids")
     shards = id_files.write(docs, path, TOKENIZER)
     return id_files.read(path, shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+_CRC = """
+WITH RECURSIVE steps AS (
+  SELECT n::UBIGINT AS n, n::UBIGINT AS crc, 0 AS bit FROM range(256) t(n)
+  UNION ALL
+  SELECT n, CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END, bit + 1 FROM steps WHERE bit < 8
+),
+crc_table AS (SELECT list(crc ORDER BY n) AS says FROM steps WHERE bit = 8),
+texts AS (SELECT *, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS digits FROM documents),
+"""
+OP11_SQL = (
+    _CRC
+    + """
+crcs AS (
+  SELECT doc_id, t, octet_length(encode(t)) + 1 AS size,
+    xor(list_reduce(
+      list_transform(range(octet_length(encode(t))), lambda i: ('0x' || substr(digits, 2 * i + 1, 2))::UBIGINT),
+      lambda crc, byte: xor(crc >> 8, says[(xor(crc, byte) & 255)::BIGINT + 1]), 4294967295::UBIGINT
+    ), 4294967295::UBIGINT) AS crc
+  FROM texts, crc_table
+),
+rows AS (
+  SELECT *, substr(md5(t), 1, 15) AS content, sum(size) OVER (ORDER BY substr(md5(t), 1, 15), doc_id) AS high FROM crcs
+),
+groups AS (
+  SELECT *, min(high - size) OVER (PARTITION BY content) AS group_low, max(high) OVER (PARTITION BY content) AS group_high,
+    sum(size) OVER () AS total FROM rows
+),
+borders AS (
+  SELECT s, CASE
+      WHEN 1000 * least(abs(16 * group_low - s * total), abs(16 * group_high - s * total)) <= total
+        THEN CASE WHEN abs(16 * group_low - s * total) <= abs(16 * group_high - s * total) THEN group_low ELSE group_high END
+      WHEN abs(16 * (high - size) - s * total) <= abs(16 * high - s * total) THEN high - size ELSE high END AS border
+  FROM groups, range(1, 16) t(s) WHERE 16 * (high - size) <= s * total AND s * total < 16 * high
+),
+dealt AS (
+  SELECT g.*, (SELECT count(*) FROM borders WHERE border <= g.high - g.size)::INTEGER AS shard FROM groups g
+)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY content, doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM dealt
+"""
+)
+
+
+@query("op11_histogram_shards", "documents", OP11_SQL)
+def op11(docs: DataFrame) -> DataFrame:
+    """All documents in 16 shards of near equal bytes; sizes and digests are those of the texts in the shards."""
+    text = F.coalesce("text", F.lit(""))
+    return sharding.sharded(docs.select("doc_id", "text")).select(
+        "doc_id", sharding.size_of(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("bytes").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
