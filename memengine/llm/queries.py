@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_text, id_files, language_id, line_quality, mixing, ngram_join, packing, scratch, sharding, suffix_dedup
-from . import voronoi
+from . import chat, filter_audit, html_text, id_files, language_id, line_quality, mixing, ngram_join, packing, scratch, sharding, suffix_dedup
+from . import vector_codes, voronoi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -236,3 +236,108 @@ def op11(docs: DataFrame) -> DataFrame:
         "doc_id", sharding.size_of(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("bytes").alias("law"),
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+OP12_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+),
+failed AS (
+  SELECT doc_id, part, [
+      len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws),
+      100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t),
+      regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)
+    ] AS fails FROM words
+),
+marked AS (
+  SELECT part, fails, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad,
+    list_sum([f::INTEGER FOR f IN fails]) AS n_fails FROM failed LEFT JOIN labels USING (doc_id)
+),
+letters AS (SELECT * FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) t(f)),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+),
+steps AS (
+  SELECT *, substr(filter_order, step, 1) AS f, ascii(substr(filter_order, step, 1)) - 64 AS number,
+    [ascii(c) - 64 FOR c IN string_split(left(filter_order, step - 1), '') IF c <> ''] AS before
+  FROM (SELECT filter_order, unnest(range(1, 6))::INTEGER AS step FROM orders)
+),
+kinds AS (SELECT part, fails, good, bad, n_fails, count(*) AS n FROM marked GROUP BY ALL),
+counts AS (
+  SELECT part, filter_order, step, f,
+    coalesce(sum(n) FILTER (WHERE NOT fails[number] AND NOT gone), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (WHERE fails[number] AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE fails[number] AND gone), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (WHERE fails[number] AND n_fails = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (WHERE fails[number] AND NOT gone AND good), 0)::BIGINT AS good_lost,
+    coalesce(sum(n) FILTER (WHERE fails[number] AND NOT gone AND bad), 0)::BIGINT AS toxic_lost
+  FROM (SELECT kinds.*, steps.*, len([x FOR x IN before IF fails[x]]) > 0 AS gone FROM kinds, steps)
+  GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM counts
+"""
+
+
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters A to E over all documents, in all their orders, for each source."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in ("documents", "labels"))
+    return filter_audit.audit(docs, filter_audit.text_filters(), labels)
+
+
+QUERIES["op12_filter_audit"], ORACLES["op12_filter_audit"] = _op12, OP12_SQL
+
+
+def _op13_sql(rounds: int = vector_codes.ROUNDS, width: int = 8) -> str:
+    places = range(1, width + 1)
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(
+            f"""near_{r} AS MATERIALIZED (
+  SELECT vec_id, position, any_value(part) AS part, min(away) AS away, arg_min(entry, (away, entry)) AS entry FROM (
+    SELECT p.vec_id, p.position, p.part, c.entry,
+      list_sum(list_transform(range(1, {width + 1}), lambda i: (p.part[i] - c.value[i]) * (p.part[i] - c.value[i])))::BIGINT AS away
+    FROM parts p JOIN books_{r} c USING (position)
+  ) GROUP BY vec_id, position
+)"""
+        )
+        if r < rounds:
+            means = ", ".join(f"((sum(part[{i}]) - ((sum(part[{i}]) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT" for i in places)
+            steps.append(
+                f"""books_{r + 1} AS MATERIALIZED (
+  SELECT position, entry, coalesce(mean, value) AS value FROM books_{r}
+  LEFT JOIN (SELECT position, entry, [{means}] AS mean FROM near_{r} GROUP BY position, entry) USING (position, entry)
+)"""
+            )
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, [floor(4096 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+parts AS MATERIALIZED (
+  SELECT vec_id, label, position, v[{width} * position + 1 : {width} * position + {width}] AS part FROM kept, range(8) t(position)
+),
+books_0 AS MATERIALIZED (
+  SELECT position, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry, part AS value FROM parts
+  WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 16)
+),
+{", ".join(steps)},
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY position) AS code, sum(away)::BIGINT AS error
+  FROM near_{rounds} GROUP BY vec_id
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(value, ','), ',' ORDER BY position, entry)) FROM books_{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
+@query("op13_vector_codes", "embeddings", _op13_sql())
+def op13(vectors: DataFrame) -> DataFrame:
+    """All vectors as codes of 8 parts, and what they lose."""
+    codes = vector_codes.compressed(vectors)
+    hexed = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return codes.rows.select(F.col("id").alias("vec_id"), hexed.alias("code"), "error", "label_error", F.lit(codes.digest()).alias("codebooks_sha256"))

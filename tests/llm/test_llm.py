@@ -36,8 +36,8 @@ def docs_of(spark, rows):
     return spark.createDataFrame(rows, DOCS)
 
 
-def small(spark):
-    return spark.read.parquet(f"{SMALL}/documents.parquet")
+def small(spark, table="documents"):
+    return spark.read.parquet(f"{SMALL}/{table}.parquet")
 
 
 def near_copies(n=60, edits=6):
