@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memengine.runtime import spread
+
 from . import scratch
 from .inputs import prepared
 
@@ -210,7 +212,7 @@ def audit(docs: DataFrame, filters: dict[str, Column | Repeated], labels: DataFr
     n = len(filters)
     lists = postings(docs, filters, labels, part)
     sums = "part string, n bigint, set int, filter int, before bigint, removed bigint, good bigint, toxic bigint"
-    sizes = lists.drop("range").mapInArrow(_summed(n), sums).groupBy("part", "set", "filter").agg(
+    sizes = spread(lists.drop("range")).mapInArrow(_summed(n), sums).groupBy("part", "set", "filter").agg(
         *[F.sum(c).alias(c) for c in ("n", "before", "removed", "good", "toxic")]
     )
     weight = F.get(F.array(*[F.lit(math.factorial(k) * math.factorial(n - 1 - k)) for k in range(n)]), F.bit_count("set"))

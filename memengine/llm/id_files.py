@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .inputs import prepared, shuffle_partitions
-from .tokens import encoder
+from .tokens import TEXT_BYTES, encoder
 from .words import blocked, mix
 
 END_ID = 0
@@ -155,10 +155,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, shard_bytes: int = SHARD_B
         store.create_dir(folder, recursive=True)
         draft = f"{folder}/{number}.{uuid.uuid4().hex}"
         stream = None
-        for batch in blocked(batches, "text"):
+        for batch in blocked(batches, "text", TEXT_BYTES):
             if stream is None and batch.num_rows:
                 stream = store.open_output_stream(f"{draft}.ids")
-            for doc, found in zip(batch.column("doc_id").to_pylist(), tool.encode(batch.column("text").to_pylist())):
+            for doc, found in zip(batch.column("doc_id").to_pylist(), tool.encode(batch.column("text"))):
                 ids.append(doc)
                 lengths.append(len(found) + 1)
                 stream.write(np.concatenate([found, end]).astype(f"<u{width}").tobytes())

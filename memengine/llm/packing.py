@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .inputs import prepared
-from .tokens import KEPT_PARTS, encoder
+from .tokens import KEPT_PARTS, TEXT_BYTES, encoder
 from .words import blocked
 
 CAPACITY = 2048
@@ -36,10 +36,13 @@ WELL_FILLED = 0.995
 
 
 def encoded_pieces(
-    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, kept_parts: int = KEPT_PARTS
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, kept_parts: int = KEPT_PARTS,
+    digest: bool = False,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (binary, little-endian unsigned 32-bit).
 
+    With ``digest`` ids_crc32 stands in place of the ids, taken where they are made, so that they need not be sent.
+
     A document is the ids of its whole text and ``end_id``; null counts as
     empty.  One longer than ``capacity`` is cut into pieces of that length, the
     first of which may be shorter.  Each row of ``docs`` is a document of its
@@ -50,19 +53,21 @@ def encoded_pieces(
     def encode(batches):
         end = np.array([end_id], dtype="<u4")
         tool = encoder(tokenizer, kept_parts)
-        for batch in blocked(batches, "text"):
+        for batch in blocked(batches, "text", TEXT_BYTES):
             columns: list[list] = [[], [], [], [], []]
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), tool.encode(batch.column("text").to_pylist())):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), tool.encode(batch.column("text"))):
                 ids = np.concatenate([ids, end])
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 for piece, (low, high) in enumerate(zip(cuts, cuts[1:])):
-                    for column, value in zip(columns, (doc, piece, low, high - low, ids[low:high].tobytes())):
+                    raw = ids[low:high].tobytes()
+                    for column, value in zip(columns, (doc, piece, low, high - low, zlib.crc32(raw) if digest else raw)):
                         column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids"])
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64() if digest else pa.binary())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", last.split()[0]])
 
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return given.mapInArrow(encode, "doc_id bigint, piece int, start bigint, length bigint, ids binary")
+    last = "ids_crc32 bigint" if digest else "ids binary"
+    return given.mapInArrow(encode, f"doc_id bigint, piece int, start bigint, length bigint, {last}")
 
 
 class Bins:
@@ -247,5 +252,4 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHAR
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, kept_parts: int = KEPT_PARTS) -> DataFrame:
     """The digest of a packing: pieces with ids_crc32 instead of their ids, and where each one is."""
-    pieces = encoded_pieces(docs, tokenizer, capacity, kept_parts=kept_parts)
-    return packed(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity)
+    return packed(encoded_pieces(docs, tokenizer, capacity, kept_parts=kept_parts, digest=True), capacity)
