@@ -145,48 +145,56 @@ ENTERTAINMENT_DOMAINS = [
     "imdb.com", "rottentomatoes.com",
     "letterboxd.com", "goodreads.com",
 ]
-# Hosts only the domain lookup knows, per group.  The full lookup is the rule
-# "structural lists first, then these" (see sources.dimensions.domain_map).
-LOOKUP_ONLY_STUDY = [
-    "geeksforgeeks.org", "stackoverflow.com", "leetcode.com", "hackerrank.com",
-    "codewars.com", "coursera.org", "edx.org", "udacity.com", "udemy.com",
-    "khan-academy.org", "khanacademy.org", "duolingo.com", "babbel.com",
-    "rosettastone.com", "quizlet.com", "wikipedia.org", "scholar.google.com",
-    "researchgate.net", "arxiv.org", "openreview.net", "dev.to", "hashnode.com",
-    "freecodecamp.org", "codecademy.com", "datacamp.com", "pluralsight.com",
-    "linkedin.com/learning", "w3schools.com", "mdn.mozilla.org",
-    "developer.mozilla.org", "docs.microsoft.com", "cloud.google.com/docs",
-    "aws.amazon.com/documentation", "python.org", "cplusplus.com",
-    "cppreference.com", "rust-lang.org", "golang.org", "nodejs.org",
-    "ruby-lang.org", "php.net", "swift.org", "kotlinlang.org", "scala-lang.org",
-    "elixir-lang.org", "erlang.org", "haskell.org", "clojure.org", "numpy.org",
-    "scipy.org", "matplotlib.org", "pandas.pydata.org", "scikit-learn.org",
-    "tensorflow.org", "pytorch.org", "keras.io", "jupyter.org", "anaconda.com",
-    "docker.com", "kubernetes.io", "mysql.com", "postgresql.org", "mongodb.com",
-    "redis.io", "elasticsearch.org", "graphql.org", "restfulapi.net",
-    "swagger.io", "openapi.tools", "git-scm.com", "svnbook.red-bean.com",
-    "jenkins.io", "circleci.com", "travis-ci.org", "github.com/actions",
-    "webpack.js.org", "rollupjs.org", "parceljs.org", "vitejs.dev", "nextjs.org",
-    "nuxtjs.org", "reactjs.org", "vuejs.org", "angularjs.org", "angular.io",
-    "svelte.dev", "ember.js", "backbonejs.org", "jquery.com", "jsfiddle.net",
-    "codepen.io", "jsbench.me", "jsperf.com", "caniuse.com",
-]
-LOOKUP_ONLY_WORK = [
-    "gmail.com", "wistia.com", "vimeo.com", "airtable.com", "zapier.com",
-    "ifttt.com", "integromat.com", "mailchimp.com", "sendgrid.com", "twilio.com",
-    "intercom.com", "zendesk.com", "freshdesk.com", "serviceNow.com",
-    "atlassian.net", "bitbucket.io",
-]
-LOOKUP_ONLY_ENTERTAINMENT = [
-    "wattpad.com", "webtoon.com", "comixology.com", "crunchyroll.com",
-    "funimation.com", "plex.tv", "peacocktv.com", "paramountplus.com",
-    "appletv.apple.com", "hulumax.com", "max.hbo.com", "bandcamp.com",
-    "deezer.com", "tidal.com", "youmusic.com", "pandora.com", "iheartradio.com",
-    "radioparadise.com", "last.fm", "genius.com", "songkick.com",
-    "eventbrite.com", "meetup.com", "4chan.org", "8kun.top", "mastodon.social",
-    "pixiv.net", "danbooru.donmai.us", "deviantart.com", "artstation.com",
-    "behance.net",
-]
+# The group of each host the lookup knows.
+HOST_GROUPS = {
+    "study": [
+        "geeksforgeeks.org", "stackoverflow.com", "leetcode.com", "hackerrank.com", "codewars.com",
+        "coursera.org", "edx.org", "udacity.com", "udemy.com", "khan-academy.org",
+        "khanacademy.org", "duolingo.com", "babbel.com", "rosettastone.com", "quizlet.com",
+        "wikipedia.org", "scholar.google.com", "researchgate.net", "arxiv.org", "openreview.net",
+        "dev.to", "hashnode.com", "freecodecamp.org", "codecademy.com", "datacamp.com",
+        "pluralsight.com", "linkedin.com/learning", "w3schools.com", "mdn.mozilla.org",
+        "developer.mozilla.org", "docs.microsoft.com", "cloud.google.com/docs",
+        "aws.amazon.com/documentation", "python.org", "cplusplus.com", "cppreference.com",
+        "rust-lang.org", "golang.org", "nodejs.org", "ruby-lang.org", "php.net", "swift.org",
+        "kotlinlang.org", "scala-lang.org", "elixir-lang.org", "erlang.org", "haskell.org",
+        "clojure.org", "numpy.org", "scipy.org", "matplotlib.org", "pandas.pydata.org",
+        "scikit-learn.org", "tensorflow.org", "pytorch.org", "keras.io", "jupyter.org",
+        "anaconda.com", "docker.com", "kubernetes.io", "mysql.com", "postgresql.org", "mongodb.com",
+        "redis.io", "elasticsearch.org", "graphql.org", "restfulapi.net", "swagger.io",
+        "openapi.tools", "git-scm.com", "svnbook.red-bean.com", "jenkins.io", "circleci.com",
+        "travis-ci.org", "github.com/actions", "webpack.js.org", "rollupjs.org", "parceljs.org",
+        "vitejs.dev", "nextjs.org", "nuxtjs.org", "reactjs.org", "vuejs.org", "angularjs.org",
+        "angular.io", "svelte.dev", "ember.js", "backbonejs.org", "jquery.com", "jsfiddle.net",
+        "codepen.io", "jsbench.me", "jsperf.com", "caniuse.com",
+    ],
+    "work": [
+        "github.com", "gitlab.com", "bitbucket.org", "slack.com", "teams.microsoft.com",
+        "discord.com", "jira.com", "asana.com", "monday.com", "trello.com", "notion.so",
+        "confluence.atlassian.net", "outlook.office.com", "mail.google.com", "gmail.com", "zoom.us",
+        "meet.google.com", "whereby.com", "aws.amazon.com", "cloud.google.com",
+        "azure.microsoft.com", "salesforce.com", "hubspot.com", "pipedrive.com", "figma.com",
+        "adobe.com", "canva.com", "tableau.com", "power.bi", "metabase.com", "stripe.com",
+        "square.com", "shopify.com", "wistia.com", "vimeo.com", "airtable.com", "zapier.com",
+        "ifttt.com", "integromat.com", "mailchimp.com", "sendgrid.com", "twilio.com",
+        "intercom.com", "zendesk.com", "freshdesk.com", "serviceNow.com", "atlassian.net",
+        "bitbucket.io",
+    ],
+    "entertainment": [
+        "youtube.com", "youtu.be", "netflix.com", "primevideo.com", "hulu.com", "disneyplus.com",
+        "spotify.com", "music.apple.com", "soundcloud.com", "twitch.tv", "kick.com", "reddit.com",
+        "9gag.com", "imgur.com", "tiktok.com", "instagram.com", "facebook.com", "twitter.com",
+        "x.com", "pinterest.com", "tumblr.com", "steam.com", "epicgames.com", "playstation.com",
+        "xbox.com", "roblox.com", "minecraft.net", "imdb.com", "rottentomatoes.com",
+        "letterboxd.com", "goodreads.com", "wattpad.com", "webtoon.com", "comixology.com",
+        "crunchyroll.com", "funimation.com", "plex.tv", "peacocktv.com", "paramountplus.com",
+        "appletv.apple.com", "hulumax.com", "max.hbo.com", "bandcamp.com", "deezer.com",
+        "tidal.com", "youmusic.com", "pandora.com", "iheartradio.com", "radioparadise.com",
+        "last.fm", "genius.com", "songkick.com", "eventbrite.com", "meetup.com", "4chan.org",
+        "8kun.top", "mastodon.social", "pixiv.net", "danbooru.donmai.us", "deviantart.com",
+        "artstation.com", "behance.net",
+    ],
+}
 
 # --- fixed values: retrieval -------------------------------------------------
 SEARCH_LIMIT = 1000

@@ -55,17 +55,6 @@ def is_live_enriched(is_deleted: Column, preprocessed: Column) -> Column:
     return ~is_deleted & preprocessed
 
 
-def phrase_in_item(phrase: Column, title: Column, keywords: Column) -> Column:
-    """Whole phrase is a case-insensitive substring of the title or of one keyword.
-
-    ``%`` and ``_`` are ordinary characters here.
-    """
-    needle = F.lower(strip(phrase))
-    return F.coalesce(F.lower(title).contains(needle), F.lit(False)) | F.coalesce(
-        F.exists(keywords, lambda k: F.lower(k).contains(needle)), F.lit(False)
-    )
-
-
 def effective_sources(sources: Column) -> Column:
     """Source list with the 'selects everything' forms opened to all sources."""
     everything = F.array(*[F.lit(s) for s in K.SOURCES])

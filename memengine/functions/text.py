@@ -6,6 +6,7 @@ from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from .. import constants as K
 from .core import any_of, code_point, let, rstrip, string_array, string_map, strip, strip_long
@@ -257,9 +258,17 @@ def tolerant_json(text: Column, schema: str) -> Column:
     return F.struct(parsed.alias("parsed"), text.alias("raw"))
 
 
-def flatten_text(*values: Column) -> Column:
-    """Texts of a known nested shape joined by spaces, nulls as empty text."""
-    return F.array_join(F.transform(F.array(*values), lambda v: F.coalesce(v, F.lit(""))), " ")
+def flatten_text(value: Column, kind: DataType) -> Column:
+    """Texts of a nested value of a known type, joined by spaces: values of lists, maps and structs, null as empty text."""
+    if isinstance(kind, ArrayType):
+        parts = F.transform(value, lambda v: flatten_text(v, kind.elementType))
+    elif isinstance(kind, MapType):
+        parts = F.transform(F.map_values(value), lambda v: flatten_text(v, kind.valueType))
+    elif isinstance(kind, StructType):
+        parts = F.array(*[flatten_text(value[f.name], f.dataType) for f in kind]) if kind.fields else F.array().cast("array<string>")
+    else:
+        return F.coalesce(value.cast("string"), F.lit(""))
+    return F.when(value.isNull(), "").otherwise(F.array_join(parts, " "))
 
 
 def page_headings(html: Column) -> Column:

@@ -86,7 +86,3 @@ def delete_sessions(messages: DataFrame, sessions: DataFrame) -> tuple[DataFrame
         "session_id", F.coalesce("messages", F.lit(0)).alias("deleted")
     )
     return messages.join(named, "session_id", "left_anti"), counts
-
-
-def without_session(messages: DataFrame, session_id: str) -> DataFrame:
-    return messages.filter(F.col("session_id") != session_id)

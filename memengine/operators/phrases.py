@@ -9,6 +9,8 @@ code, however many there are.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from ..runtime import bounded_broadcast, lookup_join
 PIECE = 3
 FEW_PHRASES = 100_000
 FEW_BYTES = 32 << 20
+FEW_ANCHORS = 4096  # so few are compared with a text's pieces before these become rows
 
 
 def _pieces(text: Column) -> Column:
@@ -34,6 +37,11 @@ def _pieces(text: Column) -> Column:
     return let(longest, lambda p: F.array_distinct(F.concat(p, *[shorter(p, n) for n in range(1, PIECE)])))
 
 
+def _whole_pieces(text: Column) -> Column:
+    """Pieces of full length, repeats included."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{PIECE}}}))"), 1)
+
+
 def _phrase_pieces(phrases: DataFrame) -> DataFrame:
     whole = F.filter(_pieces(F.col("phrase")), lambda p: F.char_length(p) == PIECE)
     short = F.char_length("phrase") < PIECE
@@ -56,7 +64,8 @@ def match_phrases(
     phrases match nothing.  ``keep[0]`` is the key of ``df``, unique and not null.
 
     Up to ``few`` phrases (and ``FEW_BYTES``) the anchors are broadcast and one
-    pass over the rows does everything; rarity is that among the phrases.
+    pass over the rows does everything; rarity is that among the phrases.  Few
+    anchors go along as a constant, and only pieces that are anchors become rows.
     Beyond, rarity is counted over the texts, and only keys and pieces that are
     anchors move to the join, which salts frequent pieces.
     """
@@ -66,8 +75,14 @@ def match_phrases(
     size = wanted.agg(F.count("*").alias("n"), F.sum(F.octet_length("phrase")).alias("bytes")).first()
     if size["n"] <= few and (size["bytes"] or 0) <= FEW_BYTES:
         anchors = _anchors(asked, asked.groupBy("_piece").agg(F.count("*").alias("_n")))
-        placed = rows.withColumn("_piece", F.explode(_pieces(F.col("_text"))))
-        hits = placed.join(F.broadcast(anchors), "_piece")
+        used = [r[0] for r in anchors.select("_piece").distinct().limit(FEW_ANCHORS + 1).collect()]
+        found = _pieces(F.col("_text")) if min(map(len, used), default=PIECE) < PIECE else _whole_pieces(F.col("_text"))
+        if len(used) <= FEW_ANCHORS:
+            wanted_pieces = F.from_json(F.lit(json.dumps(sorted(used))), "array<string>")
+            found = F.array_intersect(found, wanted_pieces)
+        else:
+            found = F.array_distinct(found)
+        hits = rows.withColumn("_piece", F.explode(found)).join(F.broadcast(anchors), "_piece")
     else:
         placed = rows.select(F.col(keep[0]).alias("_row"), F.explode(_pieces(F.col("_text"))).alias("_piece"))
         anchors = _anchors(asked, placed.groupBy("_piece").agg(F.count("*").alias("_n")))

@@ -3,24 +3,33 @@
 Equal intents share one *scope* (phrase, lower time bound, sources), searched
 once.  Scopes with a phrase start from the phrase search and are joined on
 (phrase, source).  Scopes without one ("browse") would match most items, so
-they use pre-ranked time nodes: hours form a binary tree, the range "later than
-hour y" is a handful of nodes, and only the best rows of each needed node are
-kept.  Both ways are equi-joins; neither pairs every intent with every item.
+they use ranked time nodes: the bounds asked for cut time into spans, of each
+span only the best rows are kept, and the spans are the leaves of a binary tree
+in which "from bound x on" is a handful of nodes.  Beyond ``FEW_BOUNDS`` the
+leaves are hours.  Both ways are equi-joins; neither pairs every intent with
+every item.
+
+The result is factorized: results once per scope, and the queries of each scope
+beside them (``search_scopes``).  ``expanded`` pairs them, salted where many
+queries share a scope.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import gates
-from ..functions.core import strip
+from ..functions.core import places_below, strip
 from ..runtime import lookup_join, top_per_group, within
 from .phrases import match_phrases
 
 HOUR_BITS = 24  # 2^24 hours after 1970, almost two thousand years
-ROOT = HOUR_BITS
+FEW_BOUNDS = 50_000  # distinct lower time bounds that go along as a constant
+HOT_SCOPE = 1_000  # queries of one scope beyond which their pairs are salted
 FEW_SCOPES = 5_000  # a scope makes at most 3 x 24 node rows, so a broadcast stays under 360,000 slim rows
 _SEPARATOR = "\x1f"
 
@@ -87,47 +96,66 @@ def _shift(number: Column, bits: Column) -> Column:
     return F.call_function("shiftright", number, bits)
 
 
-def _later_nodes(hour: Column) -> Column:
-    """Tree nodes that together hold exactly the hours after ``hour``."""
+def _later_nodes(leaf: Column, bits: int) -> Column:
+    """Tree nodes that together hold exactly the leaves after ``leaf``."""
     levels = F.filter(
-        F.sequence(F.lit(0), F.lit(HOUR_BITS - 1)),
-        lambda b: _shift(hour, b).bitwiseAND(F.lit(1)) == 0,
+        F.sequence(F.lit(0), F.lit(bits - 1)),
+        lambda b: _shift(leaf, b).bitwiseAND(F.lit(1)) == 0,
     )
     return F.transform(
         levels,
-        lambda b: F.struct(b.alias("level"), (_shift(hour, b) + 1).alias("node")),
+        lambda b: F.struct(b.alias("level"), (_shift(leaf, b) + 1).alias("node")),
     )
 
 
-def _item_nodes(hour: Column) -> Column:
+def _root(bits: int) -> Column:
+    return F.array(F.struct(F.lit(bits).alias("level"), F.lit(0).cast("bigint").alias("node")))
+
+
+def _nodes_of(leaf: Column, bits: int) -> Column:
     inner = F.transform(
-        F.sequence(F.lit(0), F.lit(HOUR_BITS - 1)),
-        lambda b: F.struct(b.alias("level"), _shift(hour, b).alias("node")),
+        F.sequence(F.lit(0), F.lit(bits - 1)),
+        lambda b: F.struct(b.alias("level"), _shift(leaf, b).alias("node")),
     )
-    root = F.struct(F.lit(ROOT).alias("level"), F.lit(0).cast("bigint").alias("node"))
-    return F.concat(inner, F.array(root))
+    return F.concat(inner, _root(bits))
 
 
 def _browse(scopes: DataFrame, items: DataFrame, limit: int, few: bool) -> DataFrame:
     """Candidates per browse scope: a superset of its ``limit`` best rows."""
     columns = ["memory_id", "source_type", "created_at", "last_accessed_at"]
+    at = F.unix_micros("since").alias("at")
+    bounds = [r[0] for r in scopes.filter("since IS NOT NULL").select(at).distinct().orderBy("at").limit(FEW_BOUNDS + 1).collect()]
+    if len(bounds) > FEW_BOUNDS:
+        return _browse_by_hour(scopes, items, limit, few)
+    steps = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
+    bits = max(1, len(bounds).bit_length())
+    # an item's leaf is the number of bounds that it meets; one without a time meets none
+    leaf = lambda ts: F.coalesce(F.when(F.col(ts).isNotNull(), places_below(steps, F.unix_micros(ts))), F.lit(0)).cast("bigint")
+    slim = items.select(*columns, leaf("created_at").alias("leaf"))
+    best = top_per_group(slim, ["source_type", "leaf"], order_by_access(), limit).drop("rank")
+    placed = scopes.select("scope", "since", F.explode("sources").alias("source_type"))
+    from_bound = F.when(F.col("since").isNull(), _root(bits)).otherwise(_later_nodes(leaf("since") - 1, bits))
+    return _by_nodes(best.withColumn("n", F.explode(_nodes_of(F.col("leaf"), bits))).drop("leaf"), placed, from_bound, limit, few)
+
+
+def _by_nodes(spread: DataFrame, placed: DataFrame, cover: Column, limit: int, few: bool) -> DataFrame:
+    """Rows at tree nodes to the scopes whose ``cover`` names these nodes, the ``limit`` best of each node."""
+    columns = ["memory_id", "source_type", "created_at", "last_accessed_at"]
+    keys = ["source_type", "level", "node"]
+    covers = placed.select("scope", "source_type", F.explode(cover).alias("n")).select("scope", "source_type", "n.level", "n.node")
+    needed = covers.select(*keys).distinct()
+    at_nodes = lookup_join(spread.select(*columns, "n.level", "n.node"), needed, keys, few)
+    ranked = top_per_group(at_nodes, keys, order_by_access(), limit)
+    return lookup_join(ranked.drop("rank"), covers, keys, few).select("scope", *columns)
+
+
+def _browse_by_hour(scopes: DataFrame, items: DataFrame, limit: int, few: bool) -> DataFrame:
+    """The same with hours as leaves, for any number of bounds; the hour of a bound is compared row by row."""
+    columns = ["memory_id", "source_type", "created_at", "last_accessed_at"]
     slim = items.select(*columns)
     placed = scopes.select("scope", "since", F.explode("sources").alias("source_type"))
-    root = F.array(F.struct(F.lit(ROOT).alias("level"), F.lit(0).cast("bigint").alias("node")))
-    cover = placed.select(
-        "scope", "source_type",
-        F.explode(
-            F.when(F.col("since").isNull(), root).otherwise(_later_nodes(_hour(F.col("since"))))
-        ).alias("n"),
-    ).select("scope", "source_type", "n.level", "n.node")
-    needed = cover.select("source_type", "level", "node").distinct()
-    node_keys = ["source_type", "level", "node"]
-    spread = slim.select(*columns, F.explode(_item_nodes(_hour(F.col("created_at")))).alias("n")).select(
-        *columns, "n.level", "n.node"
-    )
-    ranked = top_per_group(lookup_join(spread, needed, node_keys, few), node_keys, order_by_access(), limit)
-    later = lookup_join(ranked.drop("rank"), cover, node_keys, few).select("scope", *columns)
-    # The hour of the bound itself, checked row by row.
+    cover = F.when(F.col("since").isNull(), _root(HOUR_BITS)).otherwise(_later_nodes(_hour(F.col("since")), HOUR_BITS))
+    later = _by_nodes(slim.withColumn("n", F.explode(_nodes_of(_hour(F.col("created_at")), HOUR_BITS))), placed, cover, limit, few)
     edge = placed.filter("since IS NOT NULL").withColumn("_hour", _hour(F.col("since")))
     same_hour = lookup_join(
         slim.withColumn("_hour", _hour(F.col("created_at"))), edge, ["source_type", "_hour"], few
@@ -135,8 +163,8 @@ def _browse(scopes: DataFrame, items: DataFrame, limit: int, few: bool) -> DataF
     return later.unionByName(same_hour.select("scope", *columns))
 
 
-def search(intents: DataFrame, view: DataFrame, limit: int = K.SEARCH_LIMIT) -> DataFrame:
-    """(query_id, memory_id, source_type, created_at, last_accessed_at, rank), latest access first.
+def search_scopes(intents: DataFrame, view: DataFrame, limit: int = K.SEARCH_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """(query_id, scope) of all intents, and (scope, memory_id, source_type, created_at, last_accessed_at, rank) once per scope.
 
     ``view``: the searchable columns of the items (see ``views.searchable``); the
     wide view does too, but joining details to the few results is cheaper.
@@ -150,8 +178,19 @@ def search(intents: DataFrame, view: DataFrame, limit: int = K.SEARCH_LIMIT) ->
     found = _by_phrase(scopes.filter("phrase <> ''"), live, few).unionByName(
         _browse(scopes.filter("phrase = ''"), live, limit, few)
     )
-    best = top_per_group(found, ["scope"], order_by_access(), limit)
-    return asked.select("query_id", "scope").join(best, "scope").drop("scope")
+    return asked.select("query_id", "scope"), top_per_group(found, ["scope"], order_by_access(), limit)
+
+
+def expanded(members: DataFrame, results: DataFrame, key: str = "scope") -> DataFrame:
+    """Each query with the results of its scope.  Where queries share a scope in great numbers they are dealt over salts."""
+    hot = not members.groupBy(key).count().filter(F.col("count") > HOT_SCOPE).isEmpty()
+    pairs = lookup_join(members, results, [key], few=False, salt_by="query_id") if hot else members.join(results, key)
+    return pairs.drop(key)
+
+
+def search(intents: DataFrame, view: DataFrame, limit: int = K.SEARCH_LIMIT) -> DataFrame:
+    """(query_id, memory_id, source_type, created_at, last_accessed_at, rank), latest access first; see ``search_scopes``."""
+    return expanded(*search_scopes(intents, view, limit))
 
 
 def after_anchor(
@@ -194,5 +233,4 @@ def candidates(
     order = [
         F.col("last_accessed_at").desc_nulls_last(), F.col("created_at").desc(), F.col("memory_id")
     ]
-    best = top_per_group(hits, ["phrase"], order, limit)
-    return wanted.join(best, "phrase").drop("phrase")
+    return expanded(wanted, top_per_group(hits, ["phrase"], order, limit), "phrase")

@@ -183,9 +183,3 @@ def embeddable_text(df: DataFrame) -> DataFrame:
         X.join_parts(F.col("_base"), F.array_join("auto_keywords", " "), urls.sender_domain(F.col("sender"))),
     ).otherwise(F.col("_base"))
     return keyed.withColumn("auto_keywords", words).withColumn("embeddable_text", full).drop("_base", "_words")
-
-
-def split_embeddable(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with text to embed, and rejects with a reason."""
-    empty = strip(F.col("embeddable_text")) == ""
-    return df.filter(~empty), df.filter(empty).withColumn("reason", F.lit("no_embeddable_text"))

@@ -269,7 +269,3 @@ def answers(states: DataFrame) -> DataFrame:
         "query_id", F.when(F.col("no_results"), none).otherwise(some).alias("answer"),
         "no_results", "result_count",
     )
-
-
-def top_results(results: DataFrame, k: int = 3, rank: str = "final_rank") -> DataFrame:
-    return top_per_group(results.drop("_r"), ["query_id"], [F.col(rank)], k, rank="_r").drop("_r")

@@ -10,6 +10,7 @@ from ..functions import gates, times, urls
 from ..functions import text as X
 from ..operators import capture, store
 from ..sources import dimensions, dumps, readers
+from ..streaming.jobs import work_folder, write_files
 from . import query
 from .tables import Tables, with_tables
 
@@ -317,7 +318,8 @@ def caption_dump(t: Tables) -> DataFrame:
     json3 = t.video_docs.select(
         F.col("source_id").alias("video_id"), F.lit("json3").alias("kind"), F.lit(1).alias("priority"), body.alias("body")
     )
-    marked = F.concat(F.lit("<t><p a='1'>Tom &amp; "), F.substring("title", 1, 20), F.lit("</p>\n<p>end</p></t>"))
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    marked = F.concat(F.lit("<t><p a='1'>Tom &amp; "), escaped, F.lit("</p>\n<p>end</p></t>"))
     xml = t.video_docs.select(
         F.col("source_id").alias("video_id"), F.lit("xml").alias("kind"), F.lit(2).alias("priority"), marked.alias("body")
     )
@@ -330,7 +332,7 @@ def caption_dump(t: Tables) -> DataFrame:
         "video_docs",
         r"""SELECT source_id AS video_id,
                   CASE WHEN doc_id % 4 = 1 THEN
-                    trim(regexp_replace('Tom & ' || substring(title, 1, 20) || ' end', '\s+', ' ', 'g'))
+                    trim(regexp_replace('Tom & ' || text || ' end', '\s+', ' ', 'g'))
                   ELSE array_to_string(list_filter(list_transform(
                     list_filter(string_split(text, ' '), lambda w: w <> ''),
                     lambda w: regexp_replace(w, '^\s+|\s+$', '', 'g')), lambda w: w <> ''), ' ') END AS transcript_text
@@ -444,3 +446,72 @@ def group_dimension(t: Tables) -> DataFrame:
     return keyed.join(F.broadcast(dimensions.groups(t.spark)), "system_group_id").groupBy("group_name").agg(
         F.count("*").alias("items")
     )
+
+
+VISIT_LINES = ["user_id", "event_id", "ts", "url", "title", "domain", "dwell_seconds", "scroll_depth", "interaction_count", "revisit_count", "word_count"]
+_INTAKE_SQL = with_tables(
+    "video_events",
+    """SELECT 'visit' AS kind, event_id, CASE WHEN event_id % 10 = 3 OR event_id % 15 = 4 THEN 'unreadable'
+              WHEN floor(value)::BIGINT % 20 < 2 THEN 'out_of_bounds' ELSE 'kept' END AS outcome FROM events
+       UNION ALL
+       SELECT kind, event_id, CASE WHEN event_id % 9 = 2 THEN 'unreadable' ELSE 'kept' END FROM video_events""",
+)
+
+
+def write_lines(t: Tables, folder: str) -> None:
+    """Events as JSON lines: some are cut off in the middle, some have text where a number belongs, some are out of bounds."""
+    from_event = t.events.select(
+        "user_id", "event_id", "ts", F.concat(F.lit("https://h.org/"), F.floor(F.col("event_id") / 40)).alias("url"), F.col("props").alias("title"),
+        F.lit("h.org").alias("domain"), (F.floor("value") % 20 - 2).cast("int").alias("dwell_seconds"),
+        (F.col("event_id") % 10 / 20).alias("scroll_depth"), F.lit(0).alias("interaction_count"), F.lit(0).alias("revisit_count"), F.lit(7).alias("word_count"),
+    )
+    line = F.to_json(F.struct(*VISIT_LINES))
+    spoilt = F.when(F.col("event_id") % 10 == 3, F.substring(line, 1, F.length(line) - 9)).when(
+        F.col("event_id") % 15 == 4, F.regexp_replace(line, r'"dwell_seconds":-?\d+', '"dwell_seconds":"some"')
+    ).otherwise(line)
+    from_event.select(spoilt.alias("value")).write.text(f"{folder}/visits")
+    shapes = {
+        "detected": ["event_id", "url", "video_id", "watch_time_seconds", "triggered_by", "interaction_type", "timestamp"],
+        "heartbeat": ["event_id", "video_id", "watch_time_seconds", "timestamp"],
+        "closed": ["event_id", "video_id", "final_watch_time_seconds", "timestamp"],
+    }
+    videos = t.video_events.withColumn("final_watch_time_seconds", F.col("watch_time_seconds"))
+    for kind, columns in shapes.items():
+        line = F.to_json(F.struct(*columns))
+        value = F.when(F.col("event_id") % 9 == 2, F.concat(line, F.lit("}"), line)).otherwise(line)
+        broken = F.when(F.col("event_id") % 9 == 2, F.substring(value, 1, F.length(line) - 2)).otherwise(value)
+        videos.filter(F.col("kind") == kind).select(broken.alias("value")).write.text(f"{folder}/{kind}")
+
+
+def taken_in(t: Tables, folder: str, streaming: bool = False) -> DataFrame:
+    """What became of each line: (kind, event_id, outcome)."""
+    lines = readers.page_visits(t.spark, f"{folder}/visits", streaming)
+    read, bad = readers.split_lines(lines)
+    good, beyond = readers.split_visits(read)
+    event = F.regexp_extract("line", r'"event_id":(\d+)', 1).cast("bigint")
+    outcome = lambda df, kind, event_id, what: df.select(F.lit(kind).alias("kind") if kind else F.col("kind"), event_id.alias("event_id"), what.alias("outcome"))
+    videos = readers.video_events(t.spark, *[f"{folder}/{k}" for k in ("detected", "heartbeat", "closed")], streaming)
+    told = F.coalesce(F.col("event_id"), F.regexp_extract(readers.BAD_LINE, r'"event_id":(\d+)', 1).cast("bigint"))
+    watched = outcome(videos, None, told, F.when(F.col(readers.BAD_LINE).isNull(), "kept").otherwise("unreadable"))
+    return (
+        outcome(good, "visit", F.col("event_id"), F.lit("kept"))
+        .unionByName(outcome(beyond, "visit", F.col("event_id"), F.col("reason")))
+        .unionByName(outcome(bad, "visit", event, F.col("reason")))
+        .unionByName(watched)
+    )
+
+
+@query("json_intake", _INTAKE_SQL)
+def json_intake(t: Tables) -> DataFrame:
+    folder = work_folder(t.spark, "lines")
+    write_lines(t, folder)
+    return taken_in(t, folder)
+
+
+@query("stream_json_intake", _INTAKE_SQL)
+def stream_json_intake(t: Tables) -> DataFrame:
+    """The same lines read as streams."""
+    folder = work_folder(t.spark, "lines")
+    write_lines(t, folder)
+    write_files(taken_in(t, folder, streaming=True), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out")

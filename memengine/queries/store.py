@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas as S
+from ..functions import text
 from ..operators import capture, checks, groups, messages, sessions, store, views
+from ..sources import dimensions
 from . import query
 from .capture import caption_dump, flat_mail, video_dump
 from .tables import Tables, with_tables
@@ -15,15 +20,15 @@ def _us(column: str):
     return F.unix_micros(F.col(column)).alias(column)
 
 
-# --- items: two ingests of the documents, the second changes some -------------
+# --- items: two ingests of the mail, the second changes some and brings the rest ---
 def _ingest(t: Tables, second: bool) -> DataFrame:
     base = t.mail_docs.select("memory_id", "source_id", "title", "text", "created_at", "doc_id")
     row = F.col("doc_id")
     if not second:
-        rows = base.filter("doc_id % 4 = 0").withColumn("raw_text", F.col("text")).withColumn("seq", F.lit(1))
+        rows = base.filter("doc_id % 10 <> 4").withColumn("raw_text", F.col("text")).withColumn("seq", F.lit(1))
     else:
         rows = (
-            base.filter("doc_id % 3 = 0")
+            base.filter("doc_id % 3 = 0 OR doc_id % 10 = 4")
             .withColumn("title", F.when(row % 12 == 0, "").otherwise(F.concat(F.lit("v2 "), F.col("title"))))
             .withColumn("raw_text", F.when(row % 9 != 0, F.concat(F.lit("v2 "), F.col("text"))))
             .withColumn("seq", F.lit(2))
@@ -36,10 +41,10 @@ def _ingest(t: Tables, second: bool) -> DataFrame:
 
 
 _INGEST = """
-    SELECT memory_id, title, text AS raw_text, 1 AS seq, created_at FROM mail_docs WHERE doc_id % 4 = 0
+    SELECT memory_id, title, text AS raw_text, 1 AS seq, created_at FROM mail_docs WHERE doc_id % 10 <> 4
     UNION ALL
     SELECT memory_id, CASE WHEN doc_id % 12 = 0 THEN '' ELSE 'v2 ' || title END,
-           CASE WHEN doc_id % 9 <> 0 THEN 'v2 ' || text END, 2, created_at FROM mail_docs WHERE doc_id % 3 = 0"""
+           CASE WHEN doc_id % 9 <> 0 THEN 'v2 ' || text END, 2, created_at FROM mail_docs WHERE doc_id % 3 = 0 OR doc_id % 10 = 4"""
 
 
 @query(
@@ -184,7 +189,7 @@ def refresh_rows(t: Tables) -> DataFrame:
         r"""SELECT memory_id, title, md5(trim(concat_ws(' ', nullif(text, ''), nullif(spoken, ''),
                   lang || ' ' || source))) AS text_hash
             FROM (SELECT *, CASE WHEN doc_id % 4 = 1 THEN
-                    trim(regexp_replace('Tom & ' || substring(title, 1, 20) || ' end', '\s+', ' ', 'g'))
+                    trim(regexp_replace('Tom & ' || text || ' end', '\s+', ' ', 'g'))
                   ELSE array_to_string(list_filter(list_transform(
                     list_filter(string_split(text, ' '), lambda w: w <> ''),
                     lambda w: regexp_replace(w, '^\s+|\s+$', '', 'g')), lambda w: w <> ''), ' ') END AS spoken
@@ -715,3 +720,85 @@ def placeholder_words(t: Tables) -> DataFrame:
     return t.pages.select("page_id", word_count(F.col("url")).alias("words"))
 
 
+_SEEDED = """
+  SELECT 'no_table' AS problem, 'page_meta' AS table_name, NULL AS column_name, NULL AS expected, NULL AS found
+  UNION ALL SELECT 'no_column', 'items', 'auto_keywords', 'array<string>', NULL
+  UNION ALL SELECT 'other_type', 'engagement', 'watch_time_seconds', 'bigint', 'string'
+  UNION ALL SELECT 'no_group', 'groups', 'personal', '4', NULL"""
+
+
+@query(
+    "catalog_checks",
+    with_tables(
+        "items",
+        f"""{_SEEDED}
+            UNION ALL SELECT 'repeated_key', 'items', source_type, source_id, count(*)::VARCHAR FROM stored GROUP BY source_type, source_id HAVING count(*) > 1
+            UNION ALL SELECT 'null_key', 'items', memory_id, NULL, NULL FROM stored WHERE group_id IS NULL""",
+        stored="""SELECT memory_id, source_type, source_id, CASE WHEN length(title) % 9 <> 3 THEN 5 END AS group_id FROM items
+                  UNION ALL SELECT memory_id, source_type, source_id, 5 FROM items WHERE is_deleted""",
+    ),
+)
+def catalog_checks(t: Tables) -> DataFrame:
+    """The model against the session catalog: a table, a column, a type and a seed row are wrong, and keys repeat or are null."""
+    prefix = f"checked_{uuid.uuid4().hex}_"
+    items = t.items.withColumn("system_group_id", F.when(F.length("title") % 9 != 3, F.col("system_group_id")))
+    stored = items.unionByName(t.items.filter("is_deleted"))
+    views_of = {
+        "items": stored.drop("auto_keywords"), "mail_meta": t.mail_meta, "video_meta": t.video_meta,
+        "engagement": store.fold_engagement(t.partials).withColumn("watch_time_seconds", F.col("watch_time_seconds").cast("string")),
+    }
+    for name, df in views_of.items():
+        df.createOrReplaceTempView(prefix + name)
+    try:
+        found = checks.catalog_columns(t.spark, prefix)
+    finally:
+        for name in views_of:
+            t.spark.catalog.dropTempView(prefix + name)
+    model = {"items": S.ITEMS, "mail_meta": S.MAIL_META, "video_meta": S.VIDEO_META, "page_meta": S.PAGE_META, "engagement": S.ENGAGEMENT}
+    gaps = checks.schema_gaps(found, checks.model_columns(t.spark, model))
+    groups_there = dimensions.groups(t.spark).filter("group_name <> 'personal'")
+    shaped = lambda df, problem, table, column, expected, seen: df.select(
+        F.lit(problem).alias("problem"), F.lit(table).alias("table_name"), column.cast("string").alias("column_name"),
+        expected.cast("string").alias("expected"), seen.cast("string").alias("found"),
+    )
+    none = F.lit(None)
+    return (
+        gaps.unionByName(shaped(checks.missing_groups(groups_there), "no_group", "groups", F.col("group_name"), F.col("system_group_id"), none))
+        .unionByName(shaped(checks.duplicate_keys(stored, ["source_type", "source_id"]), "repeated_key", "items", F.col("source_type"), F.col("source_id"), F.col("rows")))
+        .unionByName(shaped(checks.null_keys(stored, "system_group_id"), "null_key", "items", F.col("memory_id"), none, none))
+    )
+
+
+@query(
+    "flat_values",
+    """SELECT doc_id, concat_ws(' ', coalesce(lang, ''), coalesce(source, '') || ' ' || coalesce(text, ''), coalesce(n_chars::VARCHAR, ''))
+         AS flat FROM documents""",
+)
+def flat_values(t: Tables) -> DataFrame:
+    """Nested values of known types as text: a struct with a list and a map."""
+    nested = t.documents.select(
+        "doc_id", F.struct("lang", F.array("source", "text").alias("said"), F.create_map(F.lit("n"), F.col("n_chars")).alias("counted")).alias("value")
+    )
+    return nested.select("doc_id", text.flatten_text(F.col("value"), nested.schema["value"].dataType).alias("flat"))
+
+
+@query(
+    "bucket_merge",
+    with_tables(
+        "mail_docs",
+        """SELECT memory_id, coalesce(arg_max(title, seq) FILTER (WHERE title <> ''), '') AS title,
+                  md5(arg_max(raw_text, seq) FILTER (WHERE raw_text IS NOT NULL)) AS text_hash FROM ingest GROUP BY memory_id""",
+        ingest=_INGEST,
+    ),
+)
+def bucket_merge(t: Tables) -> DataFrame:
+    """Two ingests through the store's files; the second rewrites the buckets of its keys, and is repeated once."""
+    from ..operators import bucket_store
+    from ..streaming.item_log import fold_deltas
+    from ..streaming.jobs import work_folder
+
+    folder = work_folder(t.spark, "items")
+    second = _ingest(t, second=True)
+    for number, delta in enumerate([_ingest(t, second=False), second, second]):
+        bucket_store.merge(folder, delta, fold_deltas, number, buckets=32)
+    return bucket_store.read(t.spark, folder).select("memory_id", "title", F.md5("raw_text").alias("text_hash"))

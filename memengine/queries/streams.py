@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import urls
-from ..operators import store
+from ..functions import times, urls
+from ..operators import bucket_store, capture, store
 from ..plans import enrichment as E
-from ..streaming import jobs
+from ..streaming import item_log, jobs, revisits, visits
 from . import ORACLES, query
 from . import store as _batch_twins  # noqa: F401  the streams share SQL with these queries
-from .enrichment import _ITEM_STEPS, _ITEM_TABLES, LetterCounts
+from .capture import flat_mail
+from .enrichment import _ITEM_STEPS, _ITEM_TABLES, BLANK_SQL, LetterCounts, fetched_meta, unfetched
+from .store import refresh_rows
 from .tables import Tables, with_tables
 
 
@@ -32,6 +37,32 @@ def _finish(stream, spark, out: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def in_slices(
+    t: Tables, tables: dict[str, tuple[DataFrame, Column, int]], slices: int, start: Callable[[dict[str, DataFrame], str], StreamingQuery]
+) -> str:
+    """Let tables arrive in slices of time and run a stream after each; returns its folder.
+
+    ``tables`` gives each table's rows, the time at which a row arrives, and how many slices late all of it is.
+    ``start`` gets the tables as streams and the folder, and starts the stream over what has come since.
+    """
+    folder = jobs.work_folder(t.spark, "slices")
+    streams = {}
+    ends = [df.agg(F.min(F.unix_micros(at)), F.max(F.unix_micros(at))).first() for df, at, _ in tables.values()]
+    low, high = (best((e[i] for e in ends if e[i] is not None), default=0) for i, best in enumerate((min, max)))
+    width = (high - low) // slices + 1
+    for name, (df, arrives, _) in tables.items():
+        number = F.floor((F.unix_micros(arrives) - F.lit(low)) / F.lit(width)).cast("int")
+        df.withColumn("_slice", number).write.partitionBy("_slice").parquet(f"{folder}/staged/{name}")
+        df.limit(0).write.parquet(f"{folder}/in/{name}")
+        streams[name] = t.spark.readStream.schema(df.schema).parquet(f"{folder}/in/{name}")
+    for number in range(slices + max(late for *_, late in tables.values())):
+        for name, (df, _, late) in tables.items():
+            staged = t.spark.read.parquet(f"{folder}/staged/{name}").filter(F.col("_slice") == number - late)
+            staged.select(*df.columns).write.mode("append").parquet(f"{folder}/in/{name}")
+        start(streams, folder).awaitTermination()
+    return folder
+
+
 @query(
     "stream_revisit_marks",
     """SELECT event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, event_type
@@ -184,3 +215,214 @@ def stream_metadata_join(t: Tables) -> DataFrame:
     return _finish(stream, t.spark, f"{folder}/out").select("event_id", "video_id", "channel_id")
 
 
+
+
+@query(
+    "stream_late_metadata",
+    with_tables(
+        "video_events video_docs",
+        """SELECT * FROM paired
+           UNION ALL
+           SELECT event_id, video_id, NULL, NULL FROM d, known_until
+           WHERE ts + INTERVAL 30 MINUTE < w AND event_id NOT IN (SELECT event_id FROM paired)""",
+        d="SELECT event_id, video_id, ts FROM video_events WHERE kind = 'detected'",
+        m="""SELECT video_id, ts + to_minutes((event_id % 5) * 15) AS fetched_at, 'UC' || source AS channel_id
+             FROM d JOIN video_docs ON source_id = video_id WHERE event_id % 7 <> 0""",
+        ends="SELECT min(epoch_us(x)) AS low, max(epoch_us(x)) AS high FROM (SELECT ts AS x FROM d UNION ALL SELECT fetched_at FROM m)",
+        # the last slice of metadata comes alone, so the watermark stays at the one before it
+        known_until="""SELECT max(fetched_at) - INTERVAL 1 HOUR AS w FROM m, ends
+                       WHERE (epoch_us(fetched_at) - low) // ((high - low) // 3 + 1) <= 1""",
+        paired="""SELECT event_id, d.video_id, m.channel_id, epoch_us(m.fetched_at) AS fetched_at FROM d JOIN m
+                    ON m.video_id = d.video_id AND m.fetched_at >= d.ts AND m.fetched_at <= d.ts + INTERVAL 30 MINUTE""",
+    ),
+)
+def stream_late_metadata(t: Tables) -> DataFrame:
+    """Detections and metadata as two streams, the metadata a whole slice late; some never comes in time, some never."""
+    detected = t.video_events.filter("kind = 'detected'").select("event_id", "video_id", "timestamp")
+    delay = F.make_dt_interval(mins=F.col("event_id") % 5 * 15)
+    channels = t.video_docs.select(F.col("source_id").alias("video_id"), F.concat(F.lit("UC"), F.col("source")).alias("channel_id"))
+    metadata = detected.filter("event_id % 7 <> 0").join(channels, "video_id").select("video_id", (F.col("timestamp") + delay).alias("fetched_at"), "channel_id")
+
+    def start(streams: dict[str, DataFrame], folder: str) -> StreamingQuery:
+        return jobs.write_files(jobs.late_metadata(streams["detected"], streams["metadata"]), f"{folder}/out", f"{folder}/state")
+
+    folder = in_slices(t, {"detected": (detected, F.col("timestamp"), 0), "metadata": (metadata, F.col("fetched_at"), 1)}, 3, start)
+    return t.spark.read.parquet(f"{folder}/out").select("event_id", "video_id", "channel_id", F.unix_micros("fetched_at").alias("fetched_at"))
+
+
+@query(
+    "stream_closed_tabs",
+    with_tables(
+        "visits",
+        """SELECT user_id, epoch_us(opened) AS opened_at, epoch_us(CASE WHEN closed THEN then_ts ELSE last END) AS closed_at,
+             CASE WHEN closed THEN 'close' ELSE 'silence' END AS ended_by, signals, scroll_depth, interaction_count, word_count,
+             is_app_page, url, title, content_extract, referrer
+           FROM judged_visits WHERE closed OR close_at > last_event
+             OR epoch_us(last) + 43200000000 <= epoch_ms((SELECT max(ts) FROM visits)) * 1000 - 86400000000""",
+        told="""SELECT *, event_id % 6 = 5 AS closes, lead(event_id % 6 = 5) OVER tab AS then_closes, lead(ts) OVER tab AS then_ts,
+                  coalesce(lag(event_id % 6 = 5) OVER tab OR epoch_us(ts) - epoch_us(lag(ts) OVER tab) > 43200000000, true) AS opens
+                FROM visits WINDOW tab AS (PARTITION BY user_id ORDER BY ts, event_id)""",
+        numbered="""SELECT *, sum((opens AND NOT closes)::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM told""",
+        grouped="""SELECT user_id, no, min(ts) AS opened, max(ts) AS last, max((ts, event_id)) AS last_event, count(*) AS signals,
+                     arg_max(coalesce(then_closes, false), (ts, event_id)) AS then_closes, arg_max(then_ts, (ts, event_id)) AS then_ts,
+                     max(scroll_depth)::DOUBLE AS scroll_depth, max(interaction_count)::DOUBLE AS interaction_count,
+                     max(word_count)::DOUBLE AS word_count, bool_or(app) AS is_app_page,
+                     arg_max(url, (ts, event_id)) FILTER (WHERE url <> '') AS url,
+                     arg_max(title, (ts, event_id)) FILTER (WHERE title <> '') AS title,
+                     arg_max(content_extract, (ts, event_id)) FILTER (WHERE content_extract <> '') AS content_extract,
+                     arg_max(referrer, (ts, event_id)) FILTER (WHERE referrer <> '') AS referrer
+                   FROM numbered WHERE NOT closes GROUP BY user_id, no""",
+        last_close="SELECT user_id, max((ts, event_id)) AS close_at FROM told WHERE closes GROUP BY user_id",
+        judged_visits="""SELECT g.*, then_closes AND epoch_us(then_ts) - epoch_us(last) <= 43200000000 AS closed, close_at
+                         FROM grouped g LEFT JOIN last_close USING (user_id)""",
+    ),
+)
+def stream_closed_tabs(t: Tables) -> DataFrame:
+    """Tab visits, one tab a user: close signals come half a day late, after signals of the next visit."""
+    t.spark.conf.set(jobs.STATE_STORE, jobs.ROCKSDB)
+    closes = F.col("event_id") % 6 == 5
+    signals = t.visits.withColumn("is_app_page", urls.is_app_page(F.col("domain"))).withColumn("closes", closes)
+    arrives = F.when(F.col("closes"), F.col("ts") + F.expr("INTERVAL 12 HOURS")).otherwise(F.col("ts"))
+
+    def start(streams: dict[str, DataFrame], folder: str) -> StreamingQuery:
+        tabs = visits.tab_visits(streams["signals"], {"user_id": "BIGINT"}, F.col("closes"), gap_seconds=43_200, late="1 day")
+        return jobs.write_files(tabs, f"{folder}/out", f"{folder}/state")
+
+    folder = in_slices(t, {"signals": (signals, arrives, 0)}, 3, start)
+    stored = t.spark.read.parquet(f"{folder}/in/signals")
+    done = visits.with_texts(t.spark.read.parquet(f"{folder}/out"), stored, ["user_id"])
+    return done.withColumns({c: F.unix_micros(c) for c in ("opened_at", "closed_at")})
+
+
+@query(
+    "stream_revisit_marks_by_slot",
+    """SELECT event_id, is_revisit FROM (
+         SELECT event_id, ts, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id)) < 1800000000, false) AS is_revisit
+         FROM events)
+       WHERE ts + INTERVAL 60 SECOND < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+)
+def stream_revisit_marks_by_slot(t: Tables) -> DataFrame:
+    """Marks over few and hot keys: all events of a type are one key."""
+    t.spark.conf.set(jobs.STATE_STORE, jobs.ROCKSDB)
+    events = t.events.select("event_id", "event_type", "ts")
+
+    def start(streams: dict[str, DataFrame], folder: str) -> StreamingQuery:
+        marks = revisits.marked_by_slot(streams["events"], ["event_type"], ttl_seconds=1800)
+        return jobs.write_files(marks, f"{folder}/out", f"{folder}/state")
+
+    folder = in_slices(t, {"events": (events, F.col("ts"), 0)}, 3, start)
+    return t.spark.read.parquet(f"{folder}/out").select("event_id", "is_revisit")
+
+
+@query(
+    "stream_video_gate",
+    with_tables(
+        "video_events",
+        """SELECT event_id, video_id, is_revisit FROM (
+             SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY video_id ORDER BY ts, event_id)) < 86400000000, false) AS is_revisit
+             FROM video_events WHERE kind = 'detected')
+           WHERE (watch_time_seconds >= 20 OR (by_hand AND interaction_type IS NOT NULL) OR is_revisit)
+             AND ts + INTERVAL 60 SECOND < (SELECT max(ts) FROM video_events WHERE kind = 'detected') - INTERVAL 1 HOUR""",
+    ),
+)
+def stream_video_gate(t: Tables) -> DataFrame:
+    """Streamed marks that feed the gate of the same stream."""
+    t.spark.conf.set(jobs.STATE_STORE, jobs.ROCKSDB)
+    detected = t.video_events.filter("kind = 'detected'").drop("kind")
+
+    def start(streams: dict[str, DataFrame], folder: str) -> StreamingQuery:
+        marked = revisits.marked_by_slot(streams["detected"], ["video_id"], ts="timestamp")
+        return jobs.write_files(capture.accepted_videos(marked), f"{folder}/out", f"{folder}/state")
+
+    folder = in_slices(t, {"detected": (detected, F.col("timestamp"), 0)}, 3, start)
+    return t.spark.read.parquet(f"{folder}/out").select("event_id", "video_id", "is_revisit")
+
+
+_SPOKEN = ORACLES["video_refresh"][ORACLES["video_refresh"].index("SELECT memory_id, title") :]
+
+
+@query(
+    "stream_store",
+    with_tables(
+        "accepted video_events video_docs mail_docs",
+        """SELECT memory_id, arg_min(source, (at_us, src, event)) AS source_type,
+             coalesce(arg_max(title, (at_us, src, event)) FILTER (WHERE title <> ''), '') AS title,
+             arg_max(text_hash, (at_us, src, event)) FILTER (WHERE text_hash IS NOT NULL) AS text_hash,
+             arg_min(created, (at_us, src, event)) AS created_at, min(at_us) AS first_ingested_at, max(at_us) AS last_updated_at
+           FROM deltas GROUP BY memory_id""",
+        refreshed=_SPOKEN,
+        deltas="""
+          SELECT memory_id, 'gmail' AS source, CASE WHEN title = '' THEN '(no subject)' ELSE title END AS title, md5(text) AS text_hash,
+            epoch_us(created_at) AS created, epoch_us(created_at) AS at_us, 0 AS src, doc_id AS event FROM mail_docs
+          UNION ALL
+          SELECT memory_id, 'gmail', '(no subject)', md5('v2 ' || text), epoch_us(created_at), epoch_us(created_at) + 3600000000, 0, doc_id
+          FROM mail_docs WHERE doc_id % 3 = 0
+          UNION ALL
+          SELECT sha256('chrome:' || canonical_url), 'chrome', CASE WHEN title = '' THEN canonical_url ELSE title END,
+            CASE WHEN NOT app THEN md5(content_extract) END, epoch_us(ts), epoch_us(ts), 1, event_id FROM accepted
+          UNION ALL
+          SELECT sha256('youtube:' || video_id), 'youtube', '', NULL, epoch_us(ts), epoch_us(ts), 2, event_id FROM video_events
+          WHERE kind = 'detected' AND (watch_time_seconds >= 20 OR (by_hand AND interaction_type IS NOT NULL))
+          UNION ALL
+          SELECT memory_id, 'youtube', title, text_hash, epoch_us(created_at) + 86400000000, epoch_us(created_at) + 86400000000, 2, doc_id
+          FROM refreshed JOIN (SELECT memory_id, doc_id, created_at FROM video_docs) USING (memory_id)""",
+    ),
+)
+def stream_store(t: Tables) -> DataFrame:
+    """Mail, visits, detections and fetched metadata through one log into the item store; a fifth of all comes twice."""
+    number = F.regexp_extract("video_id", r"(\d+)$", 1).cast("bigint")
+    mail = flat_mail(t).withColumn("event", F.expr("substring(email_id, 2)").cast("bigint")).withColumn(
+        "ingest_ts", times.tolerant_timestamp(F.col("date"), F.lit(None).cast("timestamp"))
+    )
+    again = mail.filter("event % 3 = 0").withColumns(
+        {"ingest_ts": F.col("ingest_ts") + F.expr("INTERVAL 1 HOUR"), "subject": F.lit(""), "body": F.concat(F.lit("v2 "), F.col("body"))}
+    )
+    visits_ = capture.accepted_visits(t.visits).withColumn("event", F.col("event_id"))
+    detected = t.video_events.filter("kind = 'detected'").withColumn("is_revisit", F.lit(False)).withColumn("event", F.col("event_id"))
+    fetched = refresh_rows(t).drop("seq", "ingest_ts").withColumn("event", number).join(
+        t.video_docs.select(F.col("source_id").alias("video_id"), (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("ingest_ts")), "video_id"
+    )
+    frames = {
+        "mail": (mail.unionByName(again), "ingest_ts"), "visits": (visits_, "ts"),
+        "detected": (capture.accepted_videos(detected), "timestamp"), "fetched": (fetched, "ingest_ts"),
+    }
+    tables = {}
+    for name, (df, ts) in frames.items():
+        sent = df.withColumn("sent", F.concat_ws("-", F.col("event"), F.unix_micros(ts)))
+        tables[name] = (sent.unionByName(sent.filter("event % 5 = 0")), F.col(ts), 0)
+
+    def start(streams: dict[str, DataFrame], folder: str) -> StreamingQuery:
+        fresh = {name: item_log.once(streams[name], frames[name][1], "sent") for name in frames}
+        deltas = item_log.item_deltas(**fresh)
+        item_log.append(deltas, f"{folder}/log", f"{folder}/log-state").awaitTermination()
+        log = t.spark.readStream.schema(deltas.schema).parquet(f"{folder}/log")
+        return item_log.merge_into(log, f"{folder}/items", f"{folder}/merge-state", buckets=32)
+
+    folder = in_slices(t, tables, 3, start)
+    items = bucket_store.read(t.spark, f"{folder}/items")
+    moments = {c: F.unix_micros(c) for c in ("created_at", "first_ingested_at", "last_updated_at")}
+    return items.select("memory_id", "source_type", "title", F.md5("raw_text").alias("text_hash"), *[m.alias(c) for c, m in moments.items()])
+
+
+@query(
+    "stream_run_counts",
+    with_tables(
+        "items",
+        f"""SELECT slice AS batch_id, count(*) FILTER (WHERE NOT blank) AS processed, count(*) FILTER (WHERE blank) AS failed
+            FROM (SELECT (epoch_us(created_at) - low) // ((high - low) // 3 + 1) AS slice, {BLANK_SQL} AS blank FROM items,
+                    (SELECT min(epoch_us(created_at)) AS low, max(epoch_us(created_at)) AS high FROM items) WHERE NOT preprocessed)
+            GROUP BY slice""",
+    ),
+)
+def stream_run_counts(t: Tables) -> DataFrame:
+    """Processed and failed rows of each micro-batch of the enrichment stream; videos never fetched fail."""
+
+    def job(batch: DataFrame):
+        return E.enrich(batch, t.mail_meta, t.page_meta, fetched_meta(t), LetterCounts(), LetterCounts.dim)
+
+    def start(streams: dict[str, DataFrame], folder: str) -> StreamingQuery:
+        return jobs.enrich_stream(streams["items"], job, folder, f"{folder}/state")
+
+    folder = in_slices(t, {"items": (unfetched(t), F.col("created_at"), 0)}, 3, start)
+    runs = t.spark.read.parquet(f"{folder}/runs")
+    return runs.select(F.col("batch_id").cast("bigint").alias("batch_id"), "processed", "failed")

@@ -12,13 +12,8 @@ def groups(spark: SparkSession) -> DataFrame:
 
 
 def domain_map(spark: SparkSession) -> DataFrame:
-    """Host to group: the structural lists plus the hosts only the lookup knows."""
-    by_group = {
-        "study": K.LOOKUP_ONLY_STUDY,
-        "work": K.WORK_DOMAINS + K.LOOKUP_ONLY_WORK,
-        "entertainment": K.ENTERTAINMENT_DOMAINS + K.LOOKUP_ONLY_ENTERTAINMENT,
-    }
-    rows = [(host, group) for group, hosts in by_group.items() for host in hosts]
+    """Host to group."""
+    rows = [(host, group) for group, hosts in K.HOST_GROUPS.items() for host in hosts]
     return spark.createDataFrame(rows, "domain STRING, category STRING")
 
 
@@ -26,9 +21,5 @@ def category_hints(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(K.CATEGORY_HINTS.items()), "youtube_category_id INT, hint STRING")
 
 
-def stopwords(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in K.STOPWORDS], "word STRING")
-
-
 def seed_texts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(K.SEED_TEXTS.items()), "category STRING, seed_text STRING")

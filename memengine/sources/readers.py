@@ -1,4 +1,8 @@
-"""Batch and streaming readers with explicit schemas, and validation splits."""
+"""Batch and streaming readers with explicit schemas, and validation splits.
+
+JSON is read permissively: a line that is no JSON, or has a value of another type,
+keeps its text in ``BAD_LINE`` and goes to the rejects (``split_lines``).
+"""
 
 from __future__ import annotations
 
@@ -10,27 +14,37 @@ from .. import schemas as S
 from ..functions import gates, urls
 
 
-def _reader(spark: SparkSession, streaming: bool):
-    return spark.readStream if streaming else spark.read
+BAD_LINE = "_bad_line"
+
+
+def _json(spark: SparkSession, schema: str, folder: str, streaming: bool) -> DataFrame:
+    """One record a line.  Lines are parsed by an expression, since a JSON scan does not let its bad lines be read alone."""
+    reader = spark.readStream if streaming else spark.read
+    record = F.from_json("value", f"{schema}, {BAD_LINE} STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE})
+    return reader.text(folder).filter(F.length("value") > 0).select(record.alias("r")).select("r.*")
 
 
 def page_visits(spark: SparkSession, folder: str, streaming: bool = False) -> DataFrame:
-    return _reader(spark, streaming).schema(S.PAGE_VISIT).json(folder)
+    return _json(spark, S.PAGE_VISIT, folder, streaming)
 
 
 def page_signals(spark: SparkSession, folder: str, streaming: bool = False) -> DataFrame:
-    return _reader(spark, streaming).schema(S.PAGE_SIGNAL).json(folder)
+    return _json(spark, S.PAGE_SIGNAL, folder, streaming)
+
+
+def split_lines(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that were read whole, and (line, reason) of the others."""
+    good = rows.filter(F.col(BAD_LINE).isNull()).drop(BAD_LINE)
+    return good, rows.filter(F.col(BAD_LINE).isNotNull()).select(F.col(BAD_LINE).alias("line"), F.lit("unreadable").alias("reason"))
 
 
 def video_events(
     spark: SparkSession, detected: str, heartbeats: str, closed: str, streaming: bool = False
 ) -> DataFrame:
     """The three video streams as one frame, told apart by ``kind``."""
-    reader = _reader(spark, streaming)
     return merge_video_events(
-        reader.schema(S.VIDEO_DETECTED).json(detected),
-        reader.schema(S.VIDEO_HEARTBEAT).json(heartbeats),
-        reader.schema(S.VIDEO_CLOSED).json(closed),
+        _json(spark, S.VIDEO_DETECTED, detected, streaming), _json(spark, S.VIDEO_HEARTBEAT, heartbeats, streaming),
+        _json(spark, S.VIDEO_CLOSED, closed, streaming),
     )
 
 
@@ -54,11 +68,6 @@ def split_visits(visits: DataFrame) -> tuple[DataFrame, DataFrame]:
     return visits.filter(ok), rejects
 
 
-def split_sources(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    known = F.coalesce(F.col("source_type").isin(K.SOURCES), F.lit(False))
-    return items.filter(known), items.filter(~known).withColumn("reason", F.lit("unknown_source"))
-
-
 def recorded_visits(visits: DataFrame, private_mode: str = "private_mode") -> DataFrame:
     """Visits the capture side keeps: no private mode, internal, video or excluded pages."""
     return visits.filter(~urls.is_skipped_visit(F.col("url"), F.col(private_mode)))

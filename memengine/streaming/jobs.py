@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -23,6 +23,11 @@ STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 TAB_GAP = "30 minutes"
 
 
+def need_rocksdb(spark: SparkSession) -> None:
+    if spark.conf.get(STATE_STORE, None) != ROCKSDB:
+        raise ValueError(f"set {STATE_STORE} to {ROCKSDB}")
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -71,13 +76,13 @@ def revisit_marks(
 ) -> DataFrame:
     """(event_id, is_revisit) for a stream of events; marks are kept even for events a gate rejects.
 
-    One key's share of a micro-batch is sorted in one task, so bound the batch
-    at the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).  For a
-    backlog, ``operators.capture.mark_revisits`` does the same in batch and
-    splits hot keys.  The session must keep its state in RocksDB (``STATE_STORE``).
+    Marks come with their batch, but one key's share of a micro-batch is sorted in one task, so bound the
+    batch at the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).  Where keys are hot,
+    ``revisits.marked_by_slot`` holds no key in a task and waits for the watermark; for a
+    backlog, ``operators.capture.mark_revisits`` does the same in batch.  The session must keep
+    its state in RocksDB (``STATE_STORE``).
     """
-    if events.sparkSession.conf.get(STATE_STORE, None) != ROCKSDB:
-        raise ValueError(f"set {STATE_STORE} to {ROCKSDB}")
+    need_rocksdb(events.sparkSession)
     keyed = events.withWatermark(ts, late).select(
         *keys, "event_id", F.unix_micros(F.col(ts)).alias("event_us"), F.col(ts).alias("event_time")
     )
@@ -157,12 +162,20 @@ def fold_partials(partials: DataFrame) -> DataFrame:
 def enrich_stream(
     new_items: DataFrame, job: Callable[[DataFrame], tuple[DataFrame, DataFrame]], out: str, state: str
 ) -> StreamingQuery:
-    """Run the enrichment job on each micro-batch; results and rejects go to files by batch."""
+    """Run the enrichment job on each micro-batch; results, rejects and counts go to files by batch.
+
+    A row of ``runs`` says how many rows of a batch were processed and how many failed.  They are observed while the
+    rows are written, so counting costs no job; a batch that is repeated replaces its row.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
+        done, failed = Observation(), Observation()
+        count = F.count(F.lit(1)).alias("rows")
         enriched, rejects = job(batch)
-        enriched.write.mode("overwrite").parquet(f"{out}/enriched/batch_id={batch_id}")
-        rejects.write.mode("overwrite").parquet(f"{out}/rejects/batch_id={batch_id}")
+        enriched.observe(done, count).write.mode("overwrite").parquet(f"{out}/enriched/batch_id={batch_id}")
+        rejects.observe(failed, count).write.mode("overwrite").parquet(f"{out}/rejects/batch_id={batch_id}")
+        row = batch.sparkSession.createDataFrame([(done.get["rows"], failed.get["rows"])], "processed BIGINT, failed BIGINT")
+        row.write.mode("overwrite").parquet(f"{out}/runs/batch_id={batch_id}")
 
     writer = new_items.writeStream.option("checkpointLocation", state)
     return writer.foreachBatch(save).trigger(availableNow=True).start()
@@ -183,3 +196,18 @@ def with_metadata(detected: DataFrame, load: Callable[[], DataFrame], out: str,
 
     writer = detected.writeStream.option("checkpointLocation", state)
     return writer.foreachBatch(save).trigger(availableNow=True).start()
+
+
+def late_metadata(
+    detected: DataFrame, metadata: DataFrame, key: str = "video_id", ts: str = "timestamp", arrived: str = "fetched_at",
+    within: str = "30 minutes", late: str = "1 hour",
+) -> DataFrame:
+    """Detections with the metadata that arrives up to ``within`` after them, in whatever batch; both sides are streams.
+
+    A detection is given out with each metadata row of its key in that time.  One without any waits until
+    the watermarks of both streams say that none can come, and is given out once, with nulls.  Rows
+    later than ``late`` in their own stream may be dropped.  ``detected`` and ``metadata`` share no column but ``key``.
+    """
+    left, right = detected.withWatermark(ts, late), metadata.withWatermark(arrived, late).withColumnRenamed(key, "_key")
+    in_time = (F.col(arrived) >= F.col(ts)) & (F.col(arrived) <= F.col(ts) + F.expr(f"INTERVAL {within}"))
+    return left.join(right, (F.col(key) == F.col("_key")) & in_time, "left_outer").drop("_key")

@@ -60,7 +60,7 @@ def marked_by_slot(
     events: DataFrame, keys: list[str], ts: str = "ts", tie: str = "event_id", ttl_seconds: int = K.REVISIT_TTL_SECONDS,
     late: str = "1 hour", slot_seconds: int = SLOT_SECONDS,
 ) -> DataFrame:
-    """(``tie``, ``ts``, is_revisit) of each event whose slot the watermark has closed; ``keys`` are not null.
+    """The events, with is_revisit, whose slot the watermark has closed; ``keys`` are not null.
 
     ``tie`` is a whole number that tells the events apart.  Events of one key are taken in order of (``ts``, ``tie``),
     however they come within the watermark's delay, so the marks equal those of ``capture.mark_revisits`` over
@@ -69,9 +69,9 @@ def marked_by_slot(
     if slot_seconds > ttl_seconds:
         raise ValueError("a slot must not be longer than the TTL")
     need_rocksdb(events.sparkSession)
-    keyed = events.withWatermark(ts, late).select(*keys, F.col(tie).cast("bigint").alias(tie), F.col(ts))
-    ends = keyed.groupBy(*keys, F.window(ts, f"{slot_seconds} seconds").alias("_slot")).agg(
-        F.min(F.struct(F.col(ts).alias("at"), F.col(tie).alias("id"))).alias("_first"), F.max(ts).alias("_last")
+    timed = events.withWatermark(ts, late)
+    ends = timed.groupBy(*keys, F.window(ts, f"{slot_seconds} seconds").alias("_slot")).agg(
+        F.min(F.struct(F.col(ts).alias("at"), F.col(tie).cast("bigint").alias("id"))).alias("_first"), F.max(ts).alias("_last")
     )
     edges = ends.select(
         *keys, F.window_time("_slot").alias("closes"), F.unix_micros("_first.at").alias("first_us"),
@@ -82,4 +82,4 @@ def marked_by_slot(
         outputMode="Append", timeMode="EventTime", eventTimeColumnName="closes",
     )
     of_slot = (F.col(tie) == F.col("opening")) & (F.col("closes") >= F.col(ts)) & (F.col("closes") <= F.col(ts) + F.expr(f"INTERVAL {slot_seconds} SECONDS"))
-    return keyed.join(openings, of_slot, "left_outer").select(tie, ts, F.coalesce("is_revisit", F.lit(True)).alias("is_revisit"))
+    return timed.join(openings.drop(*keys), of_slot, "left_outer").select(*events.columns, F.coalesce("is_revisit", F.lit(True)).alias("is_revisit"))

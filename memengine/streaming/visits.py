@@ -28,6 +28,14 @@ _FIRST_COUNT, _FIRST_TEXT = _NAMES.index(_COUNTS[0]), _NAMES.index(f"{TEXTS[0]}_
 _VISIT = ["opened_us", "closed_us", "ended_by", "signals", *_COUNTS, "is_app_page", *(f"{c}_from" for c in TEXTS)]
 
 
+_KINDS = [{"BIGINT": int, "DOUBLE": float, "BOOLEAN": bool}[kind] for _, kind in _SPAN]
+
+
+def _span(row: tuple) -> tuple:
+    """A row of a frame with Python's own values; a frame has NaN for null."""
+    return tuple(None if value is None or value != value else kind(value) for value, kind in zip(row, _KINDS))
+
+
 def _greatest(a, b):
     return b if a is None else a if b is None else max(a, b)
 
@@ -114,7 +122,7 @@ class _TabVisits(StatefulProcessor):
         closed = self.closed.get() if self.closed.exists() else None
         new = []
         for frame in rows:
-            for row in frame[_NAMES].astype(object).where(frame[_NAMES].notna(), None).itertuples(index=False, name=None):
+            for row in map(_span, frame[_NAMES].itertuples(index=False, name=None)):
                 if closed is None or (row[_START], row[_ID]) > tuple(closed):
                     new.append(row)
         spans = [tuple(s) for s in self.spans.get()] + new

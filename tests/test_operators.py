@@ -118,6 +118,45 @@ def test_slots_do_not_change_sequences(spark, slot):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("spread_us", [1, 900_000])
+def test_a_key_within_one_second_is_many_blocks(spark, monkeypatch, task_rows, spread_us):
+    """Nearly all rows are one key's, in one second or at one moment; no task gets more than a few blocks."""
+    monkeypatch.setattr(sequences, "BLOCK_ROWS", 250)
+    rng = random.Random(5)
+    data = [
+        (0 if n % 10 else None, n * 7 % 5001, T0 + timedelta(microseconds=rng.randrange(spread_us)), rng.choice([None, None, True, False]), n % 5)
+        for n in range(5000)
+    ]
+    df = spark.createDataFrame(data, "k INT, id INT, ts TIMESTAMP, flag BOOLEAN, v INT")
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    want = rows(df.select(
+        "id", F.lag("v").over(w).alias("before"), F.lead("v").over(w).alias("after"), F.sum("v").over(upto).alias("total"),
+        F.last("flag", ignorenulls=True).over(upto).alias("known"),
+    ))
+    blocks = sequences.with_slot(df, ["k"], ["ts", "id"]).groupBy("k", "_slot", "_block").count().collect()
+    assert len(blocks) >= 15 and max(r["count"] for r in blocks) <= 4 * 250
+    seen = len(want)
+    marked = capture.mark_revisits(df, ["k"], "ts", "id", ttl_seconds=60)
+    assert marked.filter("is_revisit").count() == seen - 2
+    out = sequences.neighbour(df, ["k"], ["ts", "id"], ["v"], "p")
+    assert rows(out.select("id", "p.v")) == sorted(((r[0], r[1]) for r in want), key=str)
+    out = sequences.neighbour(df, ["k"], ["ts", "id"], ["v"], "n", step=-1)
+    assert rows(out.select("id", "n.v")) == sorted(((r[0], r[2]) for r in want), key=str)
+    assert rows(sequences.running_total(df, ["k"], ["ts", "id"], F.col("v"), "total").select("id", "total")) == sorted(((r[0], r[3]) for r in want), key=str)
+    known = sequences.last_known(df.withColumn("known", F.col("flag")), ["k"], ["ts", "id"], ["known"])
+    assert rows(known.select("id", "known")) == sorted(((r[0], r[4]) for r in want), key=str)
+
+
+def test_no_task_holds_a_hot_key(spark, monkeypatch, task_rows):
+    monkeypatch.setattr(sequences, "BLOCK_ROWS", 250)
+    df = spark.range(20_000).selectExpr("1 AS k", "id", "timestamp_micros(id) AS ts", "CAST(1 AS BIGINT) AS v").cache()
+    df.count()
+    base = task_rows()
+    assert sequences.running_total(df, ["k"], ["ts", "id"], F.col("v"), "total").agg(F.max("total")).first()[0] == 20_000
+    assert base <= task_rows() <= 4_000  # a plain window would read 20,000 rows in one task
+
+
 def test_session_edge(spark):
     at = [0, 299, 599, 900]
     df = spark.createDataFrame([(1, n, T0 + timedelta(seconds=s)) for n, s in enumerate(at)], "k INT, id INT, ts TIMESTAMP")
@@ -156,7 +195,7 @@ def test_append_and_read_turns(spark, tmp_path):
         messages.append_turns(turns, str(tmp_path / "log"))
     back = messages.parse_messages(spark.read.parquet(str(tmp_path / "log")))
     assert messages.message_counts(back).first().messages == 4
-    assert messages.without_session(back, "s").count() == 0
+    assert messages.delete_sessions(back, back.select("session_id"))[0].count() == 0
     assert {r.content for r in back.collect()} == {"hi", "hello"}
 
 
@@ -262,6 +301,38 @@ def test_search_equals_brute_force(spark, monkeypatch, limit, few):
     assert sorted(map(tuple, got.collect())) == brute_search(view, intents, limit)
 
 
+def test_bounds_and_hours_find_the_same(spark, monkeypatch):
+    view, intents = make_view(spark), make_intents(spark)
+    got = rows(search.search(intents, view, 7))
+    monkeypatch.setattr(search, "FEW_BOUNDS", 0)
+    assert rows(search.search(intents, view, 7)) == got and got
+
+
+def test_equal_intents_share_their_results(spark, monkeypatch, task_rows):
+    """One scope of very many queries: results are kept once, and their pairs are dealt over tasks."""
+    view = make_view(spark)
+    intents = make_intents(spark).limit(1).withColumn("query_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: i.cast("string"))))
+    members, results = search.search_scopes(intents, view, 20)
+    n = results.count()
+    assert 0 < n <= 20 and members.count() == 20_000 and results.select("scope").distinct().count() == 1
+    before = task_rows()
+    pairs = search.expanded(members, results)
+    assert pairs.count() == 20_000 * n and task_rows() <= max(before, 4_000)
+    monkeypatch.setattr(search, "HOT_SCOPE", 10**9)
+    assert rows(search.expanded(members.limit(50), results)) == rows(search.expanded(members, results).join(members.limit(50), "query_id", "left_semi"))
+
+
+@pytest.mark.parametrize("anchors", [0, 4096])
+def test_anchors_as_constants_or_rows_find_the_same(spark, monkeypatch, anchors):
+    monkeypatch.setattr(phrases, "FEW_ANCHORS", anchors)
+    texts = ["the quick brown fox", "THE QUIET fox", "äöü ünder", "ab", "", None, "x" * 50, "fox" * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "id INT, t STRING")
+    asked = ["quick", "qui", "fox", "b", "ab", "ünd", "xxx", "nothing here", "o", "the qui"]
+    for some in (asked, [p for p in asked if len(p) >= 3]):
+        got = phrases.match_phrases(df, F.col("t"), spark.createDataFrame([(p,) for p in some], "phrase STRING"), ["id"])
+        assert rows(got) == sorted(((i, p) for i, t in enumerate(texts) for p in some if p in (t or "").lower()), key=str)
+
+
 def test_search_plan_has_no_cross_join(spark):
     plan = search.search(make_intents(spark), make_view(spark))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
@@ -417,3 +488,61 @@ def test_many_centroids_by_search(spark):
                 for r in scored.select("memory_id", "scores.*").collect()]
 
     assert found(1000) == found(0) and len(found(0)) == 41
+
+
+# --- the store as files -------------------------------------------------------------
+def test_a_merge_leaves_other_buckets_alone(spark, tmp_path):
+    from memengine.operators import bucket_store
+
+    folder = str(tmp_path / "items")
+    fold = lambda table, delta: delta if table is None else table.join(delta, "memory_id", "left_anti").unionByName(delta)
+    first = spark.range(200).selectExpr("CAST(id AS STRING) AS memory_id", "id AS v")
+    bucket_store.merge(folder, first, fold, 0, buckets=16)
+    files = {p.name: p.parent.name for p in (tmp_path / "items").rglob("*.parquet")}
+    delta = spark.createDataFrame([("3", 33), ("new", 1)], "memory_id STRING, v BIGINT")
+    touched = bucket_store.merge(folder, delta, fold, 1, buckets=16)
+    after = {p.name: p.parent.name for p in (tmp_path / "items").rglob("*.parquet")}
+    changed = {f"bucket={b}" for b in touched}
+    assert 1 <= len(touched) <= 2 and {n for n, b in files.items() if b not in changed} == {n for n, b in after.items() if b not in changed}
+    assert not {n for n, b in files.items() if b in changed} & set(after)
+    want = {str(i): i for i in range(200)} | {"3": 33, "new": 1}
+    assert {r.memory_id: r.v for r in bucket_store.read(spark, folder).collect()} == want
+    # sums are not safe to repeat: the number of the merge tells
+    add = lambda table, delta: delta.unionByName(table).groupBy("memory_id").agg(F.sum("v").alias("v"))
+    bucket_store.merge(folder, delta, add, 2, buckets=16, replay_safe=False)
+    assert bucket_store.merge(folder, delta, add, 2, buckets=16, replay_safe=False) == []
+    assert {r.memory_id: r.v for r in bucket_store.read(spark, folder).collect()} == want | {"3": 66, "new": 2}
+    assert bucket_store.merge(folder, delta.limit(0), fold, 3, buckets=16) == []
+
+
+def test_expired_days_go_as_folders(spark, tmp_path):
+    from memengine.operators import bucket_store
+
+    folder = str(tmp_path / "messages")
+    log = spark.createDataFrame([("s", n, T0 + timedelta(days=n)) for n in range(5)], "session_id STRING, n INT, created_at TIMESTAMP")
+    bucket_store.save_days(log, folder)
+    files = {p.name for p in (tmp_path / "messages").rglob("*.parquet")}
+    assert bucket_store.drop_days(spark, folder, "2024-01-03") == ["2024-01-01", "2024-01-02"]
+    left = spark.read.parquet(folder)
+    assert sorted(r.n for r in left.collect()) == [2, 3, 4] and {p.name for p in (tmp_path / "messages").rglob("*.parquet")} < files
+    assert bucket_store.drop_days(spark, folder, "2024-01-03") == []
+
+
+def test_enrichment_rewrites_only_its_buckets(spark, tmp_path):
+    from memengine.operators import bucket_store
+
+    folder = str(tmp_path / "items")
+    items = store.fold_items(None, item_rows(spark, [("A", "x")]).withColumn("memory_id", F.explode(F.array(*[F.lit(f"k{i}") for i in range(60)])))).drop("created_new")
+    bucket_store.merge(folder, items, lambda table, delta: delta, 0, buckets=8)
+    done = spark.createDataFrame([("k7", "work", "centroid", 0.9, ["w"])], "memory_id STRING, category STRING, method STRING, confidence DOUBLE, auto_keywords ARRAY<STRING>")
+    assert len(bucket_store.merge(folder, done, store.write_enrichment, 1, buckets=8)) == 1
+    stored = {r.memory_id: r for r in bucket_store.read(spark, folder).collect()}
+    assert len(stored) == 60 and (stored["k7"].preprocessed, stored["k7"].classified_by) == (True, "centroid")
+    assert not stored["k8"].preprocessed
+
+
+def test_flat_text_of_nested_values(spark):
+    from memengine.functions import text as X
+
+    df = spark.sql("SELECT named_struct('a', 'x', 'b', array(1, NULL), 'c', map('k', array('y', 'z'))) AS v UNION ALL SELECT NULL")
+    assert [r[0] for r in df.select(X.flatten_text(F.col("v"), df.schema["v"].dataType)).collect()] == ["x 1  y z", ""]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from conftest import SMALL
 from memengine.operators import capture, store
 from memengine.queries.tables import Tables
-from memengine.streaming import jobs
+from memengine.streaming import jobs, revisits, visits
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +82,89 @@ def test_watch_fold_over_batches(spark, feed, tmp_path):
     run(jobs.upsert_watch(shaped(stream()), str(tmp_path / "out"), str(tmp_path / "state")))
     got = jobs.watch_fold(spark.read.parquet(str(tmp_path / "out")))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, jobs.watch_fold(shaped(events)).collect()))
+
+
+@pytest.mark.parametrize("slot", [60, 3600])
+def test_marks_by_slot_over_batches(spark, feed, tmp_path, slot):
+    events, stream = feed
+    marks = revisits.marked_by_slot(stream(), ["k", "event_type"], ttl_seconds=7200, late="1 hour", slot_seconds=slot)
+    run(jobs.write_files(marks, str(tmp_path / "out"), str(tmp_path / "state")))
+    got = {r.event_id: r.is_revisit for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {r.event_id: r.is_revisit for r in capture.mark_revisits(events, ["k", "event_type"], "ts", "event_id", 7200).collect()}
+    assert 0.97 * len(want) < len(got) <= len(want) and got == {i: want[i] for i in got} and any(got.values())
+
+
+def test_marks_of_a_hot_key_hold_no_key_in_a_task(spark, tmp_path, task_rows):
+    """Nine tenths of the events are one key's, in a few minutes of one batch."""
+    rows = spark.range(20_000).selectExpr(
+        "id AS event_id", "IF(id % 10 = 0, id, 0) AS k", "timestamp_micros(1704067200000000 + id * 50000) AS ts"
+    )
+    last = spark.sql("SELECT 99999999L AS event_id, -1L AS k, timestamp'2024-01-03 00:00:00' AS ts")
+    folder = str(tmp_path / "in")
+    rows.repartition(8).write.parquet(folder)
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(folder)
+    for _ in range(2):
+        run(jobs.write_files(revisits.marked_by_slot(stream(), ["k"], late="1 minute"), str(tmp_path / "out"), str(tmp_path / "state")))
+        last.write.mode("append").parquet(folder)
+    most = task_rows()
+    got = {r.event_id: r.is_revisit for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {r.event_id: r.is_revisit for r in capture.mark_revisits(rows, ["k"], "ts", "event_id").collect()}
+    assert got == want and sum(got.values()) > 17_000
+    assert most < 6_000  # its 18,000 rows never meet in one task
+
+
+SIGNALS = "user_id BIGINT, event_id BIGINT, ts TIMESTAMP, closes BOOLEAN, url STRING, title STRING, content_extract STRING, referrer STRING, scroll_depth DOUBLE, interaction_count INT, word_count INT, is_app_page BOOLEAN"
+
+
+def test_tab_visits_end_by_close_or_silence(spark, tmp_path):
+    """A close that comes a batch late ends the visit before it; signals behind it are the next visit's."""
+    at = lambda seconds: datetime(2024, 1, 1) + timedelta(seconds=seconds)
+
+    def signal(event, seconds, closes=False, user=1):
+        return (user, event, at(seconds), closes, f"u{event}", f"t{event}" if event % 2 else "", None, None, event / 100, event, None, event == 3)
+
+    batches = [
+        [signal(1, 0), signal(2, 10), signal(4, 30), signal(5, 40), signal(20, 0, user=2), signal(21, 5, True, user=2)],
+        [signal(3, 20, True), signal(6, 50), signal(30, 3, True, user=3), signal(22, 2000, user=2), signal(23, 2010, user=2)],
+        [signal(7, 9000), signal(40, 9100, user=4)],
+        [signal(41, 20_000, user=4)],
+    ]
+    folder = str(tmp_path / "in")
+    seen = []
+    for batch in batches:
+        spark.createDataFrame(batch, SIGNALS).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+        run(jobs.write_files(visits.tab_visits(stream, {"user_id": "BIGINT"}, F.col("closes"), late="5 minutes"), str(tmp_path / "out"), str(tmp_path / "state")))
+        seen.append(spark.read.parquet(str(tmp_path / "out")).count())
+    zero = int((datetime(2024, 1, 1) - datetime(1970, 1, 1)).total_seconds())
+    done = visits.with_texts(spark.read.parquet(str(tmp_path / "out")), spark.read.parquet(folder), ["user_id"])
+    told = done.selectExpr("user_id", f"unix_seconds(opened_at) - {zero}", f"unix_seconds(closed_at) - {zero}", "ended_by", "signals", "url", "title", "interaction_count", "is_app_page")
+    assert sorted(map(tuple, told.collect())) == [
+        (1, 0, 20, "close", 2, "u2", "t1", 2.0, False), (1, 30, 50, "silence", 3, "u6", "t5", 6.0, False), (1, 9000, 9000, "silence", 1, "u7", "t7", 7.0, False),
+        (2, 0, 5, "close", 1, "u20", None, 20.0, False), (2, 2000, 2010, "silence", 2, "u23", "t23", 23.0, False),
+        (4, 9100, 9100, "silence", 1, "u40", None, 40.0, False),
+    ]
+    assert seen[:2] == [1, 2]  # a close is reported with the batch that brings it
+
+
+def test_spans_of_a_visit_become_one():
+    span = lambda n, us, closes=False: (us, n, us, closes, 1, None, n * 1.0, None, False, n, None, None, None)
+    ended, kept, closed = visits.settled([span(n, n * 10) for n in range(20)], gap_us=1000, watermark_us=125)
+    assert ended == [] and closed is None and len(kept) == 1 + 7 and kept[0][visits._SIGNALS] == 13
+    ended, kept, closed = visits.settled([*kept, span(50, 5000, True)], gap_us=1000, watermark_us=125)
+    assert [(v[0], v[1], v[2], v[3]) for v in ended] == [(0, 190, "silence", 20)] and kept == [] and closed == (5000, 50)
+
+
+def test_late_metadata_is_given_out_once(spark, tmp_path):
+    at = lambda minutes: datetime(2024, 1, 1) + timedelta(minutes=minutes)
+    detected = [[(1, "a", at(0)), (2, "b", at(1)), (3, "c", at(2))], [(4, "a", at(300)), (5, "z", at(301))], [(6, "q", at(900))]]
+    metadata = [[], [("a", at(10), "A"), ("b", at(45), "late")], [("c", at(20), "C"), ("a", at(310), "A2"), ("w", at(900), "W")]]
+    found = []
+    for left, right in zip(detected, metadata):
+        spark.createDataFrame(left, "event_id INT, video_id STRING, timestamp TIMESTAMP").write.mode("append").parquet(str(tmp_path / "d"))
+        spark.createDataFrame(right, "video_id STRING, fetched_at TIMESTAMP, channel STRING").write.mode("append").parquet(str(tmp_path / "m"))
+        streams = [spark.readStream.schema(spark.read.parquet(str(tmp_path / x)).schema).parquet(str(tmp_path / x)) for x in "dm"]
+        run(jobs.write_files(jobs.late_metadata(*streams, late="2 hours"), str(tmp_path / "out"), str(tmp_path / "state")))
+        found.append(sorted((r.event_id, r.channel) for r in spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert found[1] == [(1, "A")]  # nothing is given up while metadata may still come
+    assert sorted(found[2], key=str) == [(1, "A"), (2, None), (3, "C"), (4, "A2"), (5, None)]
