@@ -34,32 +34,42 @@ def query(name: str, table: str, sql: str | None = None):
 
 OP1_SQL = """
 WITH turns AS (
-  SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text,
-    coalesce(floor(turn / 1024), -1)::BIGINT AS slot
-  FROM conversations WHERE conv_id IS NOT NULL
+  SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text FROM conversations WHERE conv_id IS NOT NULL
 ),
 numbered AS (
-  SELECT *, row_number() OVER (
-    PARTITION BY conv_id, slot ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST
-  ) - 1 AS number FROM turns
+  SELECT *, row_number() OVER dialogue AS number,
+    ((sum(length(text) + coalesce(length(role), 0) + 40) OVER dialogue - (length(text) + coalesce(length(role), 0) + 40)) // 262144)::INTEGER AS part
+  FROM turns WINDOW dialogue AS (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW
+  )
 ),
-people AS (SELECT DISTINCT conv_id, role AS participant FROM turns WHERE role <> 'system'),
+heads AS (
+  SELECT * FROM numbered n WHERE part = 0 AND role = 'system' AND NOT EXISTS (
+    SELECT 1 FROM numbered o WHERE o.conv_id = n.conv_id AND o.number < n.number AND o.role IS DISTINCT FROM 'system'
+  )
+),
+placed_in AS (
+  SELECT conv_id, part, number, role, text FROM numbered
+  UNION ALL
+  SELECT h.conv_id, p.part, h.number, h.role, h.text FROM heads h JOIN (SELECT DISTINCT conv_id, part FROM numbered WHERE part > 0) p USING (conv_id)
+),
+people AS (SELECT DISTINCT conv_id, part, role AS participant FROM numbered WHERE role <> 'system'),
 messages AS (
-  SELECT conv_id, participant, slot, (number // 256)::INTEGER AS part, number,
+  SELECT conv_id, participant, part, number,
     '<|im_start|>' || CASE WHEN role = participant THEN 'assistant' WHEN role = 'system' THEN 'system'
       WHEN role IS NULL THEN 'user' ELSE 'user name=' || replace(role, '<|im_', '<| im_') END || chr(10) AS head,
     text || '<|im_end|>' AS body, coalesce(role = participant, false) AS own
-  FROM numbered JOIN people USING (conv_id)
+  FROM placed_in JOIN people USING (conv_id, part)
 ),
 placed AS (
   SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (
-    PARTITION BY conv_id, participant, slot, part ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING
+    PARTITION BY conv_id, participant, part ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING
   ), 0)::BIGINT + length(head) AS start FROM messages
 )
-SELECT conv_id, participant, slot, part, count(*) AS n_turns,
+SELECT conv_id, participant, part, count(*) AS n_turns,
   string_agg(head || body || chr(10), '' ORDER BY number) AS text,
   coalesce(string_agg(start || '-' || (start + length(body)), ' ' ORDER BY number) FILTER (WHERE own), '') AS loss_spans
-FROM placed GROUP BY conv_id, participant, slot, part
+FROM placed GROUP BY conv_id, participant, part
 """
 
 
