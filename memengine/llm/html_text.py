@@ -39,20 +39,78 @@ TABLE_PARTS = frozenset("caption tbody td tfoot th thead tr".split())
 # Levels of lists, quotes and tables inside each other that are indented and aligned; below, lines are only broken.
 DEEPEST = 150
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_TELLING = re.compile(r"display|visibility|\\", re.I)
+# A cell with a longer line is not padded to, nor is a table of more columns, or one that padding would blow up so many times.
+WIDEST_LINE, MOST_COLUMNS, MOST_PADDING = 120, 200, 16
+
+
+def declarations(style: str) -> dict[str, str]:
+    """The declarations of a style attribute by name, in lower case; of several of one name the last that is not less important.
+
+    Semicolons inside strings, brackets and comments end nothing, as in CSS.
+    """
+    parts, now, quote, depth, i = [], [], "", 0, 0
+    while i < len(style):
+        c = style[i]
+        if c == "\\":
+            now.append(style[i : i + 2])
+            i += 2
+            continue
+        if quote:
+            quote = "" if c == quote else quote
+        elif style.startswith("/*", i):
+            end = style.find("*/", i + 2)
+            i = len(style) if end < 0 else end + 2
+            continue
+        elif c in "\"'":
+            quote = c
+        elif c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth = max(0, depth - 1)
+        elif c == ";" and not depth:
+            parts.append("".join(now))
+            now = []
+            i += 1
+            continue
+        now.append(c)
+        i += 1
+    parts.append("".join(now))
+    out, important = {}, set()
+    for part in parts:
+        name, colon, value = part.partition(":")
+        name, value = name.strip().lower(), value.strip().lower()
+        urgent = value.replace(" ", "").endswith("!important")
+        if colon and (urgent or name not in important):
+            out[name] = value.rpartition("!")[0].strip() if urgent else value
+            if urgent:
+                important.add(name)
+    return out
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    """An element.  ``gone``: it is not rendered, nor is anything in it; ``seen``: what it says of its visibility, null if nothing;
+    ``size``: characters of text and elements in it."""
+
+    __slots__ = ("tag", "attrs", "children", "gone", "seen", "size")
 
     def __init__(self, tag: str, attrs: dict[str, str | None]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.size = tag, attrs, [], 0
+        style = attrs.get("style") or ""
+        said = declarations(style) if _TELLING.search(style) else {}
+        self.gone = tag in HIDDEN or "hidden" in attrs or said.get("display") == "none" or tag == "dialog" and "open" not in attrs
+        self.seen = {"visible": True, "hidden": False, "collapse": False}.get(said.get("visibility", ""))
 
-    def hidden(self) -> bool:
-        return (
-            self.tag in HIDDEN or "hidden" in self.attrs or bool(_UNSEEN.search(self.attrs.get("style") or ""))
-            or self.tag == "dialog" and "open" not in self.attrs
-        )
+
+def _measure(root: Node) -> None:
+    """Set the sizes, children before their parents."""
+    order, waiting = [], [root]
+    while waiting:
+        node = waiting.pop()
+        order.append(node)
+        waiting.extend(c for c in node.children if isinstance(c, Node))
+    for node in reversed(order):
+        node.size = 8 + sum(len(c) if isinstance(c, str) else c.size for c in node.children)
 
 
 class Tree(HTMLParser):
@@ -188,26 +246,30 @@ def _run(work: Generator):
     return value
 
 
-def _block(node: Node, keep: bool = False, level: int = 0) -> Generator:
+def _block(node: Node, keep: bool = False, level: int = 0, seen: bool = True) -> Generator:
+    """Lines of an element; ``seen`` is the visibility that it inherits."""
     out = Lines()
-    yield _inside(node, out, keep, level)
+    yield _inside(node, out, keep, level, seen)
     return out.done()
 
 
-def _inside(node: Node, out: Lines, keep: bool, level: int) -> Generator:
+def _inside(node: Node, out: Lines, keep: bool, level: int, seen: bool) -> Generator:
     counter, flat = 0, level >= DEEPEST
+    seen = seen if node.seen is None else node.seen
     if node.tag == "ol":
         start = node.attrs.get("start") or "1"
         counter = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
     closed = node.tag == "details" and "open" not in node.attrs
     for child in node.children:
         if isinstance(child, str):
-            if not closed:
+            if seen and not closed:
                 out.text(child, keep)
             continue
-        if child.hidden() or closed and child.tag != "summary":
+        if child.gone or closed and child.tag != "summary":
+            continue
+        tag, shown = child.tag, seen if child.seen is None else child.seen
+        if tag in ("br", "hr", "img", "input") and not shown:
             continue
-        tag = child.tag
         if tag == "br":
             out.feed()
         elif tag == "hr":
@@ -220,34 +282,36 @@ def _inside(node: Node, out: Lines, keep: bool, level: int) -> Generator:
         elif tag == "table":
             out.block(True)
             if flat:
-                yield _inside(child, out, False, level)
+                yield _inside(child, out, False, level, seen)
             else:
-                out.place((yield _table(child, level + 1)))
+                out.place((yield _table(child, level + 1, shown)))
             out.block(True)
         elif tag == "li":
             mark = f"{counter}. " if node.tag == "ol" else "- "
             counter += 1
             out.block(False)
             if flat:
-                out.text(mark, False)
-                yield _inside(child, out, keep, level)
+                if shown:
+                    out.text(mark, False)
+                yield _inside(child, out, keep, level, seen)
             else:
-                out.place((yield _block(child, keep, level + 1)), mark, " " * len(mark))
+                mark = mark if shown else ""
+                out.place((yield _block(child, keep, level + 1, seen)), mark, " " * len(mark))
             out.block(False)
         elif tag in ("blockquote", "dd"):
             out.block(tag in SPACED)
             if flat:
-                yield _inside(child, out, keep, level)
+                yield _inside(child, out, keep, level, seen)
             else:
-                out.place((yield _block(child, keep, level + 1)), "  ", "  ")
+                out.place((yield _block(child, keep, level + 1, seen)), "  ", "  ")
             out.block(tag in SPACED)
         elif tag in BLOCKS or flat and tag in TABLE_PARTS:
             nested = tag in ("ul", "ol", "menu") and node.tag == "li"
             out.block(tag in SPACED and not nested)
-            yield _inside(child, out, keep or tag in ("pre", "textarea"), level)
+            yield _inside(child, out, keep or tag in ("pre", "textarea"), level, seen)
             out.block(tag in SPACED and not nested)
         else:
-            yield _inside(child, out, keep or tag == "textarea", level)
+            yield _inside(child, out, keep or tag == "textarea", level, seen)
 
 
 def _span(cell: Node, name: str, least: int, most: int) -> int:
@@ -255,36 +319,39 @@ def _span(cell: Node, name: str, least: int, most: int) -> int:
     return min(most, max(least, int(span))) if re.fullmatch(r"\d{1,5}", span) else 1
 
 
-def _rows(node: Node, captions: list[list[str]], rows: list, level: int) -> Generator:
+def _rows(node: Node, captions: list[list[str]], rows: list, level: int, seen: bool) -> Generator:
     """Append (group, cells) per row of a table to ``rows``, a cell being (lines, columns, rows; 0: to the end of the group).
 
-    Content outside cells makes a row of its own, with no group.
+    Content outside cells makes a row of its own, with no group.  ``seen`` is the visibility of ``node``.
     """
     for child in node.children:
         if isinstance(child, str):
-            if child.strip():
+            if seen and child.strip():
                 rows.append((None, [([" ".join(child.split())], 1, 1)]))
-        elif child.hidden() or child.tag in ("col", "colgroup"):
+        elif child.gone or child.tag in ("col", "colgroup"):
             continue
         elif child.tag in ("thead", "tbody", "tfoot"):
-            yield _rows(child, captions, rows, level)
+            yield _rows(child, captions, rows, level, seen if child.seen is None else child.seen)
         elif child.tag == "caption":
-            captions.append((yield _block(child, level=level)))
+            captions.append((yield _block(child, level=level, seen=seen)))
         elif child.tag == "tr":
-            cells = []
+            cells, shown = [], seen if child.seen is None else child.seen
             for cell in child.children:
-                if isinstance(cell, Node) and not cell.hidden():
-                    lines = yield _block(cell, level=level)
+                if isinstance(cell, Node) and not cell.gone:
+                    lines = yield _block(cell, level=level, seen=shown)
                     cells.append((lines, _span(cell, "colspan", 1, 100), _span(cell, "rowspan", 0, 65534)))
-                elif isinstance(cell, str) and cell.strip():
+                elif isinstance(cell, str) and shown and cell.strip():
                     cells.append(([" ".join(cell.split())], 1, 1))
             rows.append((id(node), cells))
         else:
-            rows.append((None, [((yield _block(child, level=level)), 1, 1)]))
+            rows.append((None, [((yield _block(child, level=level, seen=seen)), 1, 1)]))
+
 
+def _placed(rows: list) -> list[list[tuple[int, list[str], int]]] | None:
+    """Rows of cells (column, lines, columns): a cell stands in the first columns that no cell of a row above spans.
 
-def _placed(rows: list) -> list[list[tuple[int, list[str], int]]]:
-    """Rows of cells (column, lines, columns): a cell stands in the first columns that no cell of a row above spans."""
+    Nothing if there are more than ``MOST_COLUMNS``.
+    """
     out, now, taken = [], None, {}
     for group, cells in rows:
         if group is not None and group != now:
@@ -294,6 +361,8 @@ def _placed(rows: list) -> list[list[tuple[int, list[str], int]]]:
         for lines, span, down in cells:
             while clash := [c for c in range(at, at + span) if c in above]:
                 at = clash[-1] + 1
+            if at + span > MOST_COLUMNS:
+                return None
             placed.append((at, lines, span))
             if down != 1:
                 below.update(dict.fromkeys(range(at, at + span), down - 1 if down else 65534))
@@ -304,34 +373,59 @@ def _placed(rows: list) -> list[list[tuple[int, list[str], int]]]:
     return out
 
 
-def _table(node: Node, level: int) -> Generator:
-    """Cells one below the other in columns of equal width, two spaces apart; captions above."""
+def _stacked(cells: list[list[str]]) -> list[str]:
+    """A row without columns: cells of one line side by side, others one below the other."""
+    if all(len(lines) <= 1 for lines in cells):
+        return ["  ".join(lines[0] for lines in cells if lines)] if any(cells) else []
+    return [line for lines in cells for line in lines]
+
+
+def _table(node: Node, level: int, seen: bool) -> Generator:
+    """Cells one below the other in columns of equal width, two spaces apart; captions above.
+
+    A row in which a cell before the last has a line above ``WIDEST_LINE`` is stacked, and so is every row of a table that
+    has too many columns or in which the padding would be many times what the table holds.  So
+    the lines of a table are in proportion to its source, and no text is left out.
+    """
     captions: list[list[str]] = []
     found: list = []
-    yield _rows(node, captions, found, level)
+    yield _rows(node, captions, found, level, seen)
+    out = [line for caption in captions for line in caption]
     rows = _placed(found)
+    stacked = [max((len(line) for lines, _, _ in cells[:-1] for line in lines), default=0) > WIDEST_LINE for _, cells in found]
     widths: list[int] = []
-    for row in rows:
-        for at, lines, span in row:
+    for row, own in zip(rows or [], stacked):
+        for k, (at, lines, span) in enumerate(row):
             widths.extend([0] * (at + span - len(widths)))
-            if span == 1:
+            if span == 1 and not own and (k < len(row) - 1 or max(map(len, lines), default=0) <= WIDEST_LINE):
                 widths[at] = max(widths[at], max(map(len, lines), default=0))
-    out = [line for caption in captions for line in caption]
-    for row in rows:
+    ends = [0]  # characters before a column
+    for width in widths:
+        ends.append(ends[-1] + width + 2)
+    padded = sum(len(lines) * ends[at] for row, own in zip(rows or [], stacked) if not own for at, lines, _ in row)
+    if rows is None or padded > MOST_PADDING * node.size:
+        stacked = [True] * len(found)
+    for number, (_, cells) in enumerate(found):
+        if stacked[number]:
+            out += _stacked([lines for lines, _, _ in cells])
+            continue
+        row = rows[number]
         for i in range(max((len(lines) for _, lines, _ in row), default=0)):
-            end, line = 0, ""
-            for at, lines, span in row:
-                line += " " * (sum(widths[end:at]) + 2 * (at - end))
-                width = sum(widths[at : at + span]) + 2 * (span - 1)
-                line += (lines[i] if i < len(lines) else "").ljust(width) + "  "
-                end = at + span
-            out.append(line.rstrip())
+            line = ""
+            for at, lines, _ in row:
+                if i < len(lines) and lines[i]:
+                    line = line.ljust(ends[at]) + ("  " if len(line) > ends[at] else "") + lines[i]
+            out.append(line)
     return out
 
 
 def visible_text(html: str | None) -> str:
     """All text of a page that a reader sees, in lines."""
-    return "\n".join(_run(_block(Tree(html).root))) if html else ""
+    if not html:
+        return ""
+    root = Tree(html).root
+    _measure(root)
+    return "\n".join(_run(_block(root)))
 
 
 def rendered(pages: DataFrame, html: str = "html") -> DataFrame:
