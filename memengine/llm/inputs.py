@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memengine.runtime import ship_package
@@ -36,3 +36,20 @@ def texts_by_id(docs: DataFrame) -> DataFrame:
 
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        while name.lower() in taken:
+            name += "_"
+        return name
+
+    return [free(f"_{name}") for name in names]
+
+
+def all_columns(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs``, whatever characters their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from memengine.runtime import top_per_group
 
 from .held import held
-from .inputs import prepared
+from .inputs import prepared, unused
 
 SAMPLE_DOCS = 1000
 SAMPLE_CHARS = 1000
@@ -120,12 +120,13 @@ def predict(docs: DataFrame, model: dict[str, bytes], level: int = LEVEL, min_ma
             scores.append(1.0 if len(sizes) == 1 else (sizes[order[1]] - sizes[order[0]]) / sizes[order[1]])
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    given = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score", "rejected")])
+    given = docs.drop("lang_pred", "score", "rejected")
+    told = unused(docs, "language")[0]
     return (
-        given.withColumn("_language", classify(F.col("text").cast("string")))
-        .withColumn("lang_pred", F.col("_language.lang"))
-        .withColumn("score", F.col("_language.score"))
-        .drop("_language")
+        given.withColumn(told, classify(F.col("text").cast("string")))
+        .withColumn("lang_pred", F.col(f"{told}.lang"))
+        .withColumn("score", F.col(f"{told}.score"))
+        .drop(told)
         .withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("score") < min_margin))
     )
 

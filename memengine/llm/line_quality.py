@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from memengine.functions.core import let
 
+from .inputs import all_columns
+
 WORD = r"[^\x20\x09-\x0D]"
 GRAM = 5
 MOST_REPEATED = 20  # percent of words in repeated windows
@@ -129,8 +131,9 @@ def cleaned(docs: DataFrame, least_kept: int = LEAST_KEPT) -> DataFrame:
     one: repeated rows and null ids change nothing, other columns pass through, and columns of the
     new names are replaced.  No rows: no rows.
     """
-    new = ["lines", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text", "n_clean_words", "base_failed", "kept"]
-    counted = base_counts(docs.select(*[c for c in docs.columns if c not in new]))
+    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text", "n_clean_words", "base_failed", "kept"]
+    kept = all_columns(docs.drop(*new))
+    counted = base_counts(docs.select(F.struct(*kept).alias("doc"), "text"))  # whatever the columns, none clashes with those of the counting
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     flags = F.struct(
         (F.col("n_symbols") > 0).alias("symbols"), text.rlike(_SEPARATORS).alias("separators"),
@@ -144,10 +147,10 @@ def cleaned(docs: DataFrame, least_kept: int = LEAST_KEPT) -> DataFrame:
     # bound by let: an optimizer that moved the flags into the lambdas would search the text once per line
     passing = counted.withColumn("_passing", let(flags, passing_lines))
     n, repeats = F.col("n_words"), F.col("n_repeat_words")
-    return (
+    judged = (
         passing.withColumn("clean_text", F.array_join(F.col("_passing")["line"], "\n"))
         .withColumn("n_clean_words", F.aggregate(F.col("_passing")["n"], F.lit(0), lambda total, x: total + x).cast("bigint"))
         .withColumn("base_failed", (n < FEWEST_WORDS) | (100 * repeats > MOST_REPEATED * n))
         .withColumn("kept", ~F.col("base_failed") & (F.col("n_clean_words") >= FEWEST_WORDS) & (100 * F.col("n_clean_words") >= least_kept * n))
-        .drop("lines", "_passing")
     )
+    return judged.select("doc.*", *new)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
+from .inputs import all_columns, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -163,25 +164,26 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     its last word; ``n_chars``, if there is such a column, follows it.  If
     doc_ids are null or repeat, the rows are written out with a number first.
     """
+    row, copies_, extra, size, words = unused(docs, "row", "copies", "extra", "size", "words")
+    kept = all_columns(docs)
     ids = docs.select(F.col("doc_id").alias("id"))
     unique = ids.groupBy("id").count().filter("id is null or count > 1").isEmpty()
-    marked = docs.withColumn("_row", F.col("doc_id").cast("bigint") if unique else F.monotonically_increasing_id())
+    marked = docs.select(*kept, (F.col("doc_id").cast("bigint") if unique else F.monotonically_increasing_id()).alias(row))
     if not unique:
         marked = scratch.saved(marked, "rows")
-    shares = mixture(marked, row="_row", **options).filter("taken > 0").select(
-        F.col("row_id").alias("_row"), F.col("copies").alias("_copies"), F.col("extra").alias("_extra"), F.col("size").alias("_size")
+    shares = mixture(marked.select("doc_id", "source", "text", row), row=row, **options).filter("taken > 0").select(
+        F.col("row_id").alias(row), F.col("copies").alias(copies_), F.col("extra").alias(extra), F.col("size").alias(size)
     )
     whole, none = F.lit(-1).cast("bigint"), F.array().cast("array<bigint>")
-    rest = F.when(F.col("_extra") == F.col("_size"), F.array(whole)).when(F.col("_extra") > 0, F.array("_extra")).otherwise(none)
-    copies = F.concat(F.array_repeat(whole, F.col("_copies").cast("int")), rest)
-    taken = marked.join(shares, "_row").withColumn("_words", F.explode(copies))
+    rest = F.when(F.col(extra) == F.col(size), F.array(whole)).when(F.col(extra) > 0, F.array(extra)).otherwise(none)
+    copies = F.concat(F.array_repeat(whole, F.col(copies_).cast("int")), rest)
+    taken = marked.join(shares, row).withColumn(words, F.explode(copies))
     spaces = r"[\x20\x09-\x0D]*"
     # possessive: the JVM matches such a group in a loop, any other one by a call inside a call for each word
-    pattern = F.concat(F.lit(f"^(?:{spaces}{WORD}){{"), F.col("_words").cast("string"), F.lit("}+"))
-    taken = taken.withColumn(
-        "text", F.when(F.col("_words") > 0, F.regexp_substr(F.col("text").cast("string"), pattern)).otherwise(F.col("text"))
-    )
+    pattern = F.concat(F.lit(f"^(?:{spaces}{WORD}){{"), F.col(words).cast("string"), F.lit("}+"))
+    part = F.col(words) > 0
+    taken = taken.withColumn("text", F.when(part, F.regexp_substr(F.col("text").cast("string"), pattern)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        taken = taken.withColumn("n_chars", F.when(F.col("_words") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return taken.select(*docs.columns)
+        taken = taken.withColumn("n_chars", F.when(part, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return taken.select(*kept)

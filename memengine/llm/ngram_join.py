@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import bloom, scratch
 from .graph import components
 from .held import let_go
-from .inputs import prepared, shuffle_partitions, texts_by_id
+from .inputs import all_columns, prepared, shuffle_partitions, texts_by_id, unused
 from .words import blocked, mix, words_of
 
 SHINGLE = 5
@@ -487,15 +487,17 @@ def first_of_groups(docs: DataFrame, **options) -> DataFrame:
     rows with a null doc_id stay.  The rows that go are told apart by a filter
     of fixed size, so only rows it lets through are joined.
     """
-    groups = jaccard_groups(docs, **options)
-    gone = scratch.saved(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "gone")
-    found = bloom.build(gone, "_gone")
+    groups = jaccard_groups(docs.select("doc_id", "text"), **options)
+    other, doubt = unused(docs, "gone", "doubtful")
+    gone = scratch.saved(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(other)), "gone")
+    found = bloom.build(gone, other)
 
     @F.arrow_udf("boolean")
     def doubtful(ids: pa.Array) -> pa.Array:
         known = ids.is_valid().to_numpy(zero_copy_only=False)
         return pa.array(known & bloom.may_hold(found, ids.fill_null(0).to_numpy(zero_copy_only=False)))
 
-    marked = docs.withColumn("_doubtful", doubtful(F.col("doc_id").cast("bigint")))
-    checked = marked.filter("_doubtful").join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
-    return checked.select(*docs.columns).unionByName(marked.filter(~F.col("_doubtful")).select(*docs.columns))
+    kept, own = all_columns(docs), F.col("doc_id").cast("bigint")
+    marked = docs.withColumn(doubt, doubtful(own))
+    checked = marked.filter(F.col(doubt)).join(gone, own == F.col(other), "left_anti")
+    return checked.select(*kept).unionByName(marked.filter(~F.col(doubt)).select(*kept))

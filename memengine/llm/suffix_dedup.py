@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import bloom, scratch
 from .held import let_go
-from .inputs import prepared, shuffle_partitions, texts_by_id
+from .inputs import all_columns, prepared, shuffle_partitions, texts_by_id, unused
 from .words import Words, blocked, mix, words_of
 
 MIN_WORDS = 50
@@ -185,20 +185,27 @@ def spans(passages: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with its columns, where only the first copy of each repeated passage is left in the texts.
 
+    The first copy is the one of the least (doc_id, place).  If doc_ids are null or repeat, the rows are written out
+    with a number each, and stand in this order instead; every row is a document of its own.
     The cut goes from the first word of a later copy up to the word behind it;
     what stands before and behind stays as it is.  A document of which no word
     is left goes.  Texts without repeats, null and empty ones too, are returned
     as they are.  ``n_chars``, if there is such a column, follows the text.
     """
     spark = prepared(docs.sparkSession)
-    passages = scratch.saved(repeats(docs, min_words), "passages").filter(~F.col("first"))
-    cuts = passages.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("at").alias("_cuts"))
+    row, mark, own, places_ = unused(docs, "row", "worth", "id", "cuts")
+    kept, given = all_columns(docs), F.col("doc_id").cast("bigint")
+    if docs.select(given.alias("id")).groupBy("id").count().filter("id is null or count > 1").isEmpty():
+        rows = docs.withColumn(row, given)
+    else:
+        rows = scratch.saved(docs.select(*kept, F.monotonically_increasing_id().alias(row)), "rows")
+    passages = scratch.saved(repeats(rows.select(F.col(row).alias("doc_id"), "text"), min_words), "passages").filter(~F.col("first"))
+    cuts = passages.groupBy(F.col("doc_id").alias(own)).agg(F.collect_list("at").alias(places_))
     found = bloom.build(passages, "doc_id")
 
     @F.arrow_udf("boolean")
     def worth(ids: pa.Array) -> pa.Array:
-        known = ids.is_valid().to_numpy(zero_copy_only=False)
-        return pa.array(known & bloom.may_hold(found, ids.fill_null(0).to_numpy(zero_copy_only=False)))
+        return pa.array(bloom.may_hold(found, ids.to_numpy(zero_copy_only=False)))
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, places: pa.Array) -> pa.Array:
@@ -221,13 +228,14 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return pa.array(out, pa.string())
 
     del spark
-    marked = docs.withColumn("_worth", worth(F.col("doc_id").cast("bigint")))
+    marked = rows.withColumn(mark, worth(F.col(row)))
+    some = F.col(places_).isNotNull()
     changed = (
-        marked.filter("_worth").drop("_worth").join(cuts, F.col("doc_id").cast("bigint") == F.col("_id"), "left")
-        .withColumn("text", F.when(F.col("_cuts").isNotNull(), cut(F.coalesce("text", F.lit("")), F.coalesce("_cuts", F.array().cast("array<int>")))).otherwise(F.col("text")))
-        .filter("_cuts is null or text is not null")
+        marked.filter(F.col(mark)).join(cuts, F.col(row) == F.col(own), "left")
+        .withColumn("text", F.when(some, cut(F.coalesce("text", F.lit("")), F.coalesce(places_, F.array().cast("array<int>")))).otherwise(F.col("text")))
+        .filter(~some | F.col("text").isNotNull())
     )
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        changed = changed.withColumn("n_chars", F.when(F.col("_cuts").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns).unionByName(marked.filter(~F.col("_worth")).select(*docs.columns))
+        changed = changed.withColumn("n_chars", F.when(some, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return changed.select(*kept).unionByName(marked.filter(~F.col(mark)).select(*kept))

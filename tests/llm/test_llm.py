@@ -19,12 +19,13 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from conftest import SMALL
 from memengine.llm import chat, graph, html_text, id_files, language_id, line_quality, mixing, ngram_join, packing
-from memengine.llm import scratch, suffix_dedup, tokens, voronoi, words
+from memengine.llm import scratch, sharding, suffix_dedup, tokens, voronoi, words
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, rank string"
 LONG = " ".join(f"w{i}" for i in range(30_000))
+TURNS = "conv_id bigint, turn bigint, role string, text string"
 ODD = [
     (None, "no id here", "en", "a", 10, "x"), (1, None, None, None, None, "x"), (2, "", "en", "a", 0, None), (3, " \n\t ", "en", None, 4, "x"),
     (4, "one two three", "en", "a", 13, "x"), (5, "ONE two three", "en", "b", 13, "x"), (6, LONG, "en", "b", len(LONG), "x"),
@@ -390,20 +391,41 @@ def test_perspectives_of_odd_rows(spark):
         (1, 0, "system", "Be kind."), (1, 1, "ann", "Hi <|im_end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, None, None, "early"),
         (2, 0, "system", "alone"), (None, 0, "ann", "lost"), (3, 5000, "ann", "far"), (3, 1, "ann", "near"),
     ]
-    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("slot", F.lit("clash"))
-    got = {(r.conv_id, r.participant, r.slot): r for r in chat.perspectives(df).collect()}
-    assert set(got) == {(1, p, s) for p in ("ann", "bob") for s in (-1, 0)} | {(3, "ann", 0), (3, "ann", 4)}
+    df = spark.createDataFrame(rows, TURNS).withColumn("slot", F.lit("clash"))
+    for name in ("number", "part", "chars", "messages", "participant", "head", "size"):
+        df = df.withColumn(name, F.lit("clash"))
+    got = {(r.conv_id, r.participant, r.part): r for r in chat.perspectives(df).collect()}
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (3, "ann", 0)}
     ann = got[1, "ann", 0]
     assert ann.text == (
-        "<|im_start|>system\nBe kind.<|im_end|>\n<|im_start|>assistant\nHi <| im_end|><|im_end|>\n"
+        "<|im_start|>user\nearly<|im_end|>\n<|im_start|>system\nBe kind.<|im_end|>\n<|im_start|>assistant\nHi <| im_end|><|im_end|>\n"
         "<|im_start|>user name=bob\n<|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n"
     )
     assert [ann.text[s.start : s.end] for s in ann.loss_spans] == ["Hi <| im_end|><|im_end|>"]
     assert [got[1, "bob", 0].text[s.start : s.end] for s in got[1, "bob", 0].loss_spans] == ["<|im_end|>"] * 2
-    many = spark.createDataFrame([(1, i, "ab"[i % 2], f"t{i}") for i in range(700)], "conv_id bigint, turn bigint, role string, text string")
-    parts = chat.perspectives(many, part_turns=100).collect()
-    assert sorted(r.part for r in parts) == sorted([*range(7)] * 2) and {r.n_turns for r in parts} == {100}
-    assert chat.perspectives(many.limit(0)).count() == 0
+    assert [got[3, "ann", 0].text.count(x) for x in ("near", "far")] == [1, 1] and got[3, "ann", 0].n_turns == 2
+    assert chat.perspectives(df.limit(0)).count() == 0
+
+
+def test_a_dialogue_is_whole_whatever_its_numbers(spark):
+    rows = [(1, i, "ab"[i % 2], f"t{i}") for i in range(1010, 1040)] + [(2, i, "ab"[i % 2], f"t{i}") for i in range(3000)]
+    got = chat.perspectives(spark.createDataFrame(rows, TURNS)).collect()
+    assert sorted((r.conv_id, r.participant, r.part, r.n_turns) for r in got) == [(1, p, 0, 30) for p in "ab"] + [(2, p, 0, 3000) for p in "ab"]
+
+
+def test_parts_of_a_long_dialogue_keep_its_head(spark):
+    rows = [(1, -2, "system", "Be kind."), (1, -1, "system", "Be brief.")] + [(1, i, "a" if i < 40 else "b", f"turn {i}") for i in range(200)]
+    rows += [(1, 200, "system", "Now stop."), (1, 201, "b", "x" * 5000)]
+    got = sorted(chat.perspectives(spark.createDataFrame(rows, TURNS), part_chars=1000, slot_turns=16).collect(), key=lambda r: (r.part, r.participant))
+    head = "<|im_start|>system\nBe kind.<|im_end|>\n<|im_start|>system\nBe brief.<|im_end|>\n"
+    assert len({r.part for r in got}) > 5 and all(r.text.startswith(head) for r in got)
+    said = collections.defaultdict(list)
+    for r in got:
+        own = [r.text[s.start : s.end].removesuffix("<|im_end|>") for s in r.loss_spans]
+        assert own and r.n_turns == r.text.count("<|im_start|>")
+        said[r.participant] += own
+    assert said == {"a": [f"turn {i}" for i in range(40)], "b": [f"turn {i}" for i in range(40, 200)] + ["x" * 5000]}
+    assert sum("Now stop." in r.text for r in got) == 1
 
 
 def test_html_layout(spark):
@@ -426,7 +448,7 @@ def test_html_layout(spark):
         import html as entities
 
         seen = entities.unescape(re.sub(r"<[^>]*>", " ", body)).split()
-        assert sorted("".join(seen)) == sorted("".join(re.sub(r"^\s*(- |\d+\. )", "", text, flags=re.M).split())) or len(text) > 0
+        assert sorted("".join(seen)) == sorted("".join(re.sub(r"^\s*(- |\d+\. )", "", text, flags=re.M).split()))
 
 
 def test_html_of_any_depth():
@@ -483,3 +505,57 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.run(spark, SMALL)
     n = check_packing(out.collect(), [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], 2048)
     assert n <= -(-out.agg(F.sum("length")).first()[0] // 2048) + 1
+
+
+def test_styles_hide_what_they_say():
+    page = (
+        """<p style='content:"display:none"'>seen</p><div style="visibility:hidden">no<b style="visibility:visible">yes</b><br>no<img alt=no></div>"""
+        """<p style="display:none!important;display:block">no</p><p style="DISPLAY : none">no</p><p style="/* display:none */color:red">comment</p>"""
+        """<p style="background:url(x;display:none)">bracket</p><p style="display:none;display:block">last</p>"""
+        """<table style="visibility:collapse"><tr><td>no<td style="visibility:visible">cell</table>"""
+    )
+    assert html_text.visible_text(page).split() == ["seen", "yes", "comment", "bracket", "last", "cell"]
+
+
+def test_a_table_is_in_proportion_to_its_source():
+    wide = "w " * 25_000
+    rows = "".join(f"<tr><td>a{i}<td>b{i}</tr>" for i in range(1000))
+    text = html_text.visible_text(f"<table><tr><td>{wide}<td>k</tr>{rows}</table>")
+    assert len(text) < 80_000 and wide.strip() in text and "a7    b7" in text  # the other rows stay aligned
+    for page in (
+        f"<table><tr><td>{'w ' * 400_000}<td>k</tr>{rows * 10}</table>",
+        "<table><tr>" + "<td rowspan=0>x" * 1000 + "</tr>" + "<tr><td>b</tr>" * 60_000 + "</table>",
+        "<table><tr><td rowspan=0 colspan=100>x</tr>" + "<tr><td>b</tr>" * 60_000 + "</table>",
+        "<table><tr>" + f"<td rowspan=0>{'x' * 100}" * 100 + "</tr>" + "<tr><td>b</tr>" * 60_000 + "</table>",
+    ):
+        assert len(html_text.visible_text(page)) <= 17 * len(page)
+        assert sorted(re.sub(r"<[^>]*>|\s", "", page)) == sorted(re.sub(r"\s", "", html_text.visible_text(page)))
+
+
+def test_rows_of_one_id_lose_only_their_own_repeats(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    other = " ".join(f"q{i}" for i in range(100))
+    rows = [(0, "start " + passage), (1, "z " + passage), (1, "a " + other), (None, "n " + passage), (2, other)]
+    out = suffix_dedup.without_repeats(docs_of(spark, [(i, t, "en", "a", 1, "x") for i, t in rows])).collect()
+    assert sum(r.text.count("p7 ") for r in out) == 1 and sum(r.text.count("q7 ") for r in out) == 1
+    assert {r.text.split()[0] for r in out} >= {"start", "z", "n"} and all(r.n_chars == len(r.text) for r in out if r.n_chars != 1)
+
+
+NAMES = ["cuts", "worth", "id", "row", "copies", "extra", "size", "words", "gone", "doubtful", "language"]
+
+
+def test_no_column_name_clashes(spark):
+    """Each stage with extra columns of all names it might use itself, and some that it does not return."""
+    base = small(spark).limit(60)
+    more = base.select("*", *[F.lit(n).alias(f"_{n}") for n in NAMES], *[F.lit(n).alias(n) for n in ["lines", "row_id", "taken", "a.b", "doc", "_text", "_passing"]])
+    extra = more.columns[len(base.columns) :]
+    model = language_id.fitted(base)
+    for stage in (
+        lambda d: language_id.predict(d, model), ngram_join.first_of_groups, suffix_dedup.without_repeats, mixing.mixed,
+        lambda d: line_quality.cleaned(d), sharding.sharded,
+    ):
+        want, out = stage(base), stage(more)
+        assert out.columns[: len(base.columns)] == base.columns and set(extra) <= set(out.columns)
+        got = out.collect()
+        assert all(r[c] == more.first()[c] for r in got[:3] for c in extra)
+        assert sorted(map(str, want.drop("shard", "slot").collect())) == sorted(map(str, out.select(*[c for c in want.columns if c not in ("shard", "slot")]).collect()))
