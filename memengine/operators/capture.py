@@ -216,15 +216,16 @@ def sent_once(visits: DataFrame, keys: list[str], order: str) -> DataFrame:
     return visits.filter(passed).groupBy(*keys).agg(F.min(order).alias(order))
 
 
-def page_rollup(signals: DataFrame, keys: list[str | Column], order: str, *more: Column) -> DataFrame:
+def page_rollup(signals: DataFrame, keys: list[str | Column], order: str, *more: Column, tie: str = "event_id") -> DataFrame:
     """One row per tab visit from its repeated signals: running maxima and last non-empty texts.
 
-    ``more``: further aggregates.
+    Of signals of the same ``order`` the one of the greater ``tie`` is later.  ``more``: further aggregates.
     """
+    latest = F.struct(*dict.fromkeys([order, tie]))
 
     def last_text(column: str) -> Column:
         filled = F.coalesce(F.col(column), F.lit("")) != ""
-        return F.max_by(F.col(column), F.when(filled, F.col(order)))
+        return F.max_by(F.col(column), F.when(filled, latest))
 
     return signals.groupBy(*keys).agg(
         last_text("url").alias("url"),
@@ -255,7 +256,7 @@ def active_time(
     """
     ts = order[0]
     carried = flags + ([activity] if activity else [])
-    known = sequences.last_known(states, keys, order, carried)
+    known = sequences.last_known(sequences.with_slot(states, keys, order), keys, order, carried)
     ahead = sequences.neighbour(known, keys, order, [ts], "_next", step=-1)
     start, end = F.unix_micros(F.col(ts)), F.unix_micros(F.col(f"_next.{ts}"))
     if activity:

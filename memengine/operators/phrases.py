@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import let
-from ..runtime import bounded_broadcast, lookup_join
+from ..runtime import bounded_broadcast, cut_lineage, lookup_join
 
 PIECE = 3
 FEW_PHRASES = 100_000
@@ -37,7 +37,7 @@ def _pieces(text: Column) -> Column:
     return let(longest, lambda p: F.array_distinct(F.concat(p, *[shorter(p, n) for n in range(1, PIECE)])))
 
 
-def _whole_pieces(text: Column) -> Column:
+def whole_pieces(text: Column) -> Column:
     """Pieces of full length, repeats included."""
     return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{PIECE}}}))"), 1)
 
@@ -69,14 +69,14 @@ def match_phrases(
     Beyond, rarity is counted over the texts, and only keys and pieces that are
     anchors move to the join, which salts frequent pieces.
     """
-    wanted = phrases.select(F.lower("phrase").alias("phrase")).filter("phrase <> ''").distinct()
+    wanted = cut_lineage(phrases.select(F.lower("phrase").alias("phrase")).filter("phrase <> ''").distinct())
     rows = df.select(*keep, F.lower(F.coalesce(text, F.lit(""))).alias("_text"))
     asked = _phrase_pieces(wanted)
     size = wanted.agg(F.count("*").alias("n"), F.sum(F.octet_length("phrase")).alias("bytes")).first()
     if size["n"] <= few and (size["bytes"] or 0) <= FEW_BYTES:
         anchors = _anchors(asked, asked.groupBy("_piece").agg(F.count("*").alias("_n")))
         used = [r[0] for r in anchors.select("_piece").distinct().limit(FEW_ANCHORS + 1).collect()]
-        found = _pieces(F.col("_text")) if min(map(len, used), default=PIECE) < PIECE else _whole_pieces(F.col("_text"))
+        found = _pieces(F.col("_text")) if min(map(len, used), default=PIECE) < PIECE else whole_pieces(F.col("_text"))
         if len(used) <= FEW_ANCHORS:
             wanted_pieces = F.from_json(F.lit(json.dumps(sorted(used))), "array<string>")
             found = F.array_intersect(found, wanted_pieces)

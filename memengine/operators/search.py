@@ -17,6 +17,7 @@ queries share a scope.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import gates
 from ..functions.core import places_below, strip
-from ..runtime import lookup_join, top_per_group, within
+from ..runtime import cut_lineage, lookup_join, top_per_group, within
 from .phrases import match_phrases
 
 HOUR_BITS = 24  # 2^24 hours after 1970, almost two thousand years
@@ -172,7 +173,7 @@ def search_scopes(intents: DataFrame, view: DataFrame, limit: int = K.SEARCH_LIM
     live = view.filter(gates.is_live_enriched(F.col("is_deleted"), F.col("preprocessed"))).select(
         "memory_id", "source_type", "title", "auto_keywords", "created_at", "last_accessed_at"
     )
-    asked = scoped(intents)
+    asked = cut_lineage(scoped(intents).select("query_id", "scope", "phrase", "since", "sources"))  # read several times below
     scopes = asked.select("scope", "phrase", "since", "sources").dropDuplicates(["scope"])
     few = within(scopes, FEW_SCOPES)
     found = _by_phrase(scopes.filter("phrase <> ''"), live, few).unionByName(
@@ -218,18 +219,20 @@ def after_anchor(
     return search(timed, view, limit)
 
 
+def candidate_text() -> Column:
+    return F.concat_ws(_SEPARATOR, "title", "raw_text", "subject", "sender")
+
+
 def candidates(
-    queries: DataFrame, view: DataFrame, limit: int = K.CANDIDATE_LIMIT
+    queries: DataFrame, view: DataFrame, limit: int = K.CANDIDATE_LIMIT, match: Callable[..., DataFrame] = match_phrases
 ) -> DataFrame:
     """Live items whose title, text, subject or sender holds the phrase, latest access first.
 
-    ``queries``: query_id, query.  Whole texts are searched.
+    ``queries``: query_id, query.  Whole texts are searched, or found by stored postings of ``candidate_text``
+    with ``match=functools.partial(postings.match, folder=..)``.
     """
     wanted = queries.select("query_id", F.lower("query").alias("phrase"))
-    text = F.concat_ws(_SEPARATOR, "title", "raw_text", "subject", "sender")
-    hits = match_phrases(
-        view, text, wanted.select("phrase"), ["memory_id", "last_accessed_at", "created_at"]
-    )
+    hits = match(view, candidate_text(), wanted.select("phrase"), ["memory_id", "last_accessed_at", "created_at"])
     order = [
         F.col("last_accessed_at").desc_nulls_last(), F.col("created_at").desc(), F.col("memory_id")
     ]

@@ -23,7 +23,7 @@ from ..runtime import cut_lineage
 DAY = 86_400
 BLOCK_ROWS = 1_000_000
 OVERSAMPLE = 16  # sampled rows to a block
-_PLACE = ["_slot", "_block"]
+PLACE = ["_slot", "_block"]
 
 
 def _same(left: list[str], right: str = "_of_") -> Column:
@@ -51,7 +51,11 @@ def _borders(rows: DataFrame, keys: list[str], order: list[str], block_rows: int
 
 
 def with_slot(df: DataFrame, keys: list[str], order: list[str], seconds: int = DAY, block_rows: int | None = None) -> DataFrame:
-    """Add the slot of ``order[0]`` and the block of the row in it."""
+    """Add the slot of ``order[0]`` and the block of the row in it (``PLACE``).
+
+    The functions below do it themselves, but for rows that are placed already, whose columns they keep: one placement
+    can serve several of them.
+    """
     rows = df.withColumn("_slot", F.floor(F.unix_micros(F.col(order[0])) / F.lit(seconds * 1_000_000)))
     borders = _borders(rows.select(*dict.fromkeys([*keys, *order]), "_slot"), keys, order, block_rows or BLOCK_ROWS)
     if borders is None:
@@ -62,13 +66,20 @@ def with_slot(df: DataFrame, keys: list[str], order: list[str], seconds: int = D
     return joined.withColumn("_block", block).drop("_borders", *[f"_of_{c}" for c in of])
 
 
+def _placed(df: DataFrame, keys: list[str], order: list[str], seconds: int) -> tuple[DataFrame, list[str]]:
+    """Placed rows, and the columns that this has added."""
+    if set(PLACE) <= set(df.columns):
+        return df, []
+    return with_slot(df, keys, order, seconds), PLACE
+
+
 def _slots(keys: list[str]):
-    return Window.partitionBy(*keys).orderBy(*_PLACE)
+    return Window.partitionBy(*keys).orderBy(*PLACE)
 
 
 def _with_carried(rows: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
     """Left join on the keys, the slot and the block, where null equals null."""
-    on = [*keys, *_PLACE]
+    on = [*keys, *PLACE]
     renamed = carried.select(
         *[F.col(c).alias(f"_of_{c}") for c in on], *[c for c in carried.columns if c not in on]
     )
@@ -91,45 +102,47 @@ def neighbour(
     """
     pick, edge = (F.lag, F.max) if step == 1 else (F.lead, F.min)
     payload = F.struct(*order, *[f for f in fields if f not in order])
-    rows = with_slot(df, keys, order, slot_seconds).withColumn("_pay", payload)
-    inside = Window.partitionBy(*keys, *_PLACE).orderBy(*order)
-    edges = rows.groupBy(*keys, *_PLACE).agg(edge("_pay").alias("_edge"))
-    carried = edges.select(*keys, *_PLACE, pick("_edge").over(_slots(keys)).alias("_carry"))
+    rows, added = _placed(df, keys, order, slot_seconds)
+    rows = rows.withColumn("_pay", payload)
+    inside = Window.partitionBy(*keys, *PLACE).orderBy(*order)
+    edges = rows.groupBy(*keys, *PLACE).agg(edge("_pay").alias("_edge"))
+    carried = edges.select(*keys, *PLACE, pick("_edge").over(_slots(keys)).alias("_carry"))
     joined = _with_carried(rows.withColumn("_near", pick("_pay").over(inside)), carried, keys)
-    return joined.withColumn(out, F.coalesce("_near", "_carry")).drop(*_PLACE, "_pay", "_near", "_carry")
+    return joined.withColumn(out, F.coalesce("_near", "_carry")).drop(*added, "_pay", "_near", "_carry")
 
 
 def running_total(
     df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, *, slot_seconds: int = DAY
 ) -> DataFrame:
     """Add ``out``: sum of ``value`` over the key's rows up to and including this one."""
-    rows = with_slot(df, keys, order, slot_seconds).withColumn("_v", value)
-    inside = Window.partitionBy(*keys, *_PLACE).orderBy(*order).rowsBetween(
+    rows, added = _placed(df, keys, order, slot_seconds)
+    rows = rows.withColumn("_v", value)
+    inside = Window.partitionBy(*keys, *PLACE).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     before = _slots(keys).rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(*keys, *_PLACE).agg(F.sum("_v").alias("_sum"))
-    offsets = sums.select(*keys, *_PLACE, F.sum("_sum").over(before).alias("_offset"))
+    sums = rows.groupBy(*keys, *PLACE).agg(F.sum("_v").alias("_sum"))
+    offsets = sums.select(*keys, *PLACE, F.sum("_sum").over(before).alias("_offset"))
     joined = _with_carried(rows.withColumn("_in", F.sum("_v").over(inside)), offsets, keys)
     total = F.col("_in") + F.coalesce(F.col("_offset"), F.lit(0))
-    return joined.withColumn(out, total).drop(*_PLACE, "_v", "_in", "_offset")
+    return joined.withColumn(out, total).drop(*added, "_v", "_in", "_offset")
 
 
 def last_known(
     df: DataFrame, keys: list[str], order: list[str], columns: list[str], *, slot_seconds: int = DAY
 ) -> DataFrame:
     """Fill nulls of ``columns`` with the key's latest earlier value (this row included)."""
-    rows = with_slot(df, keys, order, slot_seconds)
-    inside = Window.partitionBy(*keys, *_PLACE).orderBy(*order).rowsBetween(
+    rows, added = _placed(df, keys, order, slot_seconds)
+    inside = Window.partitionBy(*keys, *PLACE).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     before = _slots(keys).rowsBetween(Window.unboundedPreceding, -1)
     when = F.struct(*order)
-    lasts = rows.groupBy(*keys, *_PLACE).agg(
+    lasts = rows.groupBy(*keys, *PLACE).agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), when)).alias(f"_last_{c}") for c in columns]
     )
     carried = lasts.select(
-        *keys, *_PLACE,
+        *keys, *PLACE,
         *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}") for c in columns],
     )
     filled = rows
@@ -138,4 +151,4 @@ def last_known(
     joined = _with_carried(filled, carried, keys)
     for c in columns:
         joined = joined.withColumn(c, F.coalesce(c, f"_carry_{c}"))
-    return joined.drop(*_PLACE, *[f"_carry_{c}" for c in columns])
+    return joined.drop(*added, *[f"_carry_{c}" for c in columns])

@@ -22,7 +22,8 @@ def sessionize(
     A gap of exactly ``gap_seconds`` stays in the session.
     """
     fields = [ts] + ([switch] if switch else [])
-    near = sequences.neighbour(events, keys, [ts, tie], fields, "_before")
+    placed = sequences.with_slot(events, keys, [ts, tie])
+    near = sequences.neighbour(placed, keys, [ts, tie], fields, "_before")
     gap = F.unix_micros(F.col(ts)) - F.unix_micros(F.col(f"_before.{ts}"))
     opens = F.coalesce(gap > F.lit(gap_seconds * 1_000_000), F.lit(True))
     flagged = near.withColumn("_opens", opens.cast("int"))
@@ -30,7 +31,7 @@ def sessionize(
         other = F.coalesce(F.col(switch) != F.col(f"_before.{switch}"), F.lit(False))
         flagged = flagged.withColumn("is_switch", other & (F.col("_opens") == 0))
     numbered = sequences.running_total(flagged, keys, [ts, tie], F.col("_opens"), "session_no")
-    return numbered.drop("_before", "_opens")
+    return numbered.drop("_before", "_opens", *sequences.PLACE)
 
 
 def session_key(keys: list[str]) -> Column:

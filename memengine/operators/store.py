@@ -15,25 +15,34 @@ from .. import constants as K
 from ..functions import times
 
 
+def _order(column: str, seq: str) -> Column:
+    """``seq``, and among rows of one ``seq`` a hash of the value, so that equal deltas fold to equal rows."""
+    return F.struct(F.col(seq), F.xxhash64(column))
+
+
 def _last(column: str, seq: str = "seq") -> Column:
-    return F.max_by(F.col(column), F.col(seq))
+    return F.max_by(F.col(column), _order(column, seq))
+
+
+def _first(column: str, seq: str = "seq") -> Column:
+    return F.min_by(F.col(column), _order(column, seq))
 
 
 def _last_known(column: str, seq: str = "seq") -> Column:
     """Value of the latest row where the column is not null."""
-    return F.max_by(F.col(column), F.when(F.col(column).isNotNull(), F.col(seq)))
+    return F.max_by(F.col(column), F.when(F.col(column).isNotNull(), _order(column, seq)))
 
 
 def reduce_items(delta: DataFrame) -> DataFrame:
     """Item rows of one delta to one row per key."""
-    titled = F.max_by("title", F.when(F.coalesce(F.col("title"), F.lit("")) != "", F.col("seq")))
+    titled = F.max_by("title", F.when(F.coalesce(F.col("title"), F.lit("")) != "", _order("title", "seq")))
     return delta.groupBy("memory_id").agg(
         F.first("source_type").alias("source_type"),
         F.first("source_id").alias("source_id"),
-        F.min_by("system_group_id", "seq").alias("system_group_id"),
+        _first("system_group_id").alias("system_group_id"),
         F.coalesce(titled, F.lit("")).alias("title"),
         _last_known("raw_text").alias("raw_text"),
-        F.min_by("created_at", "seq").alias("created_at"),
+        _first("created_at").alias("created_at"),
         F.min("ingest_ts").alias("first_ingested_at"),
         F.max("ingest_ts").alias("last_updated_at"),
     )
@@ -142,7 +151,7 @@ def fold_mail_meta(rows: DataFrame) -> DataFrame:
     """Last value of every column except the mail id; null flags and arrays get defaults."""
     empty = F.array().cast("array<string>")
     return rows.groupBy("memory_id").agg(
-        F.min_by("email_id", "seq").alias("email_id"),
+        _first("email_id").alias("email_id"),
         _last("thread_id").alias("thread_id"),
         _last("sender").alias("sender"),
         F.coalesce(_last("recipients"), empty).alias("recipients"),
@@ -171,7 +180,7 @@ def fold_page_meta(rows: DataFrame) -> DataFrame:
 def fold_video_meta(rows: DataFrame) -> DataFrame:
     """Last known value per column; once short, always short."""
     return rows.groupBy("memory_id").agg(
-        F.min_by("video_id", "seq").alias("video_id"),
+        _first("video_id").alias("video_id"),
         *[_last_known(c).alias(c) for c in ("channel_name", "channel_id", "duration_seconds")],
         F.bool_or("is_short").alias("is_short"),
         *[_last_known(c).alias(c) for c in ("transcript_text", "youtube_category_id")],
@@ -201,7 +210,7 @@ def fold_embeddings(rows: DataFrame, seq: str = "indexed_at") -> DataFrame:
     """Latest registry row per item, active; vector and text always from the same version."""
     fields = ["embedding_version", "vector_dimension", "indexed_at", "embeddable_text", "embedding"]
     present = [f for f in fields if f in rows.columns]
-    latest = rows.groupBy("memory_id").agg(F.max_by(F.struct(*present), F.col(seq)).alias("_r"))
+    latest = rows.groupBy("memory_id").agg(F.max_by(F.struct(*present), F.struct(F.col(seq), F.xxhash64(*present))).alias("_r"))
     return latest.select("memory_id", "_r.*", F.lit(True).alias("is_active"))
 
 

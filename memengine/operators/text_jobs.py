@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -42,23 +43,26 @@ def clean_page(df: DataFrame, html: str, strategy: str = "whole") -> DataFrame:
     return out.withColumn("snippet", X.truncate_words(F.col("clean_text")))
 
 
-class _Region:
-    def __init__(self, tag: str):
-        self.tag, self.texts, self.paragraphs, self.headings, self.titles = tag, [], 0, 0, []
-
-
 class _Regions(HTMLParser):
-    """Collects, per candidate element, its texts, paragraph and heading counts."""
+    """Texts and headings of a page in order, and of each candidate element where it begins and ends in them.
+
+    A mark is (texts, paragraphs, headings, titles) so far, so what an element holds is the difference of two
+    marks, however deeply elements are nested.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, _Region | None]] = []
-        self.muted = 0
-        self.regions: list[_Region] = [_Region("document")]
+        self.open: list[tuple[str, int | None]] = []
+        self.names: Counter[str] = Counter()
+        self.muted = self.paragraphs = self.headings = 0
+        self.texts: list[str] = []
+        self.titles: list[str] = []
+        self.sizes = [0]
         self.heading: list[str] | None = None
+        self.regions: list[list[tuple[int, int, int, int]]] = []
 
-    def _active(self):
-        return [self.regions[0]] + [r for _, r in self.open if r]
+    def _mark(self) -> tuple[int, int, int, int]:
+        return len(self.texts), self.paragraphs, self.headings, len(self.titles)
 
     def handle_starttag(self, tag, attrs):
         if tag in _VOID:
@@ -67,51 +71,55 @@ class _Regions(HTMLParser):
         if tag in K.SCORED_NOISE_TAGS:
             self.muted += 1
         elif not self.muted:
-            for r in self._active():
-                r.paragraphs += tag == "p"
-                r.headings += tag in _HEADINGS
+            self.paragraphs += tag == "p"
+            self.headings += tag in _HEADINGS
             if tag in K.SCORED_CANDIDATE_TAGS:
-                region = _Region(tag)
-                self.regions.append(region)
+                region = len(self.regions)
+                self.regions.append([self._mark()])
             if tag in _HEADINGS:
                 self.heading = []
+        self.names[tag] += 1
         self.open.append((tag, region))
 
     def handle_endtag(self, tag):
-        if not any(name == tag for name, _ in self.open):
+        if not self.names[tag]:
             return
         while self.open:
-            name, _ = self.open.pop()
+            name, region = self.open.pop()
+            self.names[name] -= 1
+            if region is not None:
+                self.regions[region].append(self._mark())
             if name in K.SCORED_NOISE_TAGS:
                 self.muted -= 1
             if name in _HEADINGS and self.heading is not None:
-                for r in self._active():
-                    r.titles.append(" ".join(self.heading))
+                self.titles.append(" ".join(self.heading))
                 self.heading = None
             if name == tag:
                 return
 
     def handle_data(self, data):
         word = data.strip()
-        if not word or self.muted or any(name == "iframe" for name, _ in self.open):
+        if not word or self.muted or self.names["iframe"]:
             return
         if self.heading is not None:
             self.heading.append(word)
-        for r in self._active():
-            r.texts.append(word)
+        self.texts.append(word)
+        self.sizes.append(self.sizes[-1] + len(" ".join(word.split())) + 1)
 
 
 def _best_region(html: str) -> dict:
     parser = _Regions()
     parser.feed(html)
     parser.close()
-    best, top = parser.regions[0], -1
-    for region in parser.regions[1:]:
-        size = len(" ".join(" ".join(region.texts).split()))
-        score = size + 50 * region.paragraphs + 25 * region.headings
+    last = parser._mark()
+    first, end, top = (0, 0, 0, 0), last, -1
+    for start, *closed in parser.regions:
+        stop = closed[0] if closed else last
+        size = max(0, parser.sizes[stop[0]] - parser.sizes[start[0]] - 1)
+        score = size + 50 * (stop[1] - start[1]) + 25 * (stop[2] - start[2])
         if size and score > top:
-            best, top = region, score
-    return {"text": "\n".join(best.texts), "headings": best.titles}
+            first, end, top = start, stop, score
+    return {"text": "\n".join(parser.texts[first[0] : end[0]]), "headings": parser.titles[first[3] : end[3]]}
 
 
 def _scored_content(html: Column) -> Column:

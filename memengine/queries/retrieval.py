@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import knn as N
 from ..operators import search as R
-from ..operators import store, views
+from ..operators import postings, store, views
 from ..plans import retrieval as P
 from ..runtime import cut_lineage
-from . import query
+from ..streaming.jobs import work_folder
+from . import ORACLES, query
 from .tables import Tables, with_tables
 
 DIM = 64
@@ -131,6 +134,17 @@ def candidate_lookup(t: Tables) -> DataFrame:
     return R.candidates(candidate_queries(t), view).select("query_id", "memory_id", "rank")
 
 
+@query("stored_candidates", ORACLES["candidate_lookup"])
+def stored_candidates(t: Tables) -> DataFrame:
+    """The same by stored postings, made of two deltas of which the second changes nothing but comes again."""
+    view = views.candidate_view(t.items, store.placeholder_registry(t.items, "title"), t.engagement, t.mail_meta)
+    folder = work_folder(t.spark, "postings")
+    second = F.length("title") % 3 == 0
+    for delta in (view.filter(~second), view.filter(second), view.filter(second & (F.length("title") % 2 == 0))):
+        postings.append(delta, R.candidate_text(), folder)
+    return R.candidates(candidate_queries(t), view, match=partial(postings.match, folder=folder)).select("query_id", "memory_id", "rank")
+
+
 @query(
     "candidate_texts",
     with_tables(

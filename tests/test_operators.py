@@ -333,6 +333,22 @@ def test_anchors_as_constants_or_rows_find_the_same(spark, monkeypatch, anchors)
         assert rows(got) == sorted(((i, p) for i, t in enumerate(texts) for p in some if p in (t or "").lower()), key=str)
 
 
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_stored_postings_find_what_the_search_finds(spark, monkeypatch, tmp_path, few):
+    from memengine.operators import postings
+
+    monkeypatch.setattr(postings, "FEW_PIECES", few)
+    folder = str(tmp_path / "postings")
+    texts = ["the quick brown fox", "THE QUIET fox", "äöü ünder", "ab", "", None, "x" * 50, "fox" * 9, "quick the fox"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id STRING, t STRING")
+    old = df.withColumn("t", F.when(F.col("id") == "0", "a quick old text").otherwise(F.col("t")))
+    postings.append(old.filter("id < 5"), F.col("t"), folder, key="id", buckets=8)
+    postings.append(df.filter("id >= 5 OR id = 0"), F.col("t"), folder, key="id", buckets=8)  # the rest, and a changed text
+    asked = spark.createDataFrame([(p,) for p in ["quick", "THE QUI", "fox", "b", "ünd", "xxxx", "old text", "nothing here", "quick fox", ""]], "phrase STRING")
+    got = rows(postings.match(df, F.col("t"), asked, ["id"], folder, buckets=8))
+    assert got == rows(phrases.match_phrases(df, F.col("t"), asked, ["id"])) and len(got) > 10
+
+
 def test_search_plan_has_no_cross_join(spark):
     plan = search.search(make_intents(spark), make_view(spark))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan

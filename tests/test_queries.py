@@ -10,11 +10,12 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SMALL
+from memengine.queries import ORACLES
 
 TABLES = "events documents embeddings pages benchmark labels conversations".split()
 SLOW = ("stream_", "retrieval_loop", "vector_search", "result_quality", "reranked", "attachment_check", "answer_rows")
 NAMES = [
-    n for n in entry.oracle_sql() if os.environ.get("MEMENGINE_ALL") or not n.startswith(SLOW)
+    n for n in ORACLES if os.environ.get("MEMENGINE_ALL") or not n.startswith(SLOW)
 ]
 
 

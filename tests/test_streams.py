@@ -96,6 +96,7 @@ def test_marks_by_slot_over_batches(spark, feed, tmp_path, slot):
 
 def test_marks_of_a_hot_key_hold_no_key_in_a_task(spark, tmp_path, task_rows):
     """Nine tenths of the events are one key's, in a few minutes of one batch."""
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
     rows = spark.range(20_000).selectExpr(
         "id AS event_id", "IF(id % 10 = 0, id, 0) AS k", "timestamp_micros(1704067200000000 + id * 50000) AS ts"
     )
