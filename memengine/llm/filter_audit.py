@@ -191,7 +191,9 @@ def postings(docs: DataFrame, filters: dict[str, Column | Repeated], labels: Dat
         marked.unionByName(unnamed).groupBy("part", F.shiftright("row", RANGE_BITS).alias("range"))
         .agg(F.count("*").alias("n"), *[rows_where(F.col(f"f{f}")).alias(f"fails_{f}") for f in range(len(filters))], rows_where(F.col("good")).alias("good"), rows_where(F.col("toxic")).alias("toxic"))
     )
-    return scratch.saved(lists, "postings")
+    lists = scratch.saved(lists, "postings")
+    scratch.drop(facts)
+    return lists
 
 
 def audit(docs: DataFrame, filters: dict[str, Column | Repeated], labels: DataFrame, part: str = "source") -> DataFrame:

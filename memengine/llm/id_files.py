@@ -11,7 +11,9 @@ task that runs again replaces its own files by equal ones.
 
 from __future__ import annotations
 
+import json
 import math
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,6 +25,8 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from memengine.functions.core import places_below
+
 from .inputs import prepared, shuffle_partitions
 from .tokens import TEXT_BYTES, encoder
 from .words import blocked, mix
@@ -126,10 +130,13 @@ class Index:
 
 
 def _open(path: str) -> tuple[arrow_fs.FileSystem, str]:
-    """File system and path of a folder; also for stores that pyarrow knows by their scheme."""
-    if "://" in path or path.startswith("file:"):
-        return arrow_fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-    return arrow_fs.LocalFileSystem(), path
+    """File system and path of a folder; also for stores that pyarrow knows by their scheme, an unknown one is an error."""
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]+):", path)
+    if scheme is None:
+        return arrow_fs.LocalFileSystem(), path
+    if scheme[1].lower() == "file":
+        return arrow_fs.LocalFileSystem(), "/" + path[len(scheme[0]) :].lstrip("/")
+    return arrow_fs.FileSystem.from_uri(path)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, shard_bytes: int = SHARD_BYTES, end_id: int = END_ID) -> DataFrame:
@@ -240,10 +247,10 @@ def _records(index: Index, keys: np.ndarray, payload, start: int, batch_docs: in
 def find(spark: SparkSession, path: str, keys: DataFrame, column: str = "doc_id") -> DataFrame:
     """Rows of ``keys`` whose id is stored, one per record: the id, n_tokens, ids.
 
-    Keys are sent to the shard whose id range holds them, one row per shard being the only thing joined.
+    Each key finds the only shard whose id range can hold it by halving the shards' bounds, two numbers per shard.
     """
     prepared(spark)
-    shards = spark.read.parquet(f"{path}/shards").filter("first_id is not null")
+    shards = spark.read.parquet(f"{path}/shards").filter("first_id is not null").orderBy("first_id").select("shard", "first_id", "last_id").collect()
 
     def seek(batches) -> Iterator[pa.RecordBatch]:
         opened: dict[int, tuple] = {}
@@ -267,6 +274,9 @@ def find(spark: SparkSession, path: str, keys: DataFrame, column: str = "doc_id"
                             )
 
     wanted = keys.select(F.col(column).cast("bigint").alias("key")).filter("key is not null").distinct()
-    routed = wanted.join(F.broadcast(shards), (F.col("key") >= F.col("first_id")) & (F.col("key") <= F.col("last_id")))
+    numbers, first, last = (F.from_json(F.lit(json.dumps([r[c] for r in shards])), "array<bigint>") for c in ("shard", "first_id", "last_id"))
+    place = places_below(first, F.col("key")) - 1
+    routed = wanted.withColumn("place", place).filter((F.col("place") >= 0) & (F.get(last, F.col("place")) >= F.col("key")))
+    routed = routed.withColumn("shard", F.get(numbers, F.col("place")))
     blocks = routed.groupBy("shard", F.pmod(F.xxhash64("key"), F.lit(64)).alias("block")).agg(F.collect_list("key").alias("wanted"))
     return blocks.sortWithinPartitions("shard").mapInArrow(seek, f"{column} bigint, n_tokens bigint, ids binary")

@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from memengine.runtime import ship_package
 
 BATCH_ROWS = 2000
+BATCH_BYTES = 64 << 20
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Send the package to the workers, and hand them whole texts in batches of at most ``BATCH_ROWS`` rows.
+    """Send the package to the workers, and hand them whole texts in batches of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES``.
 
     Spark's default of 10,000 is made for numbers; batches of that many long texts would fill an executor.
-    A session that has set a smaller number keeps it.
+    A session that has set smaller numbers keeps them; a single text beyond the bytes is a batch of its own.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < held <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     return ship_package(spark)
 
 

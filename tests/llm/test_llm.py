@@ -248,6 +248,41 @@ def test_crossing_keeps_every_piece():
     assert (child >= 0).all() and np.bincount(child, weights=sizes).max() <= 100
 
 
+def thirds(n, capacity, seed):
+    """Pieces of about a half, a third and a sixth, that fill ``n`` bins exactly; best fit by falling size needs more."""
+    rng = np.random.default_rng(seed)
+    halves = capacity // 2 + rng.integers(-capacity // 20, capacity // 20 + 1, n)
+    others = capacity // 3 + rng.integers(-capacity // 30, capacity // 30 + 1, n)
+    return np.sort(np.r_[halves, others, capacity - halves - others])[::-1].copy()
+
+
+def best_fit_bins(sizes, capacity):
+    return packing.best_fit(sizes.tolist(), range(len(sizes)), np.empty(len(sizes), dtype=np.int32), [], 0, capacity)
+
+
+@pytest.mark.parametrize("n, capacity", [(150, 2048), (400, 2048), (400, 120)])
+def test_crossings_and_migration_beat_best_fit(n, capacity, monkeypatch):
+    sizes = thirds(n, capacity, 1)
+    count = lambda islands: [int(e[0].max()) + 1 for e in islands]
+    islands = [packing.evolve(sizes, [], k, capacity) for k in range(3)]
+    crossed = count(islands)
+    monkeypatch.setattr(packing, "GENERATIONS", 0)  # the same first packings, never crossed
+    assert min(crossed) < best_fit_bins(sizes, capacity) and sum(crossed) <= sum(count([packing.evolve(sizes, [], k, capacity) for k in range(3)]))
+    monkeypatch.undo()
+    moved = [packing.evolve(sizes, [*islands[(k - 1) % 3], islands[k][0]], 10 + k, capacity) for k in range(3)]
+    assert all(now <= min(crossed[k], crossed[(k - 1) % 3]) for k, now in enumerate(count(moved)))
+
+
+def test_packed_tables_beat_best_fit(spark):
+    sizes = thirds(400, 2048, 2)
+    pieces = spark.createDataFrame([(i, int(x)) for i, x in enumerate(sizes)], "doc_id bigint, length int")
+    rows = packing.packed(pieces).collect()
+    bins = collections.defaultdict(int)
+    for r in rows:
+        bins[r.sequence_id] += r.length
+    assert len(rows) == 1200 and max(bins.values()) <= 2048 and 400 <= len(bins) < best_fit_bins(sizes, 2048)
+
+
 def test_id_files_round_trip(spark):
     for df in (small(spark), docs_of(spark, ODD), docs_of(spark, [])):
         path = scratch.folder(spark, "ids")
@@ -262,7 +297,9 @@ def test_id_files_round_trip(spark):
     path = scratch.folder(spark, "ids")
     id_files.write(docs_of(spark, ODD), path, TOKENIZER)
     keys = spark.createDataFrame([(4,), (8,), (99,), (-5,), (None,)], "doc_id bigint")
-    assert sorted(r.doc_id for r in id_files.find(spark, path, keys).collect()) == [4, 4, 8]
+    found = id_files.find(spark, path, keys)
+    assert sorted(r.doc_id for r in found.collect()) == [4, 4, 8]
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_perfect_hash_is_minimal():
@@ -284,6 +321,28 @@ def test_language_on_held_out_labels(spark):
     assert language_id.predict(docs_of(spark, []), {"en": b"text"}).count() == 0
 
 
+def test_language_equals_a_plain_loop_of_compressors(spark):
+    import zstandard
+
+    df = small(spark)
+    model = language_id.fitted(df)
+    rows = df.orderBy("doc_id").limit(60).unionByName(docs_of(spark, [r for r in ODD if r[0] is not None]).select(df.columns))
+    got = sorted((r.doc_id, r.text or "", r.lang_pred, round(r.score, 12)) for r in language_id.predict(rows, model).collect())
+    want = []
+    for r in rows.collect():
+        letters = " ".join(re.findall(r"[^\W\d_]+", (r.text or "").lower()))
+        sizes = []
+        for lang, content in model.items():
+            words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            tool = zstandard.ZstdCompressor(level=6, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False)
+            raw = letters.encode()
+            sizes.append((sum(len(tool.compress(raw[i : i + 4096])) for i in range(0, len(raw), 4096)), lang))
+        order = sorted(sizes, key=lambda s: s[0])
+        told = (order[0][1], round((order[1][0] - order[0][0]) / order[1][0], 12)) if letters else ("und", 0.0)
+        want.append((r.doc_id, r.text or "", *told))
+    assert got == sorted(want)
+
+
 def test_language_is_learned_from_all_places_of_a_text(spark):
     rng = random.Random(7)
     names = {lang: [lang + "".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)] for lang in ("p", "q")}
@@ -325,6 +384,35 @@ def test_mixture_meets_its_targets(spark):
     assert all(abs(taken[s] - targets[s]) <= 1 for s in sizes)
 
 
+def test_mixture_takes_the_least_odds_first(spark):
+    """The ranking by hand: the level of each source, whole copies, then documents in the order of their odds."""
+    df = small(spark)
+    got = {r.doc_id: r for r in mixing.mixture(df).collect()}
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(mixing.SEED)), F.lit(1 << 52))
+    rows = [(r.doc_id, r.source, len(WORD.findall(r.text or "")), (r.u + 0.5) / 2**52) for r in df.withColumn("u", draw).collect()]
+    appeal = lambda size: 1 + size.bit_length() / 8 if size else 1 + 1 / 8
+    for source in {r[1] for r in rows}:
+        mine = [r for r in rows if r[1] == source]
+        target = got[mine[0][0]].target
+        low, high = 0.0, 4.0
+        for _ in range(200):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(size * min(2, level * appeal(size)) for _, _, size, _ in mine) < target else (low, level)
+        taken, ranked = {}, []
+        for doc, _, size, u in mine:
+            expected = min(2.0, high * appeal(size))
+            whole = int(expected + 1e-9)
+            taken[doc] = whole * size
+            share = expected - whole
+            if share > 1e-9 and size:
+                ranked.append(((u / (1 - u)) / (share / (1 - share)), doc, size))
+        left = max(0, round(target) - sum(taken.values()))
+        for _, doc, size in sorted(ranked):
+            taken[doc] += min(size, left)
+            left -= min(size, left)
+        assert taken == {doc: got[doc].taken for doc, *_ in mine}
+
+
 def test_mixed_rows_are_what_the_mixture_takes(spark):
     for df in (small(spark), docs_of(spark, ODD)):
         out = mixing.mixed(df)
