@@ -562,3 +562,17 @@ def test_flat_text_of_nested_values(spark):
 
     df = spark.sql("SELECT named_struct('a', 'x', 'b', array(1, NULL), 'c', map('k', array('y', 'z'))) AS v UNION ALL SELECT NULL")
     assert [r[0] for r in df.select(X.flatten_text(F.col("v"), df.schema["v"].dataType)).collect()] == ["x 1  y z", ""]
+
+
+def test_grid_cells_meet_in_many_partitions(spark):
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 11), float(i)]) for i in range(300)], "memory_id long, embedding array<double>")
+    queries = vectors.filter("memory_id % 3 = 0").select(F.col("memory_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        whole, grid = (sorted(map(tuple, knn.knn(queries, vectors, k=5, dim=3, **o).collect())) for o in ({}, {"matrix_bytes": 0, "block_rows": 25}))
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    assert len(whole) == 500 and grid == whole
