@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from memengine.operators import capture, store
+from memengine.queries.streams import streamed
 from memengine.queries.tables import Tables
 from memengine.streaming import jobs, revisits, visits
 
@@ -169,3 +170,15 @@ def test_late_metadata_is_given_out_once(spark, tmp_path):
         found.append(sorted((r.event_id, r.channel) for r in spark.read.parquet(str(tmp_path / "out")).collect()))
     assert found[1] == [(1, "A")]  # nothing is given up while metadata may still come
     assert sorted(found[2], key=str) == [(1, "A"), (2, None), (3, "C"), (4, "A2"), (5, None)]
+
+
+def test_a_stream_reads_tables_of_one_file_and_of_many(spark, tmp_path):
+    for name, parts in (("events", 3), ("documents", 2)):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").repartition(parts).write.parquet(f"{tmp_path}/{name}.parquet")
+    for folder in (SMALL, str(tmp_path)):
+        given = Tables(spark, folder)
+        told = streamed(given, "events", "documents")
+        for name in ("events", "documents"):
+            out = f"{tmp_path}/{name}-{len(folder)}"
+            run(jobs.write_files(getattr(told, name).select(getattr(given, name).columns[0]), f"{out}/out", f"{out}/state"))
+            assert spark.read.parquet(f"{out}/out").count() == given.read(name).count() > 0
