@@ -576,3 +576,18 @@ def test_grid_cells_meet_in_many_partitions(spark):
         for key, value in kept.items():
             spark.conf.set(key, value)
     assert len(whole) == 500 and grid == whole
+
+
+def test_only_the_text_goes_to_the_model_in_bounded_batches(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        df = spark.range(5).select(F.col("id").alias("n"), F.lit("raw").alias("raw_text"), F.lit("ab").alias("t"))
+        out = classify.embed(df, "t", picky_model(), dim=2)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 16 << 20
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "MapInPandas" not in plan and plan.count("ArrowEvalPython") == 1 and out.columns == ["n", "raw_text", "t", "embedding", "embed_error"]
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
