@@ -47,3 +47,12 @@ def test_query_equals_sql(spark, db, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_rejects_are_of_all_items(spark, db):
+    """All mail that the query rejected before its SQL was narrowed to pending videos is there, and the videos are too."""
+    got = {r.memory_id for r in entry.queries()["enrichment_rejects"](spark, SMALL).collect()}
+    mail = "SELECT sha256('gmail:d' || doc_id) FROM documents WHERE doc_id % 2 = 0 AND length(substring(text, 1, 60)) % 4 = 0"
+    video = "SELECT sha256('youtube:' || lpad(doc_id::VARCHAR, 11, 'v')) FROM documents WHERE doc_id % 2 = 1 AND doc_id % 7 = 3 AND length(substring(text, 1, 60)) % 4 = 0"
+    want = {r[0] for sql in (mail, video) for r in db.execute(sql).fetchall()}
+    assert want and want <= got
