@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
-from memengine.operators import capture, store
+from memengine.operators import bucket_store, capture, store
 from memengine.queries.streams import streamed
 from memengine.queries.tables import Tables
 from memengine.streaming import jobs, revisits, visits
@@ -182,3 +182,23 @@ def test_a_stream_reads_tables_of_one_file_and_of_many(spark, tmp_path):
             out = f"{tmp_path}/{name}-{len(folder)}"
             run(jobs.write_files(getattr(told, name).select(getattr(given, name).columns[0]), f"{out}/out", f"{out}/state"))
             assert spark.read.parquet(f"{out}/out").count() == given.read(name).count() > 0
+
+
+def test_visits_name_their_extracts(spark):
+    t = Tables(spark, SMALL)
+    named = t.named_visits
+    assert named.agg(F.max(F.length("content_extract"))).first()[0] < 50 < t.visits.agg(F.max(F.length("content_extract"))).first()[0]
+    back = t.with_extracts(named).select(*t.visits.columns)
+    assert back.count() == t.visits.count() and back.exceptAll(t.visits).isEmpty()
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "as it is")], "n INT, content_extract STRING")
+    assert sorted(map(tuple, t.with_extracts(odd).collect())) == [(1, None), (2, ""), (3, "as it is")]
+
+
+def test_slices_are_moved_not_copied(spark, tmp_path):
+    rows = spark.range(100).withColumn("_slice", F.col("id") % 2)
+    rows.write.partitionBy("_slice").parquet(f"{tmp_path}/staged")
+    spark.range(0).write.parquet(f"{tmp_path}/in")
+    for n in range(3):  # there is no third slice
+        bucket_store.move_files(spark, f"{tmp_path}/staged/_slice={n}", f"{tmp_path}/in", f"{n}-")
+        assert spark.read.parquet(f"{tmp_path}/in").count() == min(100, 50 * (n + 1))
+    assert not list(Path(tmp_path, "staged").rglob("*.parquet"))
