@@ -591,3 +591,21 @@ def test_only_the_text_goes_to_the_model_in_bounded_batches(spark):
     finally:
         for key, value in kept.items():
             spark.conf.set(key, value)
+
+
+def test_long_phrases_are_anchored_by_long_pieces(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcd ") for _ in range(2000)) for _ in range(40)]
+    asked = [t[100:112] for t in texts[::4]] + ["ab", "xyz", "A|b", texts[0][:7], "Å" * 9, "no such phrase"] + [c * 8 for c in "abcd"]
+    rows = spark.createDataFrame(list(enumerate([*texts, "å" * 20, None])), "k INT, t STRING")
+    wanted = spark.createDataFrame([(p,) for p in asked], "phrase STRING")
+    want = sorted((k, p.lower()) for k, t in enumerate([*texts, "å" * 20]) for p in set(asked) if p.lower() in t.lower())
+    for few_short in (phrases.FEW_SHORT, 0):
+        kept, phrases.FEW_SHORT = phrases.FEW_SHORT, few_short
+        try:
+            assert sorted(map(tuple, phrases.match_phrases(rows, F.col("t"), wanted, ["k"]).collect())) == want
+        finally:
+            phrases.FEW_SHORT = kept
+    long = wanted.filter(F.char_length("phrase") >= 8).select(F.lower("phrase").alias("phrase"))
+    compared = [phrases._hits(rows.withColumnRenamed("t", "_text"), long, n).count() for n in (phrases.PIECE, phrases.LONG_PIECE)]
+    assert compared[1] <= 2 * sum(len(p) >= 8 for _, p in want) < compared[0] / 3
