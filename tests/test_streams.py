@@ -10,10 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
-from memengine.operators import bucket_store, capture, store
+from memengine.operators import bucket_store, capture, sequences, store
 from memengine.queries.streams import streamed
 from memengine.queries.tables import Tables
-from memengine.streaming import jobs, revisits, visits
+from memengine.streaming import carried, jobs, revisits, visits
 
 
 @pytest.fixture(scope="module")
@@ -202,3 +202,44 @@ def test_slices_are_moved_not_copied(spark, tmp_path):
         bucket_store.move_files(spark, f"{tmp_path}/staged/_slice={n}", f"{tmp_path}/in", f"{n}-")
         assert spark.read.parquet(f"{tmp_path}/in").count() == min(100, 50 * (n + 1))
     assert not list(Path(tmp_path, "staged").rglob("*.parquet"))
+
+
+@pytest.mark.parametrize("wait", [60, None])
+def test_marks_by_files_over_batches(spark, feed, tmp_path, wait):
+    events, stream = feed
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    run(carried.mark_revisits(stream(), ["k", "event_type"], out, state, ttl_seconds=7200, late="1 hour", wait_seconds=wait))
+    got = {r.event_id: r.is_revisit for r in spark.read.parquet(out).collect()}
+    marked = capture.mark_revisits(events, ["k", "event_type"], "ts", "event_id", 7200)
+    if wait is not None:
+        until = marked.agg(F.max("ts") - F.expr(f"INTERVAL 1 HOUR {wait} SECONDS")).first()[0]
+        marked = marked.filter(F.col("ts") < F.lit(until))
+    assert got == {r.event_id: r.is_revisit for r in marked.collect()} and any(got.values())
+    kept = [p.name for p in (tmp_path / "state-carried").iterdir()]
+    assert sorted(kept) == ["3", "4"]  # five batches, of which the last two are kept
+
+
+def test_marks_by_files_ask_no_python_worker_and_hold_no_key(spark, tmp_path, task_rows, monkeypatch):
+    """Nine tenths of the events are one key's, in disorder over two batches; the others have a key each."""
+    monkeypatch.setattr(sequences, "BLOCK_ROWS", 1000)
+    rows = spark.range(20_000).selectExpr(
+        "id AS event_id", "IF(id % 10 = 0, id, 0) AS k", "timestamp_micros(1704067200000000 + (id * 7919 % 20000) * 50000) AS ts"
+    )
+    last = spark.sql("SELECT 99999999L AS event_id, -1L AS k, timestamp'2024-01-03 00:00:00' AS ts")
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    plans = []
+
+    def seen(marked):
+        plans.append(marked._jdf.queryExecution().toString())
+        return marked
+
+    for part in (rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1"), last):
+        part.repartition(4).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(rows.schema).parquet(folder)
+        run(carried.mark_revisits(stream, ["k"], out, state, late="30 minutes", then=seen))
+    most = task_rows()
+    got = {r.event_id: r.is_revisit for r in spark.read.parquet(out).collect()}
+    want = {r.event_id: r.is_revisit for r in capture.mark_revisits(rows, ["k"], "ts", "event_id").collect()}
+    assert got == want and sum(got.values()) > 17_000
+    assert len(plans) == 3 and not any("Pandas" in p or "Python" in p for p in plans)
+    assert most < 6_000  # its 18,000 rows never meet in one task
