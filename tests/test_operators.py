@@ -609,3 +609,18 @@ def test_long_phrases_are_anchored_by_long_pieces(spark):
     long = wanted.filter(F.char_length("phrase") >= 8).select(F.lower("phrase").alias("phrase"))
     compared = [phrases._hits(rows.withColumnRenamed("t", "_text"), long, n).count() for n in (phrases.PIECE, phrases.LONG_PIECE)]
     assert compared[1] <= 2 * sum(len(p) >= 8 for _, p in want) < compared[0] / 3
+
+
+def test_long_lists_stand_in_no_plan(spark):
+    """Bounds and anchors of many queries: a plan is as long for 2000 of them as for 20."""
+    view = make_view(spark)
+
+    def length(n):
+        asked = spark.range(n).selectExpr(
+            "CAST(id AS STRING) AS query_id", "array('all') AS sources", "false AS skip_postgres_filter",
+            "CAST(timestamp_micros(1704067200000000 + id * 977) AS STRING) AS time_filter",
+            "IF(id % 2 = 0, '', concat('phrase of ', id)) AS query_clean",
+        )
+        return len(search.search(asked, view)._jdf.queryExecution().toString())
+
+    assert length(2000) < 1.2 * length(200)
