@@ -60,7 +60,20 @@ def quality(results: DataFrame, intents: DataFrame) -> DataFrame:
         F.max("created_at").alias("_latest"),
         F.max("similarity").alias("_top"),
     )
-    joined = intents.join(per_query, "query_id", "left")
+    return _verdicts(intents.join(per_query, "query_id", "left"))
+
+
+def quality_of_scopes(intents: DataFrame, members: DataFrame, results: DataFrame, near: DataFrame) -> DataFrame:
+    """As ``quality``, from results once per scope (``search.search_scopes``) and the few nearest of each query, unpaired."""
+    per_scope = results.groupBy("scope").agg(
+        F.count("*").alias("_rows"), F.collect_set("source_type").alias("_found"), F.max("created_at").alias("_latest")
+    )
+    top = near.groupBy("query_id").agg(F.max("similarity").alias("_top"))
+    placed = members.join(per_scope, "scope", "left").drop("scope")
+    return _verdicts(intents.join(placed, "query_id", "left").join(top, "query_id", "left"))
+
+
+def _verdicts(joined: DataFrame) -> DataFrame:
     rows = F.coalesce("_rows", F.lit(0))
     asked = effective_sources(F.col("sources"))
     specific = F.size(asked) < len(K.SOURCES)
@@ -104,16 +117,18 @@ def widen(intents: DataFrame) -> DataFrame:
 
 
 def vector_search(
-    intents: DataFrame, results: DataFrame, vectors: DataFrame, k: int = K.KNN_K, dim: int = K.VECTOR_DIM
+    intents: DataFrame, results: DataFrame, vectors: DataFrame, k: int = K.KNN_K, dim: int = K.VECTOR_DIM, by: str = "query_id"
 ) -> DataFrame:
     """Nearest items per intent: among its candidates, or all vectors for a full scan.
 
+    The candidates of an intent are the results of its ``by``: with ``scope`` they are given once for all its intents.
+
     ``intents`` carry ``query_vector``; unknown ids vanish, no candidates give no rows.
     """
     full = F.coalesce(F.col("full_faiss_scan"), F.lit(False))
     narrow = intents.filter(~full)
-    pairs = results.select("query_id", "memory_id").join(narrow.select("query_id"), "query_id", "left_semi")
-    near = N.knn(narrow, vectors, pairs, k=k, dim=dim)
+    pairs = results.select(by, "memory_id").join(narrow.select(by), by, "left_semi")
+    near = N.knn(narrow, vectors, pairs, k=k, dim=dim, by=by)
     return near.unionByName(N.knn(intents.filter(full), vectors, None, k=k, dim=dim))
 
 

@@ -624,3 +624,14 @@ def test_long_lists_stand_in_no_plan(spark):
         return len(search.search(asked, view)._jdf.queryExecution().toString())
 
     assert length(2000) < 1.2 * length(200)
+
+
+def test_quality_of_scopes_equals_that_of_pairs(spark):
+    view, intents = make_view(spark), make_intents(spark)
+    members, found = search.search_scopes(intents, view)
+    pairs = search.expanded(members, found)
+    near = pairs.filter("rank <= 2").select("query_id", "memory_id", (F.col("rank") / 4).alias("similarity"))
+    want = retrieval.quality(pairs.join(near, ["query_id", "memory_id"], "left"), intents)
+    got = retrieval.quality_of_scopes(intents, members, found, near)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.filter("quality = 'strong'").count() + got.filter("quality = 'weak'").count() > 0
