@@ -349,6 +349,20 @@ def test_stored_postings_find_what_the_search_finds(spark, monkeypatch, tmp_path
     assert got == rows(phrases.match_phrases(df, F.col("t"), asked, ["id"])) and len(got) > 10
 
 
+def test_stored_postings_are_few_and_find_every_offset(spark, tmp_path):
+    from memengine.operators import postings
+
+    folder, phrase = str(tmp_path / "postings"), "needle in hay"
+    noise = "".join(f"{i:x}" for i in range(1, 400))
+    texts = [noise[:i] + phrase + noise[i:] for i in range(13)] + [noise + phrase, " ".join(phrase[i : i + 7] for i in range(7)), phrase[1:] + "x" * 9]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id STRING, t STRING")
+    postings.append(df, F.col("t"), folder, key="id", buckets=4)
+    assert spark.read.parquet(folder).count() <= sum(len(t) / 5 + 1 for t in texts)  # not one row for each character
+    asked = spark.createDataFrame([(phrase,), (phrase[1:],), (phrase[2:],)], "phrase STRING")  # the last is too short for postings
+    got = rows(postings.match(df, F.col("t"), asked, ["id"], folder, buckets=4))
+    assert got == sorted(((str(i), p) for i, t in enumerate(texts) for p in (phrase, phrase[1:], phrase[2:]) if p in t), key=str)
+
+
 def test_search_plan_has_no_cross_join(spark):
     plan = search.search(make_intents(spark), make_view(spark))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
