@@ -363,6 +363,15 @@ def test_stored_postings_are_few_and_find_every_offset(spark, tmp_path):
     assert got == sorted(((str(i), p) for i, t in enumerate(texts) for p in (phrase, phrase[1:], phrase[2:]) if p in t), key=str)
 
 
+def test_search_sorts_numbers_in_many_tasks(spark):
+    """Hits are sorted and ranked as two numbers, and the items searched lie in partitions that no small input puts together."""
+    view, intents = make_view(spark), make_intents(spark)
+    plan = search.search(intents, view)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    windows = [line for line in plan if "Window" in line]
+    assert windows and not any("memory_id" in line or "last_accessed_at" in line for line in windows)
+    assert search.best_places(intents, view)[2].rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
+
+
 def test_search_plan_has_no_cross_join(spark):
     plan = search.search(make_intents(spark), make_view(spark))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
