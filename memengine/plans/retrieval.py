@@ -12,7 +12,7 @@ from .. import schemas as S
 from ..functions.core import strip, string_array
 from ..functions.gates import effective_sources
 from ..operators import knn as N
-from ..operators.search import search
+from ..operators.search import expanded, search
 from ..runtime import cut_lineage, top_per_group
 
 
@@ -203,9 +203,19 @@ def rerank_score(
     similarity: Column, dwell: Column, watch: Column, age_days: Column, effort: Column,
     weights: dict[str, float] | None = None,
 ) -> Column:
+    return _weighted(similarity, _engagement(dwell, watch), _recency(age_days), effort, weights)
+
+
+def _engagement(dwell: Column, watch: Column) -> Column:
+    return F.least(F.lit(1.0), F.log1p(F.coalesce(dwell, F.lit(0)) + F.coalesce(watch, F.lit(0))) / F.log1p(F.lit(3600)))
+
+
+def _recency(age_days: Column) -> Column:
+    return F.exp(-F.greatest(age_days, F.lit(0.0)) / F.lit(30.0))
+
+
+def _weighted(similarity: Column, engagement: Column, recency: Column, effort: Column, weights: dict[str, float] | None) -> Column:
     w = weights or K.RERANK_WEIGHTS
-    engagement = F.least(F.lit(1.0), F.log1p(F.coalesce(dwell, F.lit(0)) + F.coalesce(watch, F.lit(0))) / F.log1p(F.lit(3600)))
-    recency = F.exp(-F.greatest(age_days, F.lit(0.0)) / F.lit(30.0))
     return (
         F.lit(w["semantic"]) * F.coalesce(similarity, F.lit(0.0))
         + F.lit(w["engagement"]) * engagement
@@ -214,15 +224,8 @@ def rerank_score(
     )
 
 
-def rerank(
-    results: DataFrame, details: DataFrame, now: Column, weights: dict[str, float] | None = None
-) -> DataFrame:
-    """Results with ``final_score`` and ``final_rank``.
-
-    Semantic part ``1/(1+distance)``; effort is reading completion for pages
-    (200 words a minute), completion rate for videos, 0 for mail.  ``details``:
-    memory_id, dwell_time_seconds, watch_time_seconds, completion_rate, word_count.
-    """
+def _with_terms(results: DataFrame, details: DataFrame, now: Column) -> DataFrame:
+    """Results with the terms of the score that are of the item alone, ``_engagement``, ``_recency`` and ``_effort``."""
     joined = results.join(
         details.select(
             "memory_id", "dwell_time_seconds", "watch_time_seconds", "completion_rate", "word_count"
@@ -237,16 +240,48 @@ def rerank(
         F.col("source_type") == "youtube", F.col("completion_rate")
     )
     age = (F.unix_seconds(now) - F.unix_seconds("last_accessed_at")) / F.lit(86_400.0)
-    semantic = F.coalesce(F.lit(1.0) / (F.lit(1.0) + F.col("distance")), F.lit(0.0))
-    scored = joined.withColumn(
-        "final_score",
-        rerank_score(
-            semantic, F.col("dwell_time_seconds"), F.col("watch_time_seconds"),
-            F.coalesce(age, F.lit(1e9)), effort, weights,
-        ),
+    return joined.withColumns(
+        {
+            "_engagement": _engagement(F.col("dwell_time_seconds"), F.col("watch_time_seconds")),
+            "_recency": _recency(F.coalesce(age, F.lit(1e9))),
+            "_effort": effort,
+        }
     )
+
+
+def _ranked(scored: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    semantic = F.coalesce(F.lit(1.0) / (F.lit(1.0) + F.col("distance")), F.lit(0.0))
+    score = _weighted(semantic, F.col("_engagement"), F.col("_recency"), F.col("_effort"), weights)
     window = Window.partitionBy("query_id").orderBy(F.col("final_score").desc(), F.col("memory_id"))
-    return scored.withColumn("final_rank", F.row_number().over(window))
+    done = scored.withColumn("final_score", score).drop("_engagement", "_recency", "_effort")
+    return done.withColumn("final_rank", F.row_number().over(window))
+
+
+def rerank(
+    results: DataFrame, details: DataFrame, now: Column, weights: dict[str, float] | None = None
+) -> DataFrame:
+    """Results with ``final_score`` and ``final_rank``.
+
+    Semantic part ``1/(1+distance)``; effort is reading completion for pages
+    (200 words a minute), completion rate for videos, 0 for mail.  ``details``:
+    memory_id, dwell_time_seconds, watch_time_seconds, completion_rate, word_count.
+    """
+    return _ranked(_with_terms(results, details, now), weights)
+
+
+def rerank_scopes(
+    members: DataFrame, results: DataFrame, near: DataFrame, details: DataFrame, now: Column, weights: dict[str, float] | None = None
+) -> DataFrame:
+    """(query_id, memory_id, distance, final_score, final_rank) as ``rerank`` gives them, from results once per scope and the nearest few of each query.
+
+    The terms of an item are joined once per scope.  The rows of a query and its distances meet in the shuffle that ranks them.
+    """
+    terms = ["_engagement", "_recency", "_effort"]
+    found = expanded(members, _with_terms(results, details, now).select("scope", "memory_id", *terms))
+    told = near.select("query_id", "memory_id", *[F.lit(None).cast("double").alias(c) for c in terms], "distance")
+    rows = found.select("query_id", "memory_id", *terms, F.lit(None).cast("double").alias("distance")).unionByName(told)
+    merged = rows.repartition("query_id").groupBy("query_id", "memory_id").agg(*[F.max(c).alias(c) for c in (*terms, "distance")])
+    return _ranked(merged.filter("_engagement IS NOT NULL"), weights)
 
 
 def attachment_hits(results: DataFrame, intents: DataFrame, mail: DataFrame, k: int = 3) -> DataFrame:

@@ -377,6 +377,28 @@ def test_search_plan_has_no_cross_join(spark):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
+def test_rerank_by_scope_is_the_same(spark):
+    """Results once per scope give the ranks that results per query give; items without details vanish, ties go by key."""
+    from memengine.plans import retrieval
+
+    at = "timestamp'2024-02-01 00:00:00'"
+    found = spark.range(40).selectExpr(
+        "id % 2 AS scope", "concat('m', id) AS memory_id", "element_at(array('gmail', 'chrome', 'youtube'), int(id % 3) + 1) AS source_type",
+        f"IF(id % 7 = 0, NULL, {at} - make_dt_interval(int(id % 5))) AS last_accessed_at",
+    )
+    details = spark.range(38).selectExpr(
+        "concat('m', id) AS memory_id", "id % 4 * 100 AS dwell_time_seconds", "IF(id % 3 = 0, NULL, id) AS watch_time_seconds",
+        "id / 40 AS completion_rate", "IF(id % 2 = 0, 300, NULL) AS word_count",
+    )
+    members = spark.createDataFrame([("a", 0), ("b", 1), ("c", 1), ("none", 9)], "query_id STRING, scope BIGINT")
+    near = spark.createDataFrame([("a", "m2", 0.5), ("b", "m3", 0.1), ("b", "m5", 0.0), ("c", "m39", 0.2)], "query_id STRING, memory_id STRING, distance DOUBLE")
+    now = F.lit("2024-02-15").cast("timestamp")
+    per_query = members.join(found, "scope").drop("scope").join(near, ["query_id", "memory_id"], "left")
+    columns = ["query_id", "memory_id", "distance", "final_score", "final_rank"]
+    got = rows(retrieval.rerank_scopes(members, found, near, details, now).select(*columns))
+    assert got == rows(retrieval.rerank(per_query, details, now).select(*columns)) and len(got) == 19 + 2 * 19
+
+
 # --- vectors and cascade -------------------------------------------------------------------
 def test_knn_paths_agree_with_brute_force(spark):
     rng = np.random.default_rng(7)
