@@ -8,7 +8,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from memengine.functions import gates, text, times, urls, vectors
+from memengine.functions import core, gates, text, times, urls, vectors
 
 
 def evaluate(spark, rows, schema, column):
@@ -184,3 +184,31 @@ def test_attachment_extract(spark):
     rows = [("a.pdf", "x/y", 3), ("a.pdf", None, 0), ("a.pdf", "", None)]
     column = text.attachment_extract(F.col("f"), F.col("m"), F.col("s"))
     assert evaluate(spark, rows, "f STRING, m STRING, s INT", column) == ["a.pdf | x/y | 3", "a.pdf", "a.pdf"]
+
+
+def test_patterns_pass_over_texts_that_cannot_match(spark):
+    """Texts without what a pattern begins with never meet it; the others come out as the plain patterns leave them."""
+    texts = [
+        None, "", " ", "\t", "a\tb", "a \tb", "a\t b", "a  b", "a b", "\u3000 a b\u2028 ", "a\r\r\rb", "a\n\n\n\nb\n", "\r\n", "a\r\n", "a\n\r\n", "a\u2028b\x85",
+        "x <b>y</b><!-- z --> <br/>w", "1 < 2", "on \u212aelvin: Table_top, a-b c+d 9lives", "> q \n > r\nkeep\u3000\n\u00a0On Monday Ann wrote:\u2003\nlost",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    t = F.col("t")
+    spaced = F.regexp_replace(F.replace(t, F.lit("\r"), F.lit("\n")), r"\t[ \t]*| [ \t]+", " ")
+    breaks = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+    lines = F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(t, f"(?:{breaks})\\z", ""), breaks))
+    pairs = [
+        (text.normalize_text(t), core.strip(F.regexp_replace(spaced, r"\n{3,}", "\n\n"))),
+        (text.split_lines(t), lines),
+        (text.join_parts(t, F.lit(" end ")), F.concat_ws(" ", F.nullif(core.strip(t), F.lit("")), F.lit("end"))),
+        (core.rstrip_long(t), core.rstrip(t)),
+        (core.where(t, ["<"], lambda x: F.regexp_replace(x, "<[^>]+>", " ")), F.regexp_replace(t, "<[^>]+>", " ")),
+    ]
+    row = df.select("id", *[F.struct(got.alias("got"), want.alias("want")).alias(f"p{n}") for n, (got, want) in enumerate(pairs)])
+    for r in row.collect():
+        for n in range(len(pairs)):
+            assert r[f"p{n}"]["got"] == r[f"p{n}"]["want"], (texts[r["id"]], n, r[f"p{n}"])
+    told = df.select("id", F.array_join(text.tokenize(t), ",").alias("tokens"), text.drop_quotes(t).alias("rest")).orderBy("id").collect()
+    assert [told[18].tokens, told[19].rest] == ["kelvin,tabletop,lives", "keep\u3000"]
+    refused = core.where(t, ["<"], lambda x: F.raise_error(F.lit("met")).cast("string"))
+    assert df.filter("NOT contains(t, '<')").select(refused.alias("x")).filter("x IS NOT NULL").count() == sum(x is not None and "<" not in x for x in texts)
