@@ -5,8 +5,10 @@ from __future__ import annotations
 import collections
 import html as entities
 import itertools
+import pathlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -141,6 +143,34 @@ def test_ngram_join_of_odd_rows(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, i) for i in (1, 2, 3, 4, 4, 6, 7)] + [(True, 0)]
 
 
+def test_equal_sets_sign_once(spark, monkeypatch):
+    met, saved = [], scratch.saved
+
+    def counted(df, name):
+        out = saved(df, name)
+        if name == "met":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(scratch, "saved", counted)
+    texts = near_copies(20)
+    once = joined(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    rows = [(i + 1000 * k, t) for k in range(5) for i, t in enumerate(texts)]
+    assert joined(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)) == linked(rows)
+    assert len(once) == len(texts) and met[0] == met[1] > 0
+
+
+def test_signatures_as_bytes():
+    rng = np.random.default_rng(5)
+    sigs = np.sort(rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2))
+    ids = np.r_[-(1 << 63), (1 << 63) - 1, 0, rng.integers(-50, 50, 497)].astype(np.int64)
+    place, kind, rows = ngram_join._blobs(sigs >> np.uint64(62), sigs, ids, 2)
+    assert sorted(place) == [0, 1, 2, 3] and kind == [2] * 4
+    got = ngram_join._from_blobs(rows)
+    assert sorted(zip(*(x.tolist() for x in got))) == sorted(zip((sigs >> np.uint64(8)).tolist(), ids.tolist()))
+    assert [len(x) for x in ngram_join._from_blobs([])] == [0, 0] and ngram_join._blobs(sigs[:0], sigs[:0], ids[:0], 0) == ([], [], [])
+
+
 def passages(rows, n):
     places = collections.defaultdict(list)
     for i, text in rows:
@@ -572,6 +602,22 @@ def test_every_page_is_rendered_whole():
     assert all(differs(page, text[: len(text) // 2]) for page, text in zip(pages, texts))
 
 
+def test_shuffle_files_go_with_their_plan(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+
+    def files():
+        return {f for d in folders for f in pathlib.Path(d.getPath()).rglob("shuffle_*.data")}
+
+    before, setting = files(), spark.conf.get(scratch.SHUFFLES_GO)
+    df = spark.range(10_000).repartition(4, "id")
+    assert df.count() == 10_000 and (left := files() - before)
+    out = scratch.saved(df.withColumn("twice", F.col("id") * 2), "shuffled")
+    until = time.time() + 20
+    while files() - before - left and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before - left and out.count() == 10_000 and spark.conf.get(scratch.SHUFFLES_GO) == setting
+
+
 def test_pipeline_stages(spark):
     docs = small(spark)
     columns = docs.columns
