@@ -349,6 +349,41 @@ def test_stored_postings_find_what_the_search_finds(spark, monkeypatch, tmp_path
     assert got == rows(phrases.match_phrases(df, F.col("t"), asked, ["id"])) and len(got) > 10
 
 
+def test_longer_phrases_are_looked_up_by_every_fifth_piece(spark):
+    from memengine.operators import phrases
+
+    body, phrase = "".join(chr(97 + i * i % 23) for i in range(400)), "Needle in hay"
+    texts = [body[:i] + phrase.lower() + body[i:] for i in range(12)] + [phrase * 3, phrase[1:], f"needle in ha {body}", None, "n\U0001f600" * 3 + phrase]
+    rows = [(i, t) for i, t in enumerate(texts)] * 2  # keys that come twice give both rows
+    df = spark.createDataFrame(rows, "id INT, t STRING")
+    for asked in ([phrase], [phrase, phrase[1:], "eedle", "ha"], [phrase[1:], "needle"], ["eedle"]):
+        want = sorted((i, p.lower()) for i, t in rows for p in asked if p.lower() in (t or "").lower())
+        for few_short in (phrases.FEW_SHORT, 0):
+            kept, phrases.FEW_SHORT = phrases.FEW_SHORT, few_short
+            try:
+                got = phrases.match_phrases(df, F.col("t"), spark.createDataFrame([(p,) for p in asked], "phrase STRING"), ["id"])
+                assert sorted(map(tuple, got.collect())) == want and len(want) > 10
+            finally:
+                phrases.FEW_SHORT = kept
+    cut = df.limit(1).select(F.size(phrases.strided_pieces(F.col("t"))), F.size(phrases.whole_pieces(F.col("t"), phrases.LONG_PIECE))).first()
+    assert 0 < cut[0] <= cut[1] / 5 + 1
+
+
+def test_large_deltas_are_stored_in_parts(spark, tmp_path, monkeypatch):
+    from memengine.operators import postings
+
+    monkeypatch.setattr(postings, "PART_BYTES", 100)
+    df = spark.createDataFrame([(str(i), f"text of item number {i}" * 3) for i in range(40)] + [("40", None)], "id STRING, t STRING")
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    for name, parts in (("many", 8), ("one", 1)):
+        monkeypatch.setattr(postings, "PARTS", parts)
+        postings.append(df, F.col("t"), str(tmp_path / name), key="id", buckets=4)
+    stored = [sorted(map(tuple, spark.read.parquet(str(tmp_path / name)).collect())) for name in ("many", "one")]
+    assert stored[0] == stored[1] and len({f.name.split("-")[-2] for f in (tmp_path / "many").rglob("*.parquet")}) >= 2
+    postings.append(df.limit(0), F.col("t"), str(tmp_path / "none"), key="id", buckets=4)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
 def test_stored_postings_are_few_and_find_every_offset(spark, tmp_path):
     from memengine.operators import postings
 
