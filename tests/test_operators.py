@@ -369,6 +369,30 @@ def test_longer_phrases_are_looked_up_by_every_fifth_piece(spark):
     assert 0 < cut[0] <= cut[1] / 5 + 1
 
 
+def test_a_merge_leaves_only_the_store(spark, tmp_path):
+    from pathlib import Path
+
+    from memengine.operators import bucket_store
+    from memengine.runtime import checkpoint_dir
+
+    def kept():
+        top = Path(checkpoint_dir(spark).removeprefix("file:"))
+        return {str(f) for f in top.rglob("*") if f.is_file() and ("delta-" in str(f) or "rdd-" in str(f))}
+
+    def fold(table, delta):
+        return delta if table is None else table.join(delta.select("k"), "k", "left_anti").unionByName(delta)
+
+    before, folder = kept(), str(tmp_path / "store")
+    for number in range(3):
+        delta = spark.range(number * 10, number * 10 + 20).select(F.col("id").alias("k"), F.struct(F.lit(number).alias("n")).alias("v"))
+        assert bucket_store.merge(folder, delta, fold, number, key="k", buckets=4) == [0, 1, 2, 3]
+    assert bucket_store.merge(folder, delta.limit(0), fold, 3, key="k", buckets=4) == []
+    with pytest.raises(ZeroDivisionError):
+        bucket_store.merge(folder, delta, lambda table, delta: 1 / 0, 4, key="k", buckets=4)
+    got = {r.k: r.v.n for r in bucket_store.read(spark, folder).collect()}
+    assert got == {k: min(k // 10, 2) for k in range(40)} and kept() <= before
+
+
 def test_large_deltas_are_stored_in_parts(spark, tmp_path, monkeypatch):
     from memengine.operators import postings
 
